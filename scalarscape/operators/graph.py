@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarscape.session import cut_lineage
+from scalarscape.session import written
 
 
 def connected_groups(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut_lineage(e)
+    e = written(e)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +25,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
@@ -35,12 +35,12 @@ def connected_groups(edges: DataFrame) -> DataFrame:
 
 def flat_pointers(pointers: DataFrame) -> DataFrame:
     """(node, root) of pointers (node, up): doubled until each leads to a node that points at itself or nowhere."""
-    now = cut_lineage(pointers.select("node", F.col("up").alias("root")))
+    now = written(pointers.select("node", F.col("up").alias("root")))
     while True:
         step = lambda c, n: now.select(F.col("node").alias(c), F.col("root").alias(n))
         nxt = now.join(step("root", "second"), "root", "left").join(step("second", "third"), "second", "left")
         moved = F.col("second").isNotNull() & (F.col("second") != F.col("root"))
-        nxt = cut_lineage(nxt.select("node", F.coalesce("third", "second", "root").alias("root"), moved.alias("_moved")))
+        nxt = written(nxt.select("node", F.coalesce("third", "second", "root").alias("root"), moved.alias("_moved")))
         now = nxt.select("node", "root")
         if nxt.where("_moved").limit(1).count() == 0:
             return now
@@ -53,7 +53,7 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
     these are taken at once, their ends are struck out, and the rest goes into the next
     round. Equal weights are ordered by (a, b).
     """
-    left = cut_lineage(pairs.select("a", "b", "w"))
+    left = written(pairs.select("a", "b", "w"))
     taken = left.limit(0)
     while left.limit(1).count():
         key = F.struct("w", "a", "b")
@@ -61,10 +61,10 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
         first = ends.groupBy("n").agg(F.min("key").alias("best"))
         at = lambda c: first.select(F.col("n").alias(c), F.col("best").alias(f"best_{c}"))
         judged = left.join(at("a"), "a").join(at("b"), "b")
-        won = cut_lineage(judged.where((key == F.col("best_a")) & (key == F.col("best_b"))).select("a", "b", "w"))
+        won = written(judged.where((key == F.col("best_a")) & (key == F.col("best_b"))).select("a", "b", "w"))
         gone = won.select(F.explode(F.array("a", "b")).alias("n"))
         left = left.join(gone.select(F.col("n").alias("a")), "a", "left_anti").join(gone.select(F.col("n").alias("b")), "b", "left_anti")
-        left = cut_lineage(left.select("a", "b", "w"))
+        left = written(left.select("a", "b", "w"))
         taken = taken.unionByName(won)
     return taken
 
@@ -79,8 +79,8 @@ def colours(edges: DataFrame, n_colours: int = 18) -> DataFrame:
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
     order = F.struct((-F.col("d")).alias("d"), F.col("a").alias("n"))
-    nodes = cut_lineage(degree.select(F.col("a").alias("node"), order.alias("key")))
-    links = cut_lineage(
+    nodes = written(degree.select(F.col("a").alias("node"), order.alias("key")))
+    links = written(
         both.join(nodes.withColumnRenamed("node", "a").withColumnRenamed("key", "ka"), "a").join(nodes.withColumnRenamed("node", "b").withColumnRenamed("key", "kb"), "b")
     )
     done = nodes.select("node", F.lit(0).alias("colour")).limit(0)
@@ -93,6 +93,6 @@ def colours(edges: DataFrame, n_colours: int = 18) -> DataFrame:
         used = near.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("colour", "n"))).alias("used")).select(F.col("a").alias("node"), "used")
         ranked = F.array_sort(F.transform(palette, lambda c: F.struct(F.coalesce(F.col("used")[c], F.lit(0)).alias("n"), c.alias("c"))))
         chosen = turn.join(used, "node", "left").withColumn("used", F.coalesce("used", F.create_map().cast("map<int,bigint>"))).select("node", ranked[0]["c"].alias("colour"))
-        done = cut_lineage(done.unionByName(chosen))
-        left = cut_lineage(left.join(done.select("node"), "node", "left_anti"))
+        done = written(done.unionByName(chosen))
+        left = written(left.join(done.select("node"), "node", "left_anti"))
     return done
