@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarscape.session import cut_lineage
+from scalarscape.session import cut_lineage, written
 
 BOUND = 1_000_000  # edges that one task may hold
 HOT_SHARE = 0.01  # a group with more than this share of all records is named by broadcast: at most 1 / HOT_SHARE rows
@@ -91,7 +91,7 @@ def _flat_pointers(pointers: DataFrame) -> DataFrame:
     while True:
         up = pointers.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         step = pointers.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("_moved"))
-        step = cut_lineage(step)
+        step = written(step)
         pointers = step.select("a", "p")
         if step.where("_moved").limit(1).count() == 0:
             return pointers
@@ -110,7 +110,7 @@ def labels(pairs: DataFrame, bound: int = BOUND) -> DataFrame:
         wanted = -(-left // bound)
         if parts is None or wanted < parts:  # merge forests, several to a partition
             parts = wanted
-            forest = cut_lineage(_local_forests(forest.repartition(parts, "b"), bound))
+            forest = written(_local_forests(forest.repartition(parts, "b"), bound))
         else:  # no longer shrinking: contract
             pointers = _flat_pointers(forest.groupBy("a").agg(F.min("b").alias("p")))
             contracted.append(pointers)
@@ -122,11 +122,11 @@ def labels(pairs: DataFrame, bound: int = BOUND) -> DataFrame:
                 .where("a <> b")
                 .distinct()
             )
-            forest, parts = cut_lineage(_local_forests(seams, bound)), None
+            forest, parts = written(_local_forests(seams, bound)), None
         left = forest.count()
     found = _local_forests(forest.repartition(1), bound).select(F.col("a").alias("key"), F.col("b").alias("root"))
     for pointers in reversed(contracted):
-        found = cut_lineage(found)
+        found = written(found)
         up = found.select(F.col("key").alias("p"), "root")
         below = pointers.join(up, "p", "left").select(F.col("a").alias("key"), F.coalesce("root", "p").alias("root"))
         found = found.unionByName(below)
