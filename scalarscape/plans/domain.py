@@ -98,7 +98,8 @@ def field_names(s, d):
     return f.select("field", naming.normalised(F.col("field")).alias("plain"), naming.slug(F.col("field")).alias("slug"), naming.slider_range(F.col("field"))[0].alias("low"))
 
 
-@query("""WITH f AS (SELECT DISTINCT field FROM clusters) SELECT field, (CASE WHEN contains(field, 'charge') THEN 0 WHEN contains(field, 'basin') THEN 1 WHEN regexp_replace(field, '[^a-z0-9]', '', 'g') = 'w' THEN 2 END)::INT AS pattern_no FROM f WHERE contains(field, 'charge') OR contains(field, 'basin') OR regexp_replace(field, '[^a-z0-9]', '', 'g') = 'w'""")
+@query("""WITH f AS (SELECT DISTINCT field, lower(field) AS l, regexp_replace(lower(field), '[^a-z0-9]', '', 'g') AS base FROM clusters)
+    SELECT field, (CASE WHEN contains(l, 'charge') THEN 0 WHEN contains(l, 'basin') THEN 1 ELSE 2 END)::INT AS pattern_no FROM f WHERE contains(l, 'charge') OR contains(l, 'basin') OR base = 'w'""")
 def field_selection(s, d):
     return naming.select_fields(table(s, d, "clusters"), ["charge", "basin", "w"])
 
