@@ -285,9 +285,12 @@ def search(text: str, model: Plausibility) -> tuple[str, str, float, float]:
             route = f"{way} {edge}".strip()
             if total < best[0] and not left_by_failure(reached):
                 best = (total, reached, route)
-            if total < start + SLACK and any(c > "\x7f" for c in reached):
+            if not any(c > "\x7f" for c in reached):
+                continue
+            vouched = edge.endswith(">utf-8") and len(reached) < len(state)  # bytes of other texts are hardly ever valid UTF-8
+            if total < start + SLACK or vouched:
                 count += 1
-                heapq.heappush(heap, (total, count, reached, walked + step, route))
+                heapq.heappush(heap, (min(total, start) if vouched else total, count, reached, walked + step, route))
         if best[2] and model.doubtful(best[1]) <= DECODE_STEP:  # nothing left to save
             break
     return best[1], best[2], start, best[0]
