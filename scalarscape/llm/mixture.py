@@ -135,7 +135,8 @@ def mix(
     offset = (F.col("copy_no") - 1) * F.col("total") + F.col("start")
     block = F.floor(offset / block_tokens)
     blocked = copied.withColumn("position", offset).withColumn("_block", block).withColumn("k", block % F.col("per"))
-    scheduled = blocked.join(F.broadcast(period), ["mixture", "source", "k"])
+    small = len(slots) <= 10 * MAX_PERIOD  # many mixtures with long periods are joined by shuffle
+    scheduled = blocked.join(F.broadcast(period) if small else period, ["mixture", "source", "k"])
     mixed = scheduled.select(
         "mixture",
         "source",

@@ -30,7 +30,8 @@ BITS = 20  # the model has 2 ** BITS counters for each length of sequence, whate
 EXPANSIONS = 10  # states that one search opens
 DECODE_STEP = 1.5  # nats that an edge between codecs costs
 UNESCAPE_STEP = 0.5
-SEARCH_ROWS = 200_000  # garbled texts up to which the verdicts are broadcast; beyond it they are joined by salted shuffle
+BROADCAST_CHARS = 8_000_000  # characters of garbled texts up to which the verdicts are broadcast; beyond it they are joined by salted shuffle
+SEGMENT = 2000  # characters of a longer text that are searched at once
 SALTS = 16
 
 #: Codecs under which bytes are commonly misread; the second list can also be the true one of such bytes.
@@ -303,6 +304,11 @@ def retrace(text: str, way: str, model: Plausibility) -> str:
     return text
 
 
+def segments(text: str) -> list[str]:
+    """Pieces of at most SEGMENT characters that make up the whole text, cut after white space where there is some."""
+    return re.findall(rf"(?s).{{1,{SEGMENT}}}(?<=\s)|.{{1,{SEGMENT}}}", text) if len(text) > SEGMENT else [text]
+
+
 def decodes(way: str) -> bool:
     """Whether a way holds an edge between codecs."""
     return ">" in way
@@ -357,17 +363,20 @@ def garbled_texts(texts: DataFrame, text: str = "text", weight: str = "n") -> Da
             for value in batch.column(0).to_pylist():
                 if value.isascii():
                     continue
-                shape = value if ESCAPES.search(value) else DIGITS.sub("0", value)
-                way = ways.get(shape)
-                if way is None:
-                    way = search(value, plausibility)[1]
-                    if len(ways) >= 200_000:
-                        ways.clear()
-                    ways[shape] = way
-                failed = left_by_failure(value)
-                if not (failed or decodes(way)):
+                taken, read = [], []
+                for part in segments(value):
+                    shape = part if ESCAPES.search(part) else DIGITS.sub("0", part)
+                    way = ways.get(shape)
+                    if way is None:
+                        way = search(part, plausibility)[1]
+                        if len(ways) >= 200_000:
+                            ways.clear()
+                        ways[shape] = way
+                    taken.append(way)
+                    read.append(retrace(part, way, plausibility) if decodes(way) else part)
+                way, restored = " ".join(dict.fromkeys(w for w in taken if decodes(w))), "".join(read)
+                if not (way or left_by_failure(value)):
                     continue
-                restored = retrace(value, way, plausibility) if decodes(way) else value
                 good = decodes(way) and not left_by_failure(restored)
                 row = (value, restored, way, good, plausibility.cost(value), plausibility.cost(restored))
                 for column, x in zip(out, row, strict=True):
@@ -398,7 +407,7 @@ def garbled_items(snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, item_pos, slot, text, restored, way, restorable, cost, cost_restored) of each garbled title or value.
 
     Every distinct text is judged once and the verdicts are brought back to the rows, by
-    broadcast up to ``SEARCH_ROWS`` garbled texts, else by a salted join, so that a text
+    broadcast up to ``BROADCAST_CHARS`` characters, else by a salted join, so that a text
     that a third of all rows hold is no bottleneck. A snapshot sent again counts once.
     Null sections, lists, items and texts and an empty table give no rows; further
     columns are ignored.
@@ -407,7 +416,8 @@ def garbled_items(snapshots: DataFrame) -> DataFrame:
     distinct = cut_lineage(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")))
     verdicts = cut_lineage(garbled_texts(distinct))
     suspect = rows.where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    if verdicts.count() <= SEARCH_ROWS:
+    size = verdicts.agg(F.coalesce(F.sum(F.length("text") + F.length("restored") + F.length("way") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_CHARS:
         found = suspect.join(F.broadcast(verdicts), "text")
     else:
         salted = suspect.withColumn("_salt", F.pmod(F.xxhash64("snapshot_id", "item_pos"), F.lit(SALTS)))

@@ -27,6 +27,8 @@ BLOCK_WORDS = 24  # words on either side of a gap
 NEIGHBOURS = 3  # gaps on either side among which a valley's shoulders are sought
 LONG_UNIT = 8  # tokens beyond which a pre-token is cut into runs
 FILL = 0.5  # a piece brings at least this part of what it may bring that is new
+HELD_CHARS = 400_000  # characters of texts whose units a task holds at once
+NOTHING = object()
 MAX_LIMITS = 1000  # rows of the table of limits, which the driver reads
 
 #: Kinds of boundary, weakest first.
@@ -226,11 +228,15 @@ def split(
         units = Units(cache)
         get = units.__getitem__
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                flat, ends, texts = array("q"), [], []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if text and 4 * len(text) > least:
+            todo = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            more = True
+            while more:
+                flat, ends, texts, held = array("q"), [], [], 0
+                while more and held < HELD_CHARS:
+                    key, text = next(todo, (None, NOTHING))
+                    more = text is not NOTHING
+                    if more and text and 4 * len(text) > least:
+                        held += len(text)
                         at = len(flat)
                         flat.extend(chain.from_iterable(map(get, pieces(text))))
                         if sum(flat[at::4]) > least:
