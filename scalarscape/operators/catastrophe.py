@@ -138,3 +138,83 @@ def launch_branches(triangles: DataFrame, vertices: DataFrame, fields: DataFrame
     kept = own.where("nn >= 3 and runs >= 4").withColumn("branch", F.when(F.col("run") == 0, F.col("runs")).otherwise(F.col("run")))
     best = kept.groupBy(*who, "branch", "sign").agg(F.max_by(F.struct("nb", "delta"), F.struct(F.abs("delta"), -F.col("nb"))).alias("b"))
     return best.select(*who, F.col("branch").cast("int").alias("branch"), "sign", F.col("b.nb").alias("neighbour"), F.col("b.delta").alias("delta"))
+
+
+def flanking_saddles(cores: DataFrame, saddles: DataFrame, least: float, most: float) -> DataFrame:
+    """(mesh_id, field, core_id, saddle_id, theta, phi, core_value, value, sx, sy, sz): saddles between ``least`` and ``most`` radians of each core, with their azimuth about it.
+
+    Both sides: mesh_id, field, id, value, ux, uy, uz. They meet by cells.
+    """
+    c = cores.select(*KEY, F.col("id").alias("core_id"), F.col("value").alias("core_value"), "ux", "uy", "uz")
+    c = _cells(c, most)
+    s = saddles.select(*KEY, F.col("id").alias("saddle_id"), "value", *[F.col(f"u{n}").alias(f"s{n}") for n in "xyz"])
+    s = s.withColumn("cell", F.struct(*[F.floor(F.col(f"s{n}") / 0.25).alias(k) for n, k in zip("xyz", "ijk", strict=True)]))
+    near = c.join(s, [*KEY, "cell"]).withColumn("theta", V.angle(V.vec("u"), V.vec("s"))).where(F.col("theta").between(least, most))
+    t1, _ = V.tangent_basis(V.vec("u"))
+    near = near.select("*", *rings.named(t1, "t"))
+    near = near.select("*", *rings.named(V.cross(V.vec("u"), V.vec("t")), "w"))
+    phi = V.azimuth(F.atan2(V.dot(V.vec("s"), V.vec("w")), V.dot(V.vec("s"), V.vec("t"))))
+    return near.select(*KEY, "core_id", "saddle_id", "theta", phi.alias("phi"), "core_value", "value", "sx", "sy", "sz")
+
+
+def star_metrics(flanks: DataFrame, spans: DataFrame, fold: int) -> DataFrame:
+    """(mesh_id, field, core_id, span_deg, barrier, relative_barrier, gap_deviation_deg) of each core with its ``fold`` nearest flanking saddles.
+
+    span: the greatest angle between two of the members; barrier: their range of values,
+    relative to the field's span; gap deviation: the mean of abs(gap - 360 / fold) over the
+    cyclic gaps of the azimuths. Cores with fewer flanks have no row.
+    """
+    from pyspark.sql import Window
+
+    who = [*KEY, "core_id"]
+    rank = F.row_number().over(Window.partitionBy(*who).orderBy("theta", "saddle_id"))
+    near = flanks.withColumn("rank", rank).where(F.col("rank") <= fold)
+    order = Window.partitionBy(*who).orderBy("phi", "saddle_id")
+    first = F.first("phi").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    gap = F.degrees(F.coalesce(F.lead("phi").over(order), first + 2 * pi) - F.col("phi"))
+    near = near.withColumn("deviation", F.abs(gap - 360.0 / fold))
+    arms = near.groupBy(*who).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("deviation").alias("gap_deviation_deg"), F.max("theta").alias("reach"),
+        F.greatest(F.max("value"), F.first("core_value")).alias("hi"), F.least(F.min("value"), F.first("core_value")).alias("lo"),
+    ).where(F.col("n") == fold)
+    side = lambda p: near.select(*who, F.col("rank").alias(f"{p}rank"), *[F.col(f"s{n}").alias(f"{p}{n}") for n in "xyz"])
+    between = side("a").join(side("b"), who).where("arank < brank")  # at most fold (fold - 1) / 2 pairs of a core
+    widest = between.groupBy(*who).agg(F.max(V.angle(V.vec("a"), V.vec("b"))).alias("widest"))
+    got = arms.join(widest, who, "left").join(F.broadcast(spans), KEY)
+    barrier = F.col("hi") - F.col("lo")
+    return got.select(
+        *who, F.degrees(F.greatest("reach", F.coalesce("widest", F.lit(0.0)))).alias("span_deg"), barrier.alias("barrier"),
+        (barrier / F.greatest(F.col("span"), F.lit(1e-12))).alias("relative_barrier"), "gap_deviation_deg",
+    )
+
+
+def nudged(centres: DataFrame, vertices: DataFrame, fields: DataFrame, radius: float, fold: int, reach: float, steps: int = 3, samples: int = 16) -> DataFrame:
+    """(mesh_id, field, entity_id, ux, uy, uz, energy, moved): each centre at the point of a tangent grid whose ring is most symmetric.
+
+    The grid has 2 * ``steps`` + 1 points a side within ``reach`` radians, cut to a disc;
+    the symmetry energy of the ring of ``radius`` about each is found for all at once, ties
+    go to the nearest point.
+    """
+    t1, _ = V.tangent_basis(V.vec("u"))
+    based = centres.select(*KEY, "entity_id", "ux", "uy", "uz", *rings.named(t1, "s"))
+    based = based.select("*", *rings.named(V.cross(V.vec("u"), V.vec("s")), "t"))
+    offsets = [(i, j) for i in range(-steps, steps + 1) for j in range(-steps, steps + 1) if i * i + j * j <= steps * steps]
+    spread = based.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])))
+    h = reach / steps
+    moved = V.plus(V.vec("u"), V.plus(V.scaled(V.vec("s"), F.col("o.i") * h), V.scaled(V.vec("t"), F.col("o.j") * h)))
+    spread = spread.select(*KEY, "entity_id", (F.col("o.i") ** 2 + F.col("o.j") ** 2).alias("d2"), "o", *rings.named(V.unit(moved), "n"))
+    ring_id = F.concat_ws("|", "mesh_id", "field", "entity_id", "o.i", "o.j")
+    spread = spread.select(
+        *KEY, "entity_id", "d2", ring_id.alias("ring_id"), *[F.col(f"n{n}").alias(f"u{n}") for n in "xyz"],
+        F.lit(radius).alias("a"), F.lit(radius).alias("b"), F.lit(1.0).alias("sphere_radius"),
+    )
+    points = rings.ring_samples(spread, samples)
+    values = rings.interpolate(points.select("mesh_id", "ring_id", "k", "x", "y", "z"), vertices, fields, reach=0.6)
+    profile = values.select("ring_id", "field", "k", F.lit(samples).alias("n"), "value").join(spread.select("ring_id", "field"), ["ring_id", "field"])
+    energy = rings.harmonic_power(profile, samples // 2).groupBy("ring_id").agg(
+        (1 - F.sum(F.when(F.col("bin") == fold, F.col("power"))) / F.sum("power")).alias("energy")
+    )
+    best = spread.join(energy, "ring_id").groupBy(*KEY, "entity_id").agg(
+        F.min_by(F.struct("ux", "uy", "uz", "energy", "d2"), F.struct(F.round("energy", 9), F.col("d2"), F.col("ring_id"))).alias("p")
+    )
+    return best.select(*KEY, "entity_id", "p.ux", "p.uy", "p.uz", "p.energy", (F.col("p.d2") > 0).alias("moved"))

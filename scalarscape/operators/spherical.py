@@ -236,3 +236,31 @@ def radial_slope(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pit
         .otherwise(0.7)
     )
     return got.select(*who, "n", slope.alias("slope"), confidence.alias("confidence"))
+
+
+def display_counts(clusters: DataFrame) -> DataFrame:
+    """(mesh_id, field, maxima, minima, saddles, euler): what is shown after reduction.
+
+    Clusters that stay whole show their members, reduced ones their effective point; the
+    Euler index is the sum of the clusters' own, so reduction preserves it.
+    """
+    rows = clusters.join(reduction(clusters).select("cluster_id", "decision"), "cluster_id")
+    whole = F.col("decision").isin("SINGLE", "IRREDUCIBLE")
+    shown = lambda n, effective: F.sum(F.when(whole, F.col(n)).otherwise((F.col("decision") == effective).cast("int")))
+    return rows.groupBy(*KEY).agg(
+        shown("n_maxima", "E-MAX").alias("maxima"), shown("n_minima", "E-MIN").alias("minima"), shown("n_saddles", "E-SAD").alias("saddles"),
+        F.sum("local_euler_index").alias("euler"),
+    )
+
+
+def nearest_cluster(points: DataFrame, clusters: DataFrame, within: float) -> DataFrame:
+    """(point_id, cluster_id, theta): the cluster of the point's mesh and field nearest to it, if one lies within ``within`` radians.
+
+    ``points``: mesh_id, field, point_id, ux, uy, uz. Ties go to the smaller cluster_id.
+    """
+    p = points.withColumn("cell", F.explode(covered_cells(F.lit(within))))
+    c = clusters.select(*KEY, "cluster_id", *[F.col(f"u{n}").alias(f"c{n}") for n in "xyz"])
+    c = c.withColumn("cell", F.struct(*[F.floor(F.col(f"c{n}") / CELL).alias(k) for n, k in zip("xyz", "ijk", strict=True)]))
+    near = p.join(c, [*KEY, "cell"]).withColumn("theta", V.angle(V.vec("u"), V.vec("c"))).where(F.col("theta") <= within)
+    best = near.groupBy("point_id").agg(F.min(F.struct("theta", "cluster_id")).alias("b"))
+    return best.select("point_id", "b.cluster_id", "b.theta")

@@ -291,6 +291,48 @@ def inside_cell(s, d):
     return grid.inside_cell(points, grid.wigner_seitz_planes(_lattices(s, d)))
 
 
+@query(f"""WITH {_CL}, r AS (SELECT *, CASE WHEN len(members) < 2 THEN 'SINGLE' WHEN local_euler_index = 0 THEN 'E-NONE' WHEN local_euler_index = 1 THEN CASE WHEN n_maxima > n_minima THEN 'E-MAX' ELSE 'E-MIN' END WHEN local_euler_index < 0 THEN 'E-SAD' ELSE 'IRREDUCIBLE' END AS de FROM cl)
+    SELECT mesh_id, field, sum(CASE WHEN de IN ('SINGLE', 'IRREDUCIBLE') THEN n_maxima WHEN de = 'E-MAX' THEN 1 ELSE 0 END)::BIGINT AS maxima, sum(CASE WHEN de IN ('SINGLE', 'IRREDUCIBLE') THEN n_minima WHEN de = 'E-MIN' THEN 1 ELSE 0 END)::BIGINT AS minima,
+    sum(CASE WHEN de IN ('SINGLE', 'IRREDUCIBLE') THEN n_saddles WHEN de = 'E-SAD' THEN 1 ELSE 0 END)::BIGINT AS saddles, sum(local_euler_index)::BIGINT AS euler FROM r GROUP BY 1, 2""")
+def display_counts(s, d):
+    return spherical.display_counts(_clusters(s, d))
+
+
+@query(f"""WITH {_CL}, f AS (SELECT p.cluster_id AS point_id, q.cluster_id, acos(greatest(-1.0, least(1.0, p.ux*q.ux+p.uy*q.uy+p.uz*q.uz))) AS theta FROM cl p JOIN cl q ON p.mesh_id = q.mesh_id AND p.field = q.field WHERE p.n_saddles > 0 AND p.n_maxima + p.n_minima = 0 AND q.n_maxima > 0)
+    SELECT point_id, arg_min(cluster_id, theta) AS cluster_id, round(min(theta), 5) AS theta FROM f WHERE theta <= 0.4 GROUP BY 1""")
+def nearest_maximum(s, d):
+    """For each lone saddle the nearest cluster that holds a maximum."""
+    c = _clusters(s, d)
+    points = c.where("n_saddles > 0 and n_maxima + n_minima = 0").select("mesh_id", "field", F.col("cluster_id").alias("point_id"), "ux", "uy", "uz")
+    return rounded(spherical.nearest_cluster(points, c.where("n_maxima > 0"), 0.4), 5)
+
+
+def _flanks(s, d) -> DataFrame:
+    c = _clusters(s, d).withColumn("value", F.aggregate("members", F.lit(0.0), lambda a, m: a + m["value"]) / F.size("members"))
+    side = lambda where: c.where(where).select("mesh_id", "field", F.col("cluster_id").alias("id"), "value", "ux", "uy", "uz")
+    return catastrophe.flanking_saddles(side("n_maxima + n_minima > 0"), side("n_saddles > 0 and n_maxima + n_minima = 0 and local_euler_index = -1"), 2 * PITCH, 12 * PITCH)
+
+
+@query(f"""WITH {_CL}, k AS (SELECT p.mesh_id, p.field, p.cluster_id AS core_id, q.cluster_id AS saddle_id, acos(greatest(-1.0, least(1.0, p.ux*q.ux+p.uy*q.uy+p.uz*q.uz))) AS theta FROM cl p JOIN cl q ON p.mesh_id = q.mesh_id AND p.field = q.field
+    WHERE p.n_maxima + p.n_minima > 0 AND q.n_saddles > 0 AND q.n_maxima + q.n_minima = 0 AND q.local_euler_index = -1) SELECT mesh_id, field, core_id, saddle_id, round(theta, 5) AS theta FROM k WHERE theta BETWEEN {2 * PITCH} AND {12 * PITCH}""")
+def flanking_saddles(s, d):
+    return rounded(_flanks(s, d).select("mesh_id", "field", "core_id", "saddle_id", "theta"), 5)
+
+
+@query()
+def star_metrics(s, d):
+    spans = _member_points(s, d).groupBy("mesh_id", "field").agg((F.max("value") - F.min("value")).alias("span"))
+    return rounded(catastrophe.star_metrics(_flanks(s, d), spans, 3))
+
+
+@query()
+def nudged_saddles(s, d):
+    field = C.part_fields(s, d).where("field = 'price'")
+    saddles = morse.critical_points(C.part_triangles(s, d), field).where("cp_type = 'saddle'")
+    centres = saddles.join(C.part_vertices(s, d), ["mesh_id", "vertex_id"]).select("mesh_id", "field", F.col("vertex_id").alias("entity_id"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("z").alias("uz"))
+    return rounded(catastrophe.nudged(centres, C.part_vertices(s, d), field, 0.2, 2, 0.1))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

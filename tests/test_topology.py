@@ -245,3 +245,35 @@ def test_snapshot_rules(spark):
     saved = leaves([(1, "a.x", "2"), (1, "a.y", "true"), (1, "b.z", "1"), (1, "a.w", "5")])
     got = {r.path: r.matches for r in snapshots.metric_diff(saved, leaves([(1, "a.x", "2.0000000001"), (1, "a.y", "false"), (1, "a.q", "1")]), "snapshot_id").collect()}
     assert got == {"a.x": True, "a.y": False, "a.w": False}
+
+
+def test_star_of_three_saddles(spark):
+    schema = "mesh_id string, field string, id string, value double, ux double, uy double, uz double"
+    ring = [(math.sin(0.1) * math.cos(2 * math.pi * i / 3 + 0.3), math.sin(0.1) * math.sin(2 * math.pi * i / 3 + 0.3), math.cos(0.1)) for i in range(3)]
+    core = spark.createDataFrame([("m", "f", "core", 5.0, 0.0, 0.0, 1.0), ("m", "f", "far", 5.0, 0.0, 0.0, -1.0)], schema)
+    saddles = spark.createDataFrame([("m", "f", f"s{i}", 4.9, *p) for i, p in enumerate(ring)] + [("m", "f", "off", 1.0, 1.0, 0.0, 0.0)], schema)
+    flanks = catastrophe.flanking_saddles(core, saddles, 0.04, 0.24)
+    assert {(r.core_id, r.saddle_id) for r in flanks.collect()} == {("core", f"s{i}") for i in range(3)}
+    spans = spark.createDataFrame([("m", "f", 10.0)], "mesh_id string, field string, span double")
+    got = catastrophe.star_metrics(flanks, spans, 3).collect()
+    assert len(got) == 1 and got[0].gap_deviation_deg == pytest.approx(0, abs=1e-6) and got[0].relative_barrier == pytest.approx(0.01)
+    chord = math.acos(sum(a * b for a, b in zip(ring[0], ring[1])))
+    assert got[0].span_deg == pytest.approx(math.degrees(chord))
+    assert catastrophe.star_metrics(flanks, spans, 4).count() == 0
+
+
+def test_display_counts_preserve_index(spark):
+    members = [(0, "maximum", 1.0, 1, *at(0.0)), (1, "saddle", 0.9, 1, *at(0.05)), (2, "maximum", 0.8, 1, *at(0.1))]
+    data = [cluster("A", at(0.05), n=(2, 0, 1), members=members), cluster("B", at(1.0), n=(0, 1, 0)), cluster("C", at(-1.0), n=(0, 0, 1))]
+    got = spherical.display_counts(spark.createDataFrame(data, CLUSTER)).first()
+    assert (got.maxima, got.minima, got.saddles, got.euler) == (1, 1, 1, 1)
+
+
+def test_names(spark):
+    names = ["Laplacian (condensed)", "ρ Laplacian", "W", "W #7", " Rho  Charge (raw)"]
+    df = spark.createDataFrame([(n,) for n in names], "field string")
+    got = [tuple(r) for r in df.select(naming.normalised(F.col("field")), naming.slug(F.col("field"))).collect()]
+    assert got[0] == ("laplacian", "laplacian_condensed") and got[1][0] == "laplacian" and got[4][0] == "charge"
+    pair = spark.range(1).select(naming.matches(F.lit(names[0]), F.lit(names[1])), naming.matches(F.lit("a"), F.lit("b"))).first()
+    assert tuple(pair) == (True, False)
+    assert {(r.field, r.pattern_no) for r in naming.select_fields(df, ["w", "lap"]).collect()} == {("W", 0), (names[0], 1), (names[1], 1)}
