@@ -10,9 +10,9 @@ before it in its series.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scalarscape.operators.windows import carry_forward
@@ -36,7 +36,6 @@ class Quantity:
     joiner: str = "/"
     unit: str = ""
     default: str | None = None
-    steps: tuple[str, ...] = field(default=())
 
 
 #: Names and places under which the exporting stations write the three quantities.
@@ -242,7 +241,7 @@ def drift_events(files: DataFrame, quantities: tuple[Quantity, ...] = SNAPSHOT_Q
 
 
 def schema_versions(files: DataFrame, quantities: tuple[Quantity, ...] = SNAPSHOT_QUANTITIES) -> DataFrame:
-    """The registry: one row per fingerprint with its number of files, where it first stood, and the migration steps that its files go through.
+    """The registry: one row per fingerprint with its number of files, where it first stood, its version there, and the migration steps that its files go through.
 
     Steps are named ``rename <place> -> <quantity>``, ``cast <quantity> <type> ->
     <sql type>`` and ``default <quantity>``, in order. An empty table gives no rows.
@@ -266,4 +265,5 @@ def schema_versions(files: DataFrame, quantities: tuple[Quantity, ...] = SNAPSHO
             F.min(F.struct("series", "file_seq")).alias("_first"),
         )
         .select("fingerprint", "steps", "n_files", "n_series", "_first.series", F.col("_first.file_seq").alias("first_seq"))
+        .withColumn("version", F.row_number().over(Window.partitionBy("series").orderBy("first_seq", "fingerprint")))
     )

@@ -231,8 +231,8 @@ def radial_slope(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pit
     confidence = (
         F.when(F.col("n") < 2, 0.0)
         .when(diff.isNull(), 0.8)
+        .when(F.abs(slope) < 1e-9, 0.5)  # first, so that rounding decides no sign
         .when(((diff > 0) & (slope > 0)) | ((diff < 0) & (slope < 0)), 0.95)
-        .when(F.abs(slope) < 1e-9, 0.5)
         .otherwise(0.7)
     )
     return got.select(*who, "n", slope.alias("slope"), confidence.alias("confidence"))

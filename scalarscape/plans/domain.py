@@ -112,7 +112,13 @@ _S = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id
 _LEAVES = f"{_S}, sec AS (SELECT snapshot_id, dataset, received_at, unnest(json_keys(derived_metrics::JSON)) AS section, derived_metrics::JSON AS j FROM s WHERE derived_metrics IS NOT NULL), leaves AS (SELECT snapshot_id, section || '.' || k AS path, section, json_extract_string(j, '$.' || section || '.' || k) AS value FROM (SELECT *, unnest(json_keys(j, '$.' || section)) AS k FROM sec))"
 
 
-@query()
+_CONTROLS = "[" + ", ".join(f"'{k}'" for k in sorted(snapshots.DEFAULT_FLOATS)) + "]"
+
+
+@query(f"""WITH {_S}, r AS (SELECT *, list_filter({_CONTROLS}, lambda k: NOT coalesce(list_contains(map_keys(params.floats), k), false)) AS m FROM s)
+    SELECT snapshot_id, CASE WHEN coalesce(schema_version <> 2, true) THEN 'wrong version' WHEN params IS NULL OR params.floats IS NULL THEN 'no params' WHEN len(m) > 0 THEN 'missing controls'
+    WHEN camera IS NOT NULL AND NOT coalesce(len(camera.position) = 3 AND len(camera.focal_point) = 3 AND len(camera.view_up) = 3 AND camera.parallel_scale > 0 AND camera.view_angle > 0 AND camera.view_angle < 180 AND camera.parallel_projection IN (0, 1), false) THEN 'bad camera' ELSE 'ok' END AS status,
+    array_to_string(m, ',') AS missing, (coalesce(cardinality(params.bools), 0) + coalesce(cardinality(params.floats), 0) + coalesce(cardinality(params.strings), 0))::INT AS n_values FROM r""")
 def snapshot_load_report(s, d):
     return snapshots.load_report(_snapshots(s, d))
 
@@ -122,12 +128,16 @@ def snapshot_overrides(s, d):
     return snapshots.with_overrides(_snapshots(s, d), ["k_bridge=3.25"])
 
 
-@query()
+_CAMERA = "len(camera.position) = 3 AND len(camera.focal_point) = 3 AND len(camera.view_up) = 3 AND camera.parallel_scale > 0 AND camera.view_angle > 0 AND camera.view_angle < 180 AND camera.parallel_projection IN (0, 1)"
+
+
+@query(f"WITH {_S} SELECT snapshot_id, " + ", ".join(f"round(camera.{v}[{i + 1}] - coalesce(camera.atom_center[{i + 1}], 0), 6) AS {p}{n}" for v, p in (("position", "p"), ("focal_point", "f")) for i, n in enumerate("xyz")) + f" FROM s WHERE {_CAMERA}")
 def snapshot_cameras(s, d):
     return rounded(snapshots.rebased_camera(_snapshots(s, d)))
 
 
-@query()
+@query(f"""WITH {_S}, r AS (SELECT snapshot_id, params.strings['selected_field'] AS w, list_transform(context.field_items, lambda i: i.value) AS l FROM s)
+    SELECT snapshot_id, CASE WHEN coalesce(list_contains(l, w), false) THEN w ELSE list_filter(l, lambda v: v IS NOT NULL)[1] END AS field, NOT coalesce(list_contains(l, w), false) AS fallback FROM r""")
 def snapshot_restore(s, d):
     return snapshots.restore_plan(_snapshots(s, d))
 

@@ -138,7 +138,7 @@ def _p4_sql() -> str:
     )
 
 
-_P5_SQL = """
+_P5_PARTS = """
 WITH docs AS (SELECT DISTINCT export_id, payload::JSON AS j FROM session_exports WHERE json_valid(payload)),
 lists AS (SELECT export_id, CASE json_type(j, '$.snapshots') WHEN 'ARRAY' THEN json_extract(j, '$.snapshots[*]')
           WHEN 'OBJECT' THEN [json_extract(j, '$.snapshots')] ELSE [] END AS l FROM docs),
@@ -147,12 +147,21 @@ metrics AS (SELECT export_id, snap_pos, CASE json_type(s, '$.derived_metrics') W
             THEN json_extract_string(s, '$.derived_metrics')::JSON ELSE json_extract(s, '$.derived_metrics') END AS m FROM snaps),
 items AS (SELECT export_id, snap_pos, CASE json_type(s, '$.context.field_items') WHEN 'ARRAY' THEN json_extract(s, '$.context.field_items[*]')
           WHEN 'OBJECT' THEN [json_extract(s, '$.context.field_items')] ELSE [] END AS l FROM snaps),
-item AS (SELECT export_id, snap_pos, i - 1 AS item_pos, l[i] AS v FROM (SELECT export_id, snap_pos, l, unnest(range(1, len(l) + 1)) AS i FROM items))
+item AS (SELECT export_id, snap_pos, i - 1 AS item_pos, l[i] AS v FROM (SELECT export_id, snap_pos, l, unnest(range(1, len(l) + 1)) AS i FROM items))"""
+
+_P5_SQL = _P5_PARTS + """
 SELECT export_id, snap_pos::INT AS snap_pos, 'field_item' AS leaf, item_pos::INT AS item_pos FROM item WHERE json_type(v, '$.value') <> 'NULL'
 UNION ALL SELECT export_id, snap_pos::INT, 'display_counts', -1 FROM metrics WHERE json_type(m, '$.display_counts.saddles') <> 'NULL'
 UNION ALL SELECT export_id, snap_pos::INT, 'geom_info', -1 FROM metrics WHERE json_type(m, '$.geom_info.avg_edge_length') <> 'NULL'
 """
 
 
+_P5_FLAT = {
+    "p5_snapshots": "SELECT export_id, snap_pos::INT AS snap_pos, json_extract_string(s, '$.context.plt_path') AS plt_path FROM snaps WHERE json_type(s) = 'OBJECT'",
+    "p5_field_items": "SELECT export_id, snap_pos::INT AS snap_pos, item_pos::INT AS item_pos, json_extract_string(v, '$.title') AS title, json_extract_string(v, '$.value') AS value FROM item "
+    "WHERE json_extract_string(v, '$.title') IS NOT NULL OR json_extract_string(v, '$.value') IS NOT NULL",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _p2_sql(), "p4_found": _p4_sql(), "p5_found": _P5_SQL}
+    return {"p2_found": _p2_sql(), "p4_found": _p4_sql(), "p5_found": _P5_SQL} | {k: f"{_P5_PARTS} {v}" for k, v in _P5_FLAT.items()}

@@ -63,8 +63,9 @@ def radial_offset_world(s, d):
 
 
 def _morse_sql(tie: str) -> str:
-    low = "f < fv OR (f = fv AND n < v)" if tie == "rank" else "f < fv"
-    high = "f > fv OR (f = fv AND n > v)" if tie == "rank" else "f > fv"
+    e = "(SELECT greatest(max(value) - min(value), 1.0) * 1e-15 FROM fields x WHERE x.field = g.field)"
+    low = {"rank": "f < fv OR (f = fv AND n < v)", "none": "f < fv", "literal": f"f + n * {e} < g.value + v * {e}"}[tie].replace("fv", "g.value")
+    high = {"rank": "f > fv OR (f = fv AND n > v)", "none": "f > fv", "literal": f"f + n * {e} > g.value + v * {e}"}[tie].replace("fv", "g.value")
     return f"""{C.MESH_SQL}, turns AS (SELECT a AS v, b AS u, c AS w FROM triangles UNION ALL SELECT b, c, a FROM triangles UNION ALL SELECT c, a, b FROM triangles),
     link AS (SELECT DISTINCT v, least(u, w) AS u, greatest(u, w) AS w FROM turns),
     ends AS (SELECT v, u, w, u AS n FROM link UNION ALL SELECT v, u, w, w FROM link),
@@ -92,7 +93,7 @@ def morse_critical_points_untied(s, d):
     return _cps(s, d, "none")
 
 
-@query()
+@query(f"WITH {_morse_sql('literal')} SELECT * FROM cps")
 def morse_critical_points_perturbed(s, d):
     return _cps(s, d, "literal")
 
@@ -252,16 +253,22 @@ def ring_frames(s, d):
     return rounded(rings.ring_frame(rings.ring_samples(circles, 16)))
 
 
-@query()
+@query(f"""WITH {_RING_SAMPLES}, kn AS (SELECT ring_id, k, vertex_id, acos(greatest(-1.0, least(1.0, s.x*v.x+s.y*v.y+s.z*v.z))) AS th FROM samples s JOIN vertices v ON true WHERE s.x*v.x+s.y*v.y+s.z*v.z >= cos(0.5)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY ring_id, k ORDER BY th, vertex_id) AS r FROM kn), u AS (SELECT ring_id, k, greatest(th, 1e-7) AS th, r, value FROM rk JOIN fields USING (vertex_id) WHERE r <= 4 AND field = 'price')
+    SELECT 'part' AS mesh_id, 'price' AS field, ring_id, k, round(CASE WHEN min(th) <= 1e-7 THEN arg_min(value, r) ELSE sum(value / th**2) / sum(1 / th**2) END, 3) AS value FROM u GROUP BY ring_id, k""")
 def ring_idw(s, d):
     samples = rings.ring_samples(_centres(s, d), 16)
-    return rounded(rings.interpolate(samples, C.part_vertices(s, d), C.part_fields(s, d).where("field = 'price'")))
+    return rounded(rings.interpolate(samples, C.part_vertices(s, d), C.part_fields(s, d).where("field = 'price'")), 3).withColumn("ring_id", F.col("ring_id").cast("bigint"))
 
 
-@query()
+@query(f"""WITH {_morse_sql('rank')}, ctr AS (SELECT field, vertex_id AS entity_id, x AS cx, y AS cy, z AS cz FROM cps JOIN vertices USING (vertex_id) WHERE field = 'price'),
+    near AS (SELECT c.field, entity_id, value, acos(greatest(-1.0, least(1.0, cx*x+cy*y+cz*z))) AS th FROM ctr c JOIN vertices v ON cx*x+cy*y+cz*z >= cos(0.46) JOIN fields f ON f.vertex_id = v.vertex_id AND f.field = c.field),
+    ok AS (SELECT *, th BETWEEN 0.1 AND 0.30000000000000004 AS ring FROM near WHERE th <= 0.45000000000000007), e AS (SELECT entity_id, count(*) FILTER (ring) >= 3 AS narrow FROM ok GROUP BY 1), us AS (SELECT ok.* FROM ok JOIN e USING (entity_id) WHERE ring OR NOT narrow),
+    md AS (SELECT entity_id, quantile_cont(th, 0.5) AS m FROM us GROUP BY 1), g AS (SELECT field, entity_id, count(*) AS n, covar_samp(value, th) / var_pop(th) AS sl, avg(value) FILTER (th > m) - avg(value) FILTER (th <= m) AS df FROM us JOIN md USING (entity_id) GROUP BY 1, 2)
+    SELECT 'part' AS mesh_id, field, entity_id, n, round(sl, 4) AS slope, CASE WHEN df IS NULL THEN 0.8 WHEN abs(sl) < 1e-9 THEN 0.5 WHEN (df > 0 AND sl > 0) OR (df < 0 AND sl < 0) THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM g""")
 def radial_slopes(s, d):
     centres = _centres(s, d).select("mesh_id", "field", F.col("ring_id").alias("entity_id"), "ux", "uy", "uz", F.lit(0.1).alias("radius"))
-    return rounded(spherical.radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1))
+    return rounded(spherical.radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1), 4)
 
 
 def _clusters(s, d) -> DataFrame:
