@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarscape.session import cut_lineage
+from scalarscape.session import cut_lineage, partitions_for
 
 BITS = 20  # the model has 2 ** BITS counters for each length of sequence, whatever the table's size
 EXPANSIONS = 10  # states that one search opens
@@ -387,7 +387,8 @@ def garbled_texts(texts: DataFrame, text: str = "text", weight: str = "n") -> Da
                 names=["text", "restored", "way", "restorable", "cost", "cost_restored"],
             )
 
-    return weighed.select("text").mapInArrow(
+    shape = F.regexp_replace("text", "[0-9]", "0")  # texts of one shape share a search; tasks are many, as a search is long
+    return weighed.select("text").repartition(2 * partitions_for(spark), shape).mapInArrow(
         run, "text string, restored string, way string, restorable boolean, cost double, cost_restored double"
     )
 
