@@ -114,11 +114,7 @@ def _as_utf8(text: str, codec: str, recase: bool, lost: bool, choose) -> str:
                 options = []
                 spaced = len(follow) < need and text[i + 1 + len(follow) : i + 2 + len(follow)] == " "
                 for got in (follow, [*follow, 0xA0]) if spaced else (follow,):  # a no-break space made a plain one
-                    for filled in _fillings(got, need):
-                        try:
-                            options.append((bytes([lead, *filled]).decode("utf-8"), 1 + len(got)))
-                        except UnicodeDecodeError:
-                            continue
+                    options += [(char, 1 + len(got)) for char in _lost_chars(lead, tuple(got), need)]
                 if options:
                     char, used = choose("".join(out[-2:]), options, text[i:])
                     out.append(char)
@@ -147,6 +143,18 @@ def _counter(x: int) -> int:
     return ((x * SPREAD) & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS)
 
 
+@lru_cache(maxsize=100_000)
+def _lost_chars(lead: int, follow: tuple[int, ...], need: int) -> list[str]:
+    """Characters whose bytes a lead byte and what is left of its sequence can have been."""
+    out = []
+    for filled in _fillings(list(follow), need):
+        try:
+            out.append(bytes([lead, *filled]).decode("utf-8"))
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
 class Plausibility(dict):
     """Implausibility of texts in nats, from hashed counts of one, two and three characters; letter case and digits are set aside.
 
@@ -155,8 +163,11 @@ class Plausibility(dict):
 
     def __init__(self, counts: np.ndarray):
         super().__init__()
-        self.one, self.two, self.three = (c.astype(np.float64) for c in counts)
-        self.total = max(1.0, float(self.one.sum()))
+        self.counts = counts
+        self.ways: dict[str, str] = {}  # found so far, by shape
+        self.chosen: dict[tuple, tuple[str, int]] = {}  # what lost bytes can have been, by what stands around them
+        self.one, self.two, self.three = counts
+        self.total = max(1.0, float(self.one.sum(dtype=np.float64)))
 
     @staticmethod
     def plain(text: str) -> str:
@@ -176,14 +187,14 @@ class Plausibility(dict):
         kind = unicodedata.category(c)
         prior = 1e-2 if c < "\x80" else 1e-9 if c == "\ufffd" or kind[0] == "C" else 1e-5 if kind[0] == "L" else 3e-6
         a, b = three[0], three[1]
-        texts = self.one[_counter(2 + 1)]  # a text's end, character 3, occurs once a text
+        texts = float(self.one[_counter(2 + 1)])  # a text's end, character 3, occurs once a text
         single = texts if b == "\x02" else self.one[_counter(ord(b))]
         pair = texts if b == "\x02" else self.two[_counter(ord(a) * WIDE + ord(b) + 1)]
         x, y = _counter(ord(c)), _counter(ord(b) * WIDE + ord(c) + 1)
         z = _counter((ord(b) * WIDE + ord(c)) * WIDE + ord(a) + 2)
         p1 = (self.one[x] + 50 * prior) / (self.total + 50)
-        bc = min(self.two[y], self.one[x], single)  # no sequence is more frequent than its parts: colliding counters show
-        abc = min(self.three[z], bc, pair)
+        bc = min(float(self.two[y]), float(self.one[x]), float(single))  # no sequence is more frequent than its parts: colliding counters show
+        abc = min(float(self.three[z]), bc, float(pair))
         p2 = (bc + 2 * p1) / (single + 2)
         p3 = (abc + 2 * p2) / (pair + 2)
         cost = self[three] = float(-np.log(p3))
@@ -192,7 +203,7 @@ class Plausibility(dict):
         return cost
 
     def cost(self, text: str) -> float:
-        t = self.plain(text)
+        t = "\x02\x02" + DIGITS.sub("0", text).lower() + "\x03"
         return sum([self[t[i : i + 3]] for i in range(len(t) - 2)])
 
     def doubtful(self, text: str) -> float:
@@ -201,6 +212,16 @@ class Plausibility(dict):
         return sum([self[x] for i in range(len(t) - 2) if not (x := t[i : i + 3]).isascii()])
 
 
+_SHARED: list[Plausibility] = []
+
+
+def shared(counts: np.ndarray) -> Plausibility:
+    """The model of a Python worker: tasks that run in it one after another share what was computed."""
+    if not (_SHARED and _SHARED[0].counts is counts):
+        _SHARED[:] = [Plausibility(counts)]
+    return _SHARED[0]
+
+
 @lru_cache(maxsize=1)
 def _translations() -> list[tuple[str, str, dict[int, str]]]:
     byte, char = _tables()
@@ -224,13 +245,21 @@ def _neighbours(text: str, model: Plausibility) -> Iterator[tuple[str, str, floa
     byte, char = _tables()
 
     def choose(before: str, options: list[tuple[str, int]], rest: str) -> tuple[str, int]:
+        key = (before, tuple(options), rest[: options[0][1] + 4])
+        known = model.chosen.get(key)
+        if known is not None:
+            return known
+
         def cost(option: tuple[str, int]) -> float:
             t = model.plain(before + option[0])[-1 - len(option[0]) - 2 : -1]
             after = rest[option[1] :][:2]
             seam = 0.0 if not after.isascii() else sum(model[x] for x in (model.plain(option[0] + after)[2:5],) if len(x) == 3)
             return sum(model[t[i : i + 3]] for i in range(len(t) - 2)) + seam
 
-        return min(options, key=cost)
+        if len(model.chosen) > 500_000:
+            model.chosen.clear()
+        best = model.chosen[key] = min(options, key=cost)
+        return best
 
     for codec in SINGLE:
         table = byte[codec]
@@ -356,8 +385,8 @@ def garbled_texts(texts: DataFrame, text: str = "text", weight: str = "n") -> Da
     model = spark.sparkContext.broadcast(count_sequences(weighed, "text", "n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plausibility = Plausibility(model.value)
-        ways: dict[str, str] = {}
+        plausibility = shared(model.value)
+        ways = plausibility.ways
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for value in batch.column(0).to_pylist():
