@@ -36,7 +36,7 @@ def saddle_pair_candidates(points: DataFrame, spans: DataFrame, pitch_deg: float
     side = lambda p: cells.select(*KEY, "cell", *[F.col(c).alias(f"{p}_{c}") for c in ("vertex_id", "value", "ux", "uy", "uz")])
     met = side("a").join(side("b"), [*KEY, "cell"]).where("a_vertex_id < b_vertex_id")
     met = met.withColumn("separation_deg", V.separation_deg(V.vec("a_u"), V.vec("b_u"))).where(F.col("separation_deg").between(1e-9, limit))
-    met = met.drop("cell").dropDuplicates([*KEY, "a_vertex_id", "b_vertex_id"]).join(F.broadcast(spans), KEY)
+    met = met.drop("cell").dropDuplicates([*KEY, "a_vertex_id", "b_vertex_id"]).join(spans, KEY)
     barrier = F.abs(F.col("a_value") - F.col("b_value")) / F.greatest(F.col("span"), F.lit(1e-12))
     near = met.withColumn("barrier", barrier).where(F.col("barrier") <= barrier_tolerance)
     middle = V.unit(V.plus(V.vec("a_u"), V.vec("b_u")))
@@ -180,7 +180,7 @@ def star_metrics(flanks: DataFrame, spans: DataFrame, fold: int) -> DataFrame:
     side = lambda p: near.select(*who, F.col("rank").alias(f"{p}rank"), *[F.col(f"s{n}").alias(f"{p}{n}") for n in "xyz"])
     between = side("a").join(side("b"), who).where("arank < brank")  # at most fold (fold - 1) / 2 pairs of a core
     widest = between.groupBy(*who).agg(F.max(V.angle(V.vec("a"), V.vec("b"))).alias("widest"))
-    got = arms.join(widest, who, "left").join(F.broadcast(spans), KEY)
+    got = arms.join(widest, who, "left").join(spans, KEY)
     barrier = F.col("hi") - F.col("lo")
     return got.select(
         *who, F.degrees(F.greatest("reach", F.coalesce("widest", F.lit(0.0)))).alias("span_deg"), barrier.alias("barrier"),

@@ -130,7 +130,7 @@ def level_crossings(triangles: DataFrame, fields: DataFrame, levels: DataFrame)
     edges = tri.select("mesh_id", "field", F.inline(pairs)).select(
         "mesh_id", "field", F.col("s.vertex").alias("u"), F.col("s.value").alias("fu"), F.col("e.vertex").alias("v"), F.col("e.value").alias("fv")
     ).where("u <> v").dropDuplicates(["mesh_id", "field", "u", "v"])
-    crossed = edges.join(F.broadcast(levels), ["mesh_id", "field"]).where("(fu >= level) <> (fv >= level)")
+    crossed = edges.join(levels, ["mesh_id", "field"]).where("(fu >= level) <> (fv >= level)")
     return crossed.select("mesh_id", "field", "level", "u", "v", ((F.col("level") - F.col("fu")) / (F.col("fv") - F.col("fu"))).alias("t"))
 
 

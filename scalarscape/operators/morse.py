@@ -53,7 +53,7 @@ def critical_points(triangles: DataFrame, fields: DataFrame, tie: str = "rank")
     span = None
     if tie == "literal":
         spans = fields.groupBy(*KEY).agg((F.max("value") - F.min("value")).alias("_span"))
-        link, span = link.join(F.broadcast(spans), KEY), F.col("_span")
+        link, span = link.join(spans, KEY), F.col("_span")
     v, f = F.col("vertex_id"), F.col("value")
     low = {n: _below(tie, F.col(f"{n}f"), F.col(f"{n}i"), f, v, span) for n in "uw"}
     high = {n: _below(tie, f, v, F.col(f"{n}f"), F.col(f"{n}i"), span) for n in "uw"}

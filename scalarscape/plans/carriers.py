@@ -20,8 +20,8 @@ OFFSET = (1.261797, -0.00009, -0.000193)  # centre of the shifted copy of the sp
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vertex_id"))
-    last = parts.agg(F.max("vertex_id").alias("last"))
-    return parts.join(F.broadcast(last)).withColumn("rings", ((F.col("last") - 1) / SEGMENTS).cast("int"))
+    last = parts.agg(F.max("vertex_id")).first()[0] or 0
+    return parts.select("vertex_id", F.lit(last).cast("bigint").alias("last"), F.lit((last - 1) // SEGMENTS).alias("rings"))
 
 
 def part_vertices(spark: SparkSession, sf_dir: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
