@@ -90,3 +90,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions_for(spark: SparkSession) -> int:
     """Number of tasks that explicit repartitioning aims at: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the application has cores: for long computations on few or unsplittable files."""
+    spark = df.sparkSession
+    wanted = min(partitions_for(spark), spark.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
