@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from scalarscape.llm import tokenizer
+from scalarscape.session import spread
 
 BLOCK_WORDS = 24  # words on either side of a gap
 NEIGHBOURS = 3  # gaps on either side among which a valley's shoulders are sought
@@ -274,4 +275,4 @@ def split(
         "doc_id bigint, limit_name string, piece_no int, start_char bigint, end_char bigint, n_tokens int, "
         "overlap_tokens int, boundary string, text string"
     )
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, schema)

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scalarscape.session import spread
+
 #: Default folder of the vocabularies, Unicode white space, and the vocabulary's pre-token pattern.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -217,7 +219,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([part.column(0), _arrow_ids(ids, ends)], names=[key, out])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, `{out}` array<int>")
 
 
 def count_tokens(
@@ -235,7 +237,7 @@ def count_tokens(
             )
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, text).mapInArrow(run, f"{kinds}, `{out}` bigint")
+    return spread(df.select(*keys, text)).mapInArrow(run, f"{kinds}, `{out}` bigint")
 
 
 def decode(df: DataFrame, key: str, ids: str, folder: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
