@@ -94,12 +94,20 @@ def metric_leaves(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def leaf_matches(a: Column, b: Column, rtol: float = 1e-6, atol: float = 1e-12) -> Column:
-    """Numbers within tolerance, other leaves by equality; null meets null."""
+def scalar_matches(a: Column, b: Column, rtol: float = 1e-6, atol: float = 1e-12) -> Column:
+    """Numbers within tolerance, other values by equality; null meets null."""
     x, y = a.try_cast("double"), b.try_cast("double")
     return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= atol + rtol * F.abs(y)).otherwise(a.eqNullSafe(b))
 
 
+def leaf_matches(a: Column, b: Column, rtol: float = 1e-6, atol: float = 1e-12) -> Column:
+    """Lists of one length element by element, other leaves whole, each by scalar_matches."""
+    listed = lambda c: F.when(c.startswith("["), F.from_json(c, "array<string>"))
+    x, y = listed(a), listed(b)
+    each = F.forall(F.zip_with(x, y, lambda p, q: scalar_matches(p, q, rtol, atol)), lambda same: same)
+    return F.when(x.isNotNull() & y.isNotNull(), (F.size(x) == F.size(y)) & each).otherwise(scalar_matches(a, b, rtol, atol))
+
+
 def metric_diff(saved: DataFrame, computed: DataFrame, key: str) -> DataFrame:
     """(key, path, saved, computed, matches): every saved leaf beside the computed one of the same key and path.
 

@@ -144,7 +144,7 @@ def snapshot_restore(s, d):
 
 @query(f"WITH {_LEAVES} SELECT snapshot_id, path, value FROM leaves WHERE value NOT LIKE '[%'")
 def metric_leaves(s, d):
-    return snapshots.metric_leaves(_snapshots(s, d)).where("value not like '[%'")
+    return snapshots.metric_leaves(_snapshots(s, d))
 
 
 @query(f"""WITH {_LEAVES}, prev AS (SELECT snapshot_id, lag(snapshot_id) OVER (PARTITION BY dataset ORDER BY received_at, snapshot_id) AS p FROM s),
@@ -153,7 +153,7 @@ def metric_leaves(s, d):
         THEN abs(TRY_CAST(a.value AS DOUBLE) - TRY_CAST(b.value AS DOUBLE)) <= 1e-12 + 1e-6 * abs(TRY_CAST(b.value AS DOUBLE)) ELSE a.value IS NOT DISTINCT FROM b.value END AS matches
     FROM saved a JOIN have USING (snapshot_id, section) LEFT JOIN leaves b ON b.snapshot_id = a.snapshot_id AND b.path = a.path WHERE a.path <> 'geom_info.center'""")
 def metric_diff(s, d):
-    return snapshots.drift_against_previous(_snapshots(s, d)).where("path <> 'geom_info.center'")
+    return snapshots.drift_against_previous(_snapshots(s, d))
 
 
 @query()
