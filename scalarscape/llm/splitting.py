@@ -4,9 +4,9 @@ A text is cut into units (pre-tokens; long ones into runs of whole characters),
 with its number of tokens. At every gap after a sentence, line or paragraph the
 words of a sliding block before it are compared with those of the block after it; the
 depth of the valley that this similarity has there tells a topic boundary. Each
-piece ends at the deepest valley within its size window, at a weaker kind of
-boundary where the window has none, and the next piece starts the asked number of
-tokens before that end. Token counts of the pieces are exact: a piece starts and
+piece ends at the deepest valley within its size window; where the window has none,
+at the deepest one before it in the piece, and only without any at a weaker kind of
+boundary. The next piece starts the asked number of tokens before that end. Token counts of the pieces are exact: a piece starts and
 ends between tokens, and encoding it alone gives these tokens.
 """
 
@@ -27,7 +27,7 @@ from scalarscape.session import spread
 BLOCK_WORDS = 24  # words on either side of a gap
 NEIGHBOURS = 3  # gaps on either side among which a valley's shoulders are sought
 LONG_UNIT = 8  # tokens beyond which a pre-token is cut into runs
-FILL = 0.5  # a piece brings at least this part of what it may bring that is new
+FILL = 0.5  # a piece brings at least this part of what it may bring that is new, unless a sentence, line or paragraph ends only earlier
 HELD_CHARS = 400_000  # characters of texts whose units a task holds at once
 NOTHING = object()
 MAX_LIMITS = 1000  # rows of the table of limits, which the driver reads
@@ -127,14 +127,20 @@ class Text:
             at = np.flatnonzero(kind >= least)
             self.gaps.append(((at + 1).tolist(), score[at].tolist()))
 
-    def best_end(self, low: int, top: int) -> int:
-        """The unit before which a piece ends: the deepest valley of the window's strongest class, the later one of equals."""
-        for ends, scores in self.gaps:
+    def best_end(self, low: int, top: int, classes: list) -> int:
+        """The unit before which a piece ends: the deepest valley of the window's strongest class, the later one of equals; 0 for none."""
+        for ends, scores in classes:
             i, j = bisect_left(ends, low), bisect_right(ends, top)
             if i < j:
                 window = scores[i:j]
                 return ends[j - 1 - window[::-1].index(max(window))]
-        return top
+        return 0
+
+    def natural_ends(self, low: int, top: int) -> list[int]:
+        """The ends of sentences, lines and paragraphs from ``low`` to ``top``, the deepest valley first, the later one of equals."""
+        ends, scores = self.gaps[0]
+        at = range(bisect_left(ends, low), bisect_right(ends, top))
+        return [ends[i] for i in sorted(at, key=lambda i: (scores[i], i), reverse=True)]
 
     def cuts(self, limit: int, overlap: int, inner) -> list[tuple[int, int, int, int, int]]:
         """Per piece: start unit, tokens and characters of it left out, end unit, tokens shared with the piece before.
@@ -143,6 +149,25 @@ class Text:
         """
         total, n = self.tokens, len(self.tokens) - 1
         overlap = max(0, min(overlap, limit // 2))
+
+        def resume(begin: int, end: int) -> tuple[int, int, int]:
+            """Where the piece after one of ``begin`` (tokens) to ``end`` (units) starts: unit, tokens and characters left out."""
+            if not overlap:
+                return end, 0, 0
+            wish = max(total[end] - overlap, begin + 1)
+            unit = bisect_right(total, wish) - 1
+            for skip in range(wish - total[unit], -1, -1):
+                inside = inner(unit, skip) if skip else 0
+                if inside is not None:
+                    break
+            if total[unit] + skip <= begin or total[end] - total[unit] - skip >= limit:
+                return end, 0, 0
+            return unit, skip, inside
+
+        def overlaps(begin: int, end: int) -> bool:
+            """Whether the next piece can share what is asked."""
+            return not overlap or (total[end] - overlap > begin and resume(begin, end)[0] < end)
+
         out, unit, skip, inside, done = [], 0, 0, 0, 0
         while True:
             begin = total[unit] + skip
@@ -153,18 +178,15 @@ class Text:
             top = max(bisect_right(total, begin + limit) - 1, done + 1)  # a single unit over the limit stands alone
             fresh = begin + limit - total[done]
             low = min(max(bisect_left(total, total[done] + int(FILL * fresh)), done + 1), top)
-            end = self.best_end(low, top)
+            end = (
+                self.best_end(low, top, self.gaps[:1])
+                or next((e for e in self.natural_ends(done + 1, low - 1) if overlaps(begin, e)), 0)
+                or self.best_end(low, top, self.gaps[1:])
+                or top
+            )
             out.append((unit, skip, inside, end, shared))
-            done, unit, skip, inside = end, end, 0, 0
-            if overlap:
-                wish = max(total[end] - overlap, begin + 1)
-                unit = bisect_right(total, wish) - 1
-                for skip in range(wish - total[unit], -1, -1):
-                    inside = inner(unit, skip) if skip else 0
-                    if inside is not None:
-                        break
-                if total[unit] + skip <= begin or total[end] - total[unit] - skip >= limit:
-                    unit, skip, inside = end, 0, 0
+            unit, skip, inside = resume(begin, end)
+            done = end
 
 
 def split(
