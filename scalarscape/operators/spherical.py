@@ -175,17 +175,26 @@ def count_polarity(n_max: Column, n_min: Column) -> Column:
     return F.when(n_max > n_min, "E-MAX").otherwise("E-MIN")
 
 
-def reduction(clusters: DataFrame) -> DataFrame:
+def slope_polarity(slope: Column, n_max: Column, n_min: Column) -> Column:
+    """A field that falls outward makes a maximum, one that rises a minimum; a flat or unknown slope leaves it to the counts."""
+    return F.when(slope < -1e-12, "E-MAX").when((slope > 1e-12) & ~F.isnan(slope), "E-MIN").otherwise(count_polarity(n_max, n_min))
+
+
+def reduction(clusters: DataFrame, slopes: DataFrame | None = None) -> DataFrame:
     """(mesh_id, field, cluster_id, decision, effective_value, n_hidden, shown_index): clusters of several points reduced to at most one.
 
-    The value of a maximum or a saddle is the largest of the members', that of a minimum
+    ``slopes``: mesh_id, field, cluster_id, slope, one row for each cluster at most, as from
+    cluster_slopes; they decide the polarity at index 1, the counts only where a slope is
+    flat or absent. The value of a maximum or a saddle is the largest of the members', that of a minimum
     the smallest. One-member clusters stay. Hidden members are those of clusters that are
     reduced; the index shown is preserved.
     """
     values = F.transform("members", lambda m: m["value"])
-    decision = F.when(F.size("members") < 2, "SINGLE").otherwise(
-        reduction_decision(F.col("local_euler_index"), count_polarity(F.col("n_maxima"), F.col("n_minima")))
-    )
+    polarity = count_polarity(F.col("n_maxima"), F.col("n_minima"))
+    if slopes is not None:
+        clusters = clusters.drop("_slope").join(slopes.select(*KEY, "cluster_id", F.col("slope").alias("_slope")), [*KEY, "cluster_id"], "left")
+        polarity = slope_polarity(F.col("_slope"), F.col("n_maxima"), F.col("n_minima"))
+    decision = F.when(F.size("members") < 2, "SINGLE").otherwise(reduction_decision(F.col("local_euler_index"), polarity))
     rows = clusters.withColumn("decision", decision)
     reduced = F.col("decision").isin("E-NONE", "E-MAX", "E-MIN", "E-SAD")
     return rows.select(
@@ -238,13 +247,20 @@ def radial_slope(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pit
     return got.select(*who, "n", slope.alias("slope"), confidence.alias("confidence"))
 
 
-def display_counts(clusters: DataFrame) -> DataFrame:
-    """(mesh_id, field, maxima, minima, saddles, euler): what is shown after reduction.
+def cluster_slopes(clusters: DataFrame, vertices: DataFrame, fields: DataFrame, pitch: float) -> DataFrame:
+    """(mesh_id, field, cluster_id, n, slope, confidence): radial_slope outward of the clusters of index 1 and several members, the only ones whose polarity is asked."""
+    asked = clusters.where("local_euler_index = 1 and size(members) >= 2")
+    centres = asked.select(*KEY, F.col("cluster_id").alias("entity_id"), "ux", "uy", "uz", F.col("angular_radius_rad").alias("radius"))
+    return radial_slope(centres, vertices, fields, pitch).withColumnRenamed("entity_id", "cluster_id")
+
+
+def display_counts(clusters: DataFrame, slopes: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, field, maxima, minima, saddles, euler): what is shown after reduction, with its ``slopes``.
 
     Clusters that stay whole show their members, reduced ones their effective point; the
     Euler index is the sum of the clusters' own, so reduction preserves it.
     """
-    rows = clusters.join(reduction(clusters).select("cluster_id", "decision"), "cluster_id")
+    rows = clusters.join(reduction(clusters, slopes).select("cluster_id", "decision"), "cluster_id")
     whole = F.col("decision").isin("SINGLE", "IRREDUCIBLE")
     shown = lambda n, effective: F.sum(F.when(whole, F.col(n)).otherwise((F.col("decision") == effective).cast("int")))
     return rows.groupBy(*KEY).agg(

@@ -8,8 +8,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from scalarscape.operators import snapshots
+from scalarscape.operators import snapshots, spherical
 from test_entry import DATA, plain
+from test_topology import CLUSTER, at, cluster, field, vertices
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
 
@@ -77,3 +78,16 @@ def test_metric_diff_reports_moved_centres(spark):
         a, b = json.loads(r.saved), r.computed and json.loads(r.computed)
         assert r.matches == (b is not None and len(a) == len(b) and all(abs(x - y) <= 1e-12 + 1e-6 * abs(y) for x, y in zip(a, b)))
     assert spark_rows(df.where("path <> 'geom_info.center'")) == sql_rows("metric_diff", df.columns)
+
+
+@pytest.mark.parametrize("outward, decision, value, shown", [(-1, "E-MAX", 2.0, (1, 0)), (1, "E-MIN", 0.5, (0, 1)), (0, "E-MIN", 0.5, (0, 1))])
+def test_slope_decides_polarity_against_counts(spark, outward, decision, value, shown):
+    members = [(i, cp, v, 1, *at(0.005 * i)) for i, (cp, v) in enumerate([("minimum", 0.5), ("saddle", 2.0), ("minimum", 1.0)])]
+    data = spark.createDataFrame([cluster("A", at(0.0), n=(0, 2, 1), members=members)], CLUSTER).selectExpr("*", "0.01 as angular_radius_rad")
+    pts = [at(0.03), at(0.035), at(0.045), at(0.05)]
+    slopes = spherical.cluster_slopes(data, vertices(spark, pts), field(spark, [outward * k for k in range(4)]), 0.02)
+    got = spherical.reduction(data, slopes).first()
+    assert (got.decision, got.effective_value, got.n_hidden) == (decision, value, 3)
+    counts = spherical.display_counts(data, slopes).first()
+    assert (counts.maxima, counts.minima, counts.saddles, counts.euler) == (*shown, 0, 1)
+    assert spherical.reduction(data, slopes.limit(0)).first().decision == "E-MIN" == spherical.reduction(data).first().decision
