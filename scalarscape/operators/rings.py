@@ -54,38 +54,44 @@ def ring_samples(centres: DataFrame, n: int, legacy: bool = False) -> DataFrame:
 
 
 def ring_frame(ring: DataFrame) -> DataFrame:
-    """(ring_id, n, cx, cy, cz, angular_radius) of rings of four samples or more: normalised mean direction and mean angle to it."""
+    """(mesh_id and field where given, ring_id, n, cx, cy, cz, angular_radius) of rings of four samples or more: normalised mean direction and mean angle to it."""
     u = V.unit(V.vec(""))
-    units = ring.select("ring_id", *[x.alias(f"u{m}") for x, m in zip(u, "xyz", strict=True)])
-    mean = units.groupBy("ring_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"u{m}").alias(f"m{m}") for m in "xyz"]).where("n >= 4")
+    key = [c for c in ("mesh_id", "field", "ring_id") if c in ring.columns]
+    units = ring.select(*key, *[x.alias(f"u{m}") for x, m in zip(u, "xyz", strict=True)])
+    mean = units.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"u{m}").alias(f"m{m}") for m in "xyz"]).where("n >= 4")
     c = V.unit(V.vec("m"))
-    centre = mean.select("ring_id", "n", *[x.alias(f"c{m}") for x, m in zip(c, "xyz", strict=True)])
+    centre = mean.select(*key, "n", *[x.alias(f"c{m}") for x, m in zip(c, "xyz", strict=True)])
     cosine = F.avg(V.dot(V.vec("u"), V.vec("c")))
-    got = units.join(centre, "ring_id").groupBy("ring_id", "n", "cx", "cy", "cz").agg(cosine.alias("_c"))
-    return got.select("ring_id", "n", "cx", "cy", "cz", F.acos(V.clipped(F.col("_c"))).alias("angular_radius"))
+    got = units.join(centre, key).groupBy(*key, "n", "cx", "cy", "cz").agg(cosine.alias("_c"))
+    return got.select(*key, "n", "cx", "cy", "cz", F.acos(V.clipped(F.col("_c"))).alias("angular_radius"))
 
 
 def nearest_vertices(samples: DataFrame, vertices: DataFrame, k: int, reach: float, cell: float = 0.25) -> DataFrame:
-    """(ring_id, k, vertex_id, theta, rank): the ``k`` mesh vertices nearest to each sample, among those within ``reach`` radians.
+    """(mesh_id, field where given, ring_id, k, vertex_id, theta, rank): the ``k`` mesh vertices nearest to each sample, among those within ``reach`` radians.
 
     Samples meet vertices by cells, each sample looking into the cells within reach; the
     k nearest of a sample are exact where that many vertices lie within reach.
     """
     u = V.unit(V.vec(""))
-    s = samples.select("mesh_id", "ring_id", "k", *[x.alias(f"u{m}") for x, m in zip(u, "xyz", strict=True)])
+    key = [c for c in ("mesh_id", "field", "ring_id", "k") if c in samples.columns]
+    s = samples.select(*key, *[x.alias(f"u{m}") for x, m in zip(u, "xyz", strict=True)])
     spans = [F.sequence(F.floor((F.col(f"u{m}") - reach) / cell), F.floor((F.col(f"u{m}") + reach) / cell)) for m in "xyz"]
     cells = F.flatten(F.transform(spans[0], lambda a: F.flatten(F.transform(spans[1], lambda b: F.transform(spans[2], lambda c: F.struct(a.alias("i"), b.alias("j"), c.alias("l")))))))
     v = vertices.select("mesh_id", "vertex_id", *[x.alias(f"v{m}") for x, m in zip(u, "xyz", strict=True)])
     v = v.withColumn("cell", F.struct(*[F.floor(F.col(f"v{m}") / cell).alias(n) for m, n in zip("xyz", "ijl", strict=True)]))
     near = s.withColumn("cell", F.explode(cells)).join(v, ["mesh_id", "cell"])
     near = near.withColumn("theta", V.angle(V.vec("u"), V.vec("v"))).where(F.col("theta") <= reach)
-    rank = F.row_number().over(Window.partitionBy("mesh_id", "ring_id", "k").orderBy("theta", "vertex_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("mesh_id", "ring_id", "k", "vertex_id", "theta", "rank")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("theta", "vertex_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, "vertex_id", "theta", "rank")
 
 
 def interpolate(samples: DataFrame, vertices: DataFrame, fields: DataFrame, k: int = 4, reach: float = 0.5, power: float = 2.0, snap: float = 1e-7) -> DataFrame:
-    """(mesh_id, field, ring_id, k, value): inverse-distance weights of the k nearest vertices; a vertex within ``snap`` gives its value."""
-    near = nearest_vertices(samples, vertices, k, reach).join(fields, ["mesh_id", "vertex_id"])
+    """(mesh_id, field, ring_id, k, value): inverse-distance weights of the k nearest vertices; a vertex within ``snap`` gives its value.
+
+    Samples with a field take its values, those without one the values of every field.
+    """
+    own = ["field"] if "field" in samples.columns else []
+    near = nearest_vertices(samples, vertices, k, reach).join(fields, ["mesh_id", *own, "vertex_id"])
     weight = 1 / F.pow(F.greatest(F.col("theta"), F.lit(snap)), power)
     got = near.groupBy("mesh_id", "field", "ring_id", "k").agg(
         F.min_by("value", "rank").alias("first"), F.min("theta").alias("least"), (F.sum(weight * F.col("value")) / F.sum(weight)).alias("mean")

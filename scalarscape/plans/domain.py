@@ -163,8 +163,8 @@ def persistence_pairs(s, d):
 
 @query()
 def persistence_filter(s, d):
-    pairs = persistence.persistence_pairs(C.part_triangles(s, d), C.part_fields(s, d).where("field = 'quantity'"))
-    return persistence.persistence_filter(_cps(s, d).where("field = 'quantity'"), pairs, 10.0)
+    pairs = persistence.persistence_pairs(C.part_triangles(s, d), C.part_fields(s, d))
+    return persistence.persistence_filter(_cps(s, d), pairs, 10.0)
 
 
 _LINKED = f"WITH RECURSIVE {_PAIRS}, l AS (SELECT p.cluster_id AS a, q.cluster_id AS b FROM pairs WHERE gap <= {3.0 * PITCH} AND coalesce({_AXIS} <= 30, true)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach(k, r) AS (SELECT a, a FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.k)"
@@ -230,7 +230,7 @@ def saddle_pairs(s, d):
 
 
 def _outcomes(s, d) -> DataFrame:
-    field = C.part_fields(s, d).where("field = 'price'")
+    field = C.part_fields(s, d)
     saddles = morse.critical_points(C.part_triangles(s, d), field).where("cp_type = 'saddle'")
     centres = saddles.join(C.part_vertices(s, d), ["mesh_id", "vertex_id"]).select(
         "mesh_id", "field", F.col("vertex_id").alias("entity_id"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("z").alias("uz"), (F.col("multiplicity") + 1).alias("expected")
@@ -337,7 +337,7 @@ def star_metrics(s, d):
 
 @query()
 def nudged_saddles(s, d):
-    field = C.part_fields(s, d).where("field = 'price'")
+    field = C.part_fields(s, d)
     saddles = morse.critical_points(C.part_triangles(s, d), field).where("cp_type = 'saddle'")
     centres = saddles.join(C.part_vertices(s, d), ["mesh_id", "vertex_id"]).select("mesh_id", "field", F.col("vertex_id").alias("entity_id"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("z").alias("uz"))
     return rounded(catastrophe.nudged(centres, C.part_vertices(s, d), field, 0.2, 2, 0.1))

@@ -228,7 +228,7 @@ def ring_perfected_ports(s, d):
 
 
 def _centres(s, d) -> DataFrame:
-    cps = _cps(s, d).where("field = 'price'").join(C.part_vertices(s, d), ["mesh_id", "vertex_id"])
+    cps = _cps(s, d).join(C.part_vertices(s, d), ["mesh_id", "vertex_id"])
     return cps.select("mesh_id", "field", F.col("vertex_id").alias("ring_id"), *[F.col(n).alias(f"u{n}") for n in "xyz"], F.lit(0.3).alias("a"), F.lit(0.2).alias("b"), F.lit(1.0).alias("sphere_radius"))
 
 
@@ -243,7 +243,7 @@ _RING_SAMPLES = f"""{_morse_sql('rank')}, ctr AS (SELECT vertex_id AS ring_id, x
 
 @query(_RING_SAMPLES.join(["WITH ", " SELECT ring_id, k, 16 AS n, round(phi, 6) AS phi, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM samples"]))
 def ring_samples(s, d):
-    return rounded(rings.ring_samples(_centres(s, d), 16).drop("mesh_id", "field"))
+    return rounded(rings.ring_samples(_centres(s, d), 16).drop("mesh_id"))
 
 
 @query()
@@ -258,7 +258,7 @@ def ring_frames(s, d):
     SELECT 'part' AS mesh_id, 'price' AS field, ring_id, k, round(CASE WHEN min(th) <= 1e-7 THEN arg_min(value, r) ELSE sum(value / th**2) / sum(1 / th**2) END, 3) AS value FROM u GROUP BY ring_id, k""")
 def ring_idw(s, d):
     samples = rings.ring_samples(_centres(s, d), 16)
-    return rounded(rings.interpolate(samples, C.part_vertices(s, d), C.part_fields(s, d).where("field = 'price'")), 3).withColumn("ring_id", F.col("ring_id").cast("bigint"))
+    return rounded(rings.interpolate(samples, C.part_vertices(s, d), C.part_fields(s, d)), 3).withColumn("ring_id", F.col("ring_id").cast("bigint"))
 
 
 @query(f"""WITH {_morse_sql('rank')}, ctr AS (SELECT field, vertex_id AS entity_id, x AS cx, y AS cy, z AS cz FROM cps JOIN vertices USING (vertex_id) WHERE field = 'price'),

@@ -91,3 +91,30 @@ def test_slope_decides_polarity_against_counts(spark, outward, decision, value,
     counts = spherical.display_counts(data, slopes).first()
     assert (counts.maxima, counts.minima, counts.saddles, counts.euler) == (*shown, 0, 1)
     assert spherical.reduction(data, slopes.limit(0)).first().decision == "E-MIN" == spherical.reduction(data).first().decision
+
+
+FIELDS = {"price", "quantity", "line_price"}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["ring_samples", "ring_idw", "radial_slopes"])
+def test_rings_of_every_field(spark, name):
+    df = entry.queries()[name](spark, DATA).cache()
+    assert {r.field for r in df.select("field").distinct().collect()} == FIELDS
+    ids = [c for c in ("field", "ring_id", "entity_id", "k") if c in df.columns]
+    assert df.count() == df.select(*ids).distinct().count()
+    own = df.where("field = 'price'")
+    own = own.drop("field") if name == "ring_samples" else own
+    assert spark_rows(own) == sql_rows(name, own.columns)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["ring_frames", "nudged_saddles", "excision_radius_search"])
+def test_centres_of_every_field(spark, name):
+    df = entry.queries()[name](spark, DATA).cache()
+    cps = entry.queries()["morse_critical_points"](spark, DATA)
+    cps = cps if name == "ring_frames" else cps.where("cp_type = 'saddle'")
+    want = {(r.field, r.vertex_id) for r in cps.collect()}
+    got = [(r.field, r.ring_id if name == "ring_frames" else r.entity_id) for r in df.collect()]
+    assert {f for f, _ in got} >= FIELDS - {"price"}  # the smallest price field has no saddle
+    assert len(got) == len(set(got)) and set(got) == want
