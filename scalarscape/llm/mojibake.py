@@ -4,9 +4,13 @@ A best-first search runs over texts: an edge encodes a text with one codec and
 decodes the bytes with another, or undoes an escape. States are visited once.
 The cost of a text is its implausibility, character by character, under counts of
 character sequences over the whole table, with a prior by kind of character; each
-edge adds a little. The cheapest reachable text is the restored one. A text is
-garbled if the way there decodes anew, or if it holds characters that only a
-failed decoding leaves behind.
+edge adds a little. The search ends when no open state can beat the cheapest text
+found, and that text is the restored one. A text is garbled if the way there decodes
+anew, or if it holds characters that only a failed decoding leaves behind.
+
+Codecs that read a text's characters as the same bytes are one edge, and a
+translation that needs a character which no text of the table holds is dropped
+unscored where that character alone costs more than there is to gain.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import heapq
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from urllib.parse import unquote
 
@@ -27,104 +31,153 @@ from pyspark.sql import functions as F
 from scalarscape.session import cut_lineage, partitions_for
 
 BITS = 20  # the model has 2 ** BITS counters for each length of sequence, whatever the table's size
-EXPANSIONS = 10  # states that one search opens
 DECODE_STEP = 1.5  # nats that an edge between codecs costs
+RARE_STEP = 5.0  # the same where one of the two is a rare codec
 UNESCAPE_STEP = 0.5
 BROADCAST_CHARS = 8_000_000  # characters of garbled texts up to which the verdicts are broadcast; beyond it they are joined by salted shuffle
-SEGMENT = 2000  # characters of a longer text that are searched at once
 SALTS = 16
 
-#: Codecs under which bytes are commonly misread; the second list can also be the true one of such bytes.
-SINGLE = ["latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-15", "koi8-r", "mac-roman", "cp437", "cp850", "cp866"]
-TRUE_SINGLE = ["cp1252", "cp1250", "cp1251", "cp1253", "iso8859-5", "koi8-r", "mac-roman", "cp437", "cp850", "cp866"]
-MULTI = ["gbk", "shift_jis", "big5", "euc-jp", "euc-kr"]
-LOST = [0x81, 0x8D, 0x8F, 0x90, 0x9D, 0xA0, 0xAD]  # bytes that careless tools drop
+#: The public codecs of one byte a character, the usual and the rare ones, those of several, and the bytes that careless tools drop.
+USUAL = ["latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-15", "koi8-r", "mac-roman", "cp437", "cp850", "cp866"]
+RARE = [
+    "cp1254", "cp1255", "cp1256", "cp1257", "cp1258", "iso8859-3", "iso8859-4", "iso8859-6", "iso8859-8", "iso8859-9", "iso8859-10",
+    "iso8859-11", "iso8859-13", "iso8859-14", "iso8859-16", "koi8-u", "mac-cyrillic", "mac-greek", "mac-latin2", "mac-turkish",
+    "cp737", "cp775", "cp852", "cp855", "cp857", "cp858", "cp860", "cp861", "cp862", "cp863", "cp864", "cp865", "cp869", "cp874",
+]
+SINGLE = USUAL + RARE
+MULTI = ["gbk", "cp932", "big5hkscs", "euc-jp", "cp949"]
+LOST = [0x81, 0x8D, 0x8F, 0x90, 0x9D, 0xA0, 0xAD]
+AS_BYTES = ["cp1252", "mac-roman", "cp1251", "koi8-r", "gbk", "shift_jis"]  # true codecs tried where UTF-8 was the wrong one
 
-SLACK = 4.0  # nats by which a state may be dearer than the start and still be opened
 DIGITS = re.compile(r"[0-9]")
-ESCAPES = re.compile(r"&#?\w+;|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+HIGH_RUN = re.compile(r"[^\x00-\x7f]+")
+ESCAPE_PATTERN = r"&#?\w+;|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}"
+ESCAPES = re.compile(ESCAPE_PATTERN)
+LEAD = re.compile("[\xc2-\xf4]")
+PAIR = re.compile("[\x80-\xff][@-\xff]")  # bytes that a codec of several can read as one character
+UTF8_SEQUENCE = re.compile(
+    "[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    "|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+)
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, dict[str, int]], dict[str, list[str]]]:
-    """Byte of each character and character of each byte, by codec; undefined bytes stand for their control characters."""
-    to_char = {}
-    for codec in {*SINGLE, *TRUE_SINGLE}:
-        chars = []
-        for b in range(256):
+class _Read(dict):
+    """A table for str.translate: the byte, as a character, that ``of`` gives a character, NUL where it gives none; ASCII stays."""
+
+    def __init__(self, of):
+        super().__init__({i: i for i in range(128)})
+        self.of = of
+
+    def __missing__(self, code: int) -> int:
+        byte = self[code] = self.of(chr(code))
+        return byte
+
+
+class _Codec:
+    """A codec of one byte a character; bytes that it leaves undefined stand for their control characters."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.chars = []
+        for b in range(128, 256):
             try:
-                chars.append(bytes([b]).decode(codec))
+                self.chars.append(bytes([b]).decode(name))
             except UnicodeDecodeError:
-                chars.append(chr(b))
-        to_char[codec] = chars
-    return {c: {ch: b for b, ch in enumerate(chars) if b > 127} for c, chars in to_char.items()}, to_char
+                self.chars.append(chr(b))
+        self.byte = {c: b for b, c in enumerate(self.chars, 128) if len(c) == 1}
+        self.own = _Read(lambda c: self.byte.get(c, 0))
+        self.other_case = _Read(self._other)
+        self.follow = _Read(lambda c: b if 0x80 <= (b := self.byte.get(c, 0)) <= 0xBF else self._other(c))
+
+    def _other(self, c: str) -> int:
+        swapped = c.swapcase()
+        return self.byte.get(swapped, 0) if len(swapped) == 1 else 0
+
+    @lru_cache(maxsize=None)  # noqa: B019 - as many as there are codecs, for a worker's life
+    def to(self, true: _Codec) -> dict[int, str]:
+        """A table for str.translate from what this codec read to what ``true`` reads."""
+        return {ord(c): true.chars[b - 128] for c, b in self.byte.items() if true.chars[b - 128] != c}
+
+
+@lru_cache(maxsize=1)
+def _codecs() -> dict[str, _Codec]:
+    return {name: _Codec(name) for name in SINGLE}
 
 
 def left_by_failure(text: str) -> bool:
-    """Whether a text holds characters that no sound text does: replacement, C1 control, private or unassigned ones."""
-    return any(c == "�" or "\x80" <= c <= "\x9f" or (c > "\x7f" and unicodedata.category(c) in ("Co", "Cn", "Cs")) for c in text)
+    """Whether a text holds what only a failed decoding leaves: replacement and C1 control characters, lone surrogates."""
+    return any(c == "�" or "\x80" <= c <= "\x9f" or "\ud800" <= c <= "\udfff" for c in text)
+
+
+def _unassigned(text: str) -> set[str]:
+    """Private-use and unassigned characters: icon fonts have them, but no decoding that brings new ones is right."""
+    return {c for c in text if c > "\x7f" and unicodedata.category(c) in ("Co", "Cn")}
 
 
 def _need(lead: int) -> int:
     return 1 if 0xC2 <= lead <= 0xDF else 2 if 0xE0 <= lead <= 0xEF else 3 if 0xF0 <= lead <= 0xF4 else 0
 
 
-def _as_utf8(text: str, codec: str, recase: bool, lost: bool, choose) -> str:
-    """Each UTF-8 sequence that ``codec`` read as several characters, decoded; all other characters stay.
+def _as_utf8(text: str, read: str) -> str:
+    """Each UTF-8 sequence among the bytes ``read`` for the characters of a text, decoded; all other characters stay."""
+    out, done = [], 0
+    for m in UTF8_SEQUENCE.finditer(read):
+        out += [text[done : m.start()], m[0].encode("latin-1").decode("utf-8")]
+        done = m.end()
+    return "".join(out) + text[done:] if out else text
 
-    ``recase``: letters of the sequence may have changed case since. ``lost``: bytes of
-    LOST may have been dropped from it, and ``choose(before, options, rest)`` picks among
-    what they can have been, given as (character, characters used up).
-    """
-    byte = _tables()[0][codec]
-    out: list[str] = []
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        if c < "\x80":
-            out.append(c)
-            i += 1
+
+def _as_utf8_recased(text: str, codec: _Codec) -> str:
+    """``_as_utf8`` where letters of a sequence may have changed case since."""
+    reads, follow = (text.translate(codec.own), text.translate(codec.other_case)), text.translate(codec.follow)
+    out, done = [], 0
+    for at in sorted({m.start() for read in reads for m in LEAD.finditer(read)}):
+        if at < done:
             continue
-        done = False
-        for lead_char in (c, c.swapcase()) if recase else (c,):
-            lead = byte.get(lead_char, 0) if len(lead_char) == 1 else 0
-            need = _need(lead)
-            if not need:
+        for read in reads:
+            need = _need(ord(read[at]))
+            tail = follow[at + 1 : at + 1 + need]
+            if not need or len(tail) < need or not all("\x80" <= b <= "\xbf" for b in tail):
                 continue
-            follow = []
-            for d in text[i + 1 : i + 1 + need]:
-                b = byte.get(d, 0)
-                if recase and not 0x80 <= b <= 0xBF and len(d.swapcase()) == 1:
-                    b = byte.get(d.swapcase(), 0)
-                if not 0x80 <= b <= 0xBF:
-                    break
-                follow.append(b)
-            if len(follow) == need:
-                try:
-                    read = bytes([lead, *follow]).decode("utf-8")
-                except UnicodeDecodeError:
-                    continue
-                if lost:  # characters that form a sequence by chance stay where they are more plausible
-                    read = choose("".join(out[-2:]), [(read, 1 + need), (text[i : i + 1 + need], 1 + need)], text[i:])[0]
-                out.append(read)
-                i += 1 + need
-                done = True
-                break
-            if lost and need <= 2:
-                options = []
-                spaced = len(follow) < need and text[i + 1 + len(follow) : i + 2 + len(follow)] == " "
-                for got in (follow, [*follow, 0xA0]) if spaced else (follow,):  # a no-break space made a plain one
-                    options += [(char, 1 + len(got)) for char in _lost_chars(lead, tuple(got), need)]
-                if options:
-                    char, used = choose("".join(out[-2:]), options, text[i:])
-                    out.append(char)
-                    i += used
-                    done = True
-                    break
-        if not done:
-            out.append(c)
-            i += 1
-    return "".join(out)
+            try:
+                char = (read[at] + tail).encode("latin-1").decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            out += [text[done:at], char]
+            done = at + 1 + need
+            break
+    return "".join(out) + text[done:] if out else text
+
+
+def _as_utf8_lost(text: str, read: str, choose) -> str:
+    """``_as_utf8`` where bytes of LOST may have been dropped from a sequence or a no-break space made a plain one.
+
+    ``choose(before, options, rest)`` picks among what a sequence can have been, given as
+    (character, characters used up); characters that form one by chance may stay as they are.
+    """
+    out, done = [], 0
+    for m in LEAD.finditer(read):
+        at, need = m.start(), _need(ord(m[0]))
+        if at < done:
+            continue
+        follow = 0
+        while follow < need and at + 1 + follow < len(read) and "\x80" <= read[at + 1 + follow] <= "\xbf":
+            follow += 1
+        bytes_left = tuple(map(ord, read[at + 1 : at + 1 + follow]))
+        if follow == need:
+            chars = _lost_chars(ord(m[0]), bytes_left, need)
+            options = [(c, 1 + need) for c in chars] + [(text[at : at + 1 + need], 1 + need)] if chars else []
+        else:
+            spaced = text[at + 1 + follow : at + 2 + follow] == " "
+            lefts = (bytes_left, (*bytes_left, 0xA0)) if spaced else (bytes_left,)
+            options = [(c, 1 + len(left)) for left in lefts for c in _lost_chars(ord(m[0]), left, need)]
+        if options:
+            out.append(text[done:at])
+            before = "".join(out[-2:])[-2:]
+            char, used = choose(before, options, text[at : at + 12])
+            out.append(char)
+            done = at + used
+    return "".join(out) + text[done:] if out else text
 
 
 def _fillings(follow: list[int], need: int) -> Iterator[list[int]]:
@@ -136,23 +189,35 @@ def _fillings(follow: list[int], need: int) -> Iterator[list[int]]:
             yield from _fillings([*follow[:at], b, *follow[at:]], need)
 
 
-SPREAD, WIDE = 0x9E3779B97F4A7C15, 0x110000  # multiplier of the hash, number of code points
-
-
-def _counter(x: int) -> int:
-    return ((x * SPREAD) & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS)
-
-
 @lru_cache(maxsize=100_000)
 def _lost_chars(lead: int, follow: tuple[int, ...], need: int) -> list[str]:
     """Characters whose bytes a lead byte and what is left of its sequence can have been."""
-    out = []
+    out = {}
     for filled in _fillings(list(follow), need):
         try:
-            out.append(bytes([lead, *filled]).decode("utf-8"))
+            out[bytes([lead, *filled]).decode("utf-8")] = True
         except UnicodeDecodeError:
             continue
-    return out
+    return list(out)
+
+
+SPREAD, WIDE = 0x9E3779B97F4A7C15, 0x110000  # multiplier of the hash, number of code points
+
+
+def _counter(x: int) -> int:
+    return ((x * SPREAD) & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS)
+
+
+def _prior(c: str) -> float:
+    if c < "\x80":
+        return 1e-2
+    kind = unicodedata.category(c)
+    return 1e-9 if c == "�" or kind[0] == "C" else 1e-5 if kind[0] == "L" else 3e-6
+
+
+@lru_cache(maxsize=1)
+def _priors() -> np.ndarray:
+    return np.array([_prior(chr(i)) for i in range(WIDE)], dtype=np.float64)
 
 
 class Plausibility(dict):
@@ -168,6 +233,21 @@ class Plausibility(dict):
         self.chosen: dict[tuple, tuple[str, int]] = {}  # what lost bytes can have been, by what stands around them
         self.one, self.two, self.three = counts
         self.total = max(1.0, float(self.one.sum(dtype=np.float64)))
+        self.floors: dict[str, float] = {}
+        self.least = np.array([[self.floor(c) for c in codec.chars] for codec in _codecs().values()])  # by codec and byte
+
+    def floor(self, text: str) -> float:
+        """What the characters of a text cost at least, wherever they stand: those that the table lacks their prior, the others nothing."""
+        total = 0.0
+        for c in text:
+            if c > "\x7f":
+                least = self.floors.get(c)
+                if least is None:
+                    low = c.lower()[:1]
+                    absent = self.one[_counter(ord(low))] == 0
+                    least = self.floors[c] = -float(np.log(50 * _prior(low) / (self.total + 50))) if absent else 0.0
+                total += least
+        return total
 
     @staticmethod
     def plain(text: str) -> str:
@@ -183,10 +263,8 @@ class Plausibility(dict):
 
     def __missing__(self, three: str) -> float:
         """Cost of the last character after the first two."""
-        c = three[2]
-        kind = unicodedata.category(c)
-        prior = 1e-2 if c < "\x80" else 1e-9 if c == "\ufffd" or kind[0] == "C" else 1e-5 if kind[0] == "L" else 3e-6
-        a, b = three[0], three[1]
+        a, b, c = three
+        prior = _prior(c)
         texts = float(self.one[_counter(2 + 1)])  # a text's end, character 3, occurs once a text
         single = texts if b == "\x02" else self.one[_counter(ord(b))]
         pair = texts if b == "\x02" else self.two[_counter(ord(a) * WIDE + ord(b) + 1)]
@@ -211,6 +289,53 @@ class Plausibility(dict):
         t = self.plain(text)
         return sum([self[x] for i in range(len(t) - 2) if not (x := t[i : i + 3]).isascii()])
 
+    def translated(self, text: str, letters: list[str], outcomes: list[tuple[str, ...]]) -> np.ndarray:
+        """For each of the ``outcomes``, which put other characters for ``letters``, what ``doubtful`` makes of the text, at once."""
+        row = np.frombuffer(self.plain(text).encode("utf-32-le", "replace"), dtype=np.uint32)
+        if len(row) != len(text) + 3:  # a letter whose lower case is two characters
+            return np.array([self.doubtful(text.translate(dict(zip(map(ord, letters), o, strict=True)))) for o in outcomes])
+        high = row > 0x7F
+        starts = np.flatnonzero(high[:-2] | high[1:-1] | high[2:])
+        spots = [2 + np.array([i for i, c in enumerate(text) if c == letter]) for letter in letters]
+        texts, total = float(self.one[_counter(2 + 1)]), self.total + 50
+        mix = lambda x: ((x * np.uint64(SPREAD)) >> np.uint64(64 - BITS)).astype(np.int64)
+        wide, costs = np.uint64(WIDE), []
+        step = max(1, 100_000 // max(1, len(starts)))
+        for i in range(0, len(outcomes), step):
+            part = outcomes[i : i + step]
+            codes = np.repeat(row[None, :].astype(np.uint64), len(part), axis=0)
+            for at, chars in zip(spots, zip(*part, strict=True), strict=True):
+                codes[:, at] = np.array([ord(c.lower()[0]) for c in chars], dtype=np.uint64)[:, None]
+            a, b, c = codes[:, starts], codes[:, starts + 1], codes[:, starts + 2]
+            seam, one = b == 2, self.one[mix(c)]
+            pairs = b * wide + c
+            single = np.where(seam, texts, self.one[mix(b)])
+            pair = np.where(seam, texts, self.two[mix(a * wide + b + np.uint64(1))])
+            bc = np.minimum(np.minimum(self.two[mix(pairs + np.uint64(1))], one), single)
+            abc = np.minimum(np.minimum(self.three[mix(pairs * wide + a + np.uint64(2))], bc), pair)
+            p2 = (bc + 2 * (one + 50 * _priors()[c.astype(np.int64)]) / total) / (single + 2)
+            costs.append(-np.log((abc + 2 * p2) / (pair + 2)).sum(axis=1))
+        return np.concatenate(costs) if costs else np.zeros(0)
+
+    def choose(self, before: str, options: list[tuple[str, int]], rest: str) -> tuple[str, int]:
+        """The cheapest of what a broken sequence can have been, between ``before`` and what follows it in ``rest``."""
+        key = (before, tuple(options), rest)
+        known = self.chosen.get(key)
+        if known is not None:
+            return known
+
+        def cost(option: tuple[str, int]) -> float:
+            t = self.plain(before + option[0])[-1 - len(option[0]) - 2 : -1]
+            after = rest[option[1] :][:2]
+            seam = self.plain(option[0] + after)[2:5] if after.isascii() else ""
+            return sum(self[t[i : i + 3]] for i in range(len(t) - 2)) + (self[seam] if len(seam) == 3 else 0.0)
+
+        if len(self.chosen) > 500_000:
+            self.chosen.clear()
+        options = [o for o in options if not self.floor(o[0])] or options  # characters that the table lacks are the last resort
+        best = self.chosen[key] = min(options, key=cost)
+        return best
+
 
 _SHARED: list[Plausibility] = []
 
@@ -222,120 +347,200 @@ def shared(counts: np.ndarray) -> Plausibility:
     return _SHARED[0]
 
 
-@lru_cache(maxsize=1)
-def _translations() -> list[tuple[str, str, dict[int, str]]]:
-    byte, char = _tables()
-    out = []
-    for codec in SINGLE:
-        for true in TRUE_SINGLE:
-            if true != codec:
-                out.append((codec, true, {ord(c): char[true][b] for c, b in byte[codec].items() if char[true][b] != c}))
-    return out
-
-
-def _neighbours(text: str, model: Plausibility) -> Iterator[tuple[str, str, float]]:
-    """Texts one edge away, with the edge's name and cost."""
-    if ESCAPES.search(text):
-        yield html.unescape(text), "unescape", UNESCAPE_STEP
-        yield unquote(text, errors="replace"), "unquote", UNESCAPE_STEP
-        yield re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), text), "backslash", UNESCAPE_STEP
-    high = {c for c in text if c > "\x7f"}
-    if not high:
-        return
-    byte, char = _tables()
+UNESCAPE = {
+    "unescape": html.unescape,
+    "unquote": lambda text: unquote(text, errors="replace"),
+    "backslash": lambda text: re.sub(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", lambda m: chr(int(m[1] or m[2], 16)), text),
+}
 
-    def choose(before: str, options: list[tuple[str, int]], rest: str) -> tuple[str, int]:
-        key = (before, tuple(options), rest[: options[0][1] + 4])
-        known = model.chosen.get(key)
-        if known is not None:
-            return known
 
-        def cost(option: tuple[str, int]) -> float:
-            t = model.plain(before + option[0])[-1 - len(option[0]) - 2 : -1]
-            after = rest[option[1] :][:2]
-            seam = 0.0 if not after.isascii() else sum(model[x] for x in (model.plain(option[0] + after)[2:5],) if len(x) == 3)
-            return sum(model[t[i : i + 3]] for i in range(len(t) - 2)) + seam
+def _readable(data: bytes, codec: str) -> bool:
+    try:
+        data.decode(codec)
+    except UnicodeDecodeError:
+        return False
+    return True
 
-        if len(model.chosen) > 500_000:
-            model.chosen.clear()
-        best = model.chosen[key] = min(options, key=cost)
-        return best
 
-    for codec in SINGLE:
-        table = byte[codec]
-        if any(_need(table.get(c, 0)) for c in high):
-            yield _as_utf8(text, codec, False, False, choose), f"{codec}>utf-8", DECODE_STEP
-            yield _as_utf8(text, codec, False, True, choose), f"{codec}>utf-8/lost", DECODE_STEP + 1
-        if any(_need(table.get(c.swapcase(), 0)) for c in high):
-            yield _as_utf8(text, codec, True, False, choose), f"{codec}>utf-8/case", DECODE_STEP + 1
-        if all(c in table for c in high):
-            data = bytes(table.get(c, ord(c) & 0x7F) for c in text)
+def _recoded_runs(text: str, codec: str, true: str) -> str:
+    """Each run beyond ASCII that ``codec`` can write and ``true`` can read, recoded; the others stay."""
+
+    def run(m: re.Match) -> str:
+        try:
+            return m[0].encode(codec).decode(true)
+        except UnicodeError:
+            return m[0]
+
+    return HIGH_RUN.sub(run, text)
+
+
+def _spans_as_multi(text: str, read: str, true: str) -> str:
+    """Spans of the bytes ``read`` for the characters of a text, as ``true`` reads them; what has no bytes or cannot be read stays."""
+    if "\x00" not in read:
+        return read.encode("latin-1").decode(true)
+    out, at = [], 0
+    for span in re.split("(\x00+)", read):
+        piece = text[at : at + len(span)]
+        at += len(span)
+        if PAIR.search(span):
+            try:
+                piece = span.encode("latin-1").decode(true)
+            except UnicodeDecodeError:
+                pass
+        out.append(piece)
+    return "".join(out)
+
+
+def take_edge(text: str, edge: str, model: Plausibility) -> str:
+    """The text that an edge leads to; a text that the edge does not apply to stays."""
+    if edge in UNESCAPE:
+        return UNESCAPE[edge](text)
+    pair, _, form = edge.partition("/")
+    wrong, _, true = pair.partition(">")
+    codecs = _codecs()
+    try:
+        if wrong == "utf-8":
+            return text.encode("utf-8", "replace").decode(true)
+        if wrong in MULTI:
+            return _recoded_runs(text, wrong, true)
+        if true in codecs:
+            return text.translate(codecs[wrong].to(codecs[true]))
+        if form == "case":
+            return _as_utf8_recased(text, codecs[wrong])
+        read = text.translate(codecs[wrong].own)
+        if true != "utf-8":
+            return _spans_as_multi(text, read, true)
+        return _as_utf8_lost(text, read, model.choose) if form == "lost" else _as_utf8(text, read)
+    except UnicodeError:
+        return text
+
+
+def _images(chars: Iterable[str], recased: bool = False) -> list[tuple[str, tuple[int, ...]]]:
+    """(codec, bytes of the characters) of the codecs that hold any of them; of those that read all alike the first. ``recased``: their other case's bytes follow."""
+    out = {}
+    for name, codec in _codecs().items():
+        image = tuple([codec.byte.get(c, 0) for c in chars])
+        if recased:
+            image = (*image, *[codec.other_case[ord(c)] for c in chars])
+        if any(image) and image not in out:
+            out[image] = name
+    return [(name, image) for image, name in out.items()]
+
+
+def _edges(text: str, model: Plausibility, room: Callable[[], float]) -> Iterator[tuple[str, float, str]]:
+    """(edge, its cost, text there) of the edges that may lead from a text to others, the usual ones first.
+
+    Translations whose result, by the characters that no text of the table holds, must
+    cost ``room()`` or more are left out, and so are edges for which the bytes are not
+    there, translations between two rare codecs and lost bytes under a rare one.
+    """
+    take = lambda edge: take_edge(text, edge, model)
+    if ESCAPES.search(text):
+        yield from ((edge, UNESCAPE_STEP, take(edge)) for edge in UNESCAPE)
+    high: dict[str, int] = {}
+    for c in text:
+        if c > "\x7f":
+            high[c] = high.get(c, 0) + 1
+    if not high:
+        return
+    codecs = _codecs()
+    images = [(name, image, text.translate(codecs[name].own)) for name, image in _images(high)]
+    led = [(name, read) for name, image, read in images if any(map(_need, image))]
+    yield from ((f"{name}>utf-8", DECODE_STEP, _as_utf8(text, read)) for name, read in led if UTF8_SEQUENCE.search(read))
+    for wrong in MULTI:
+        whole, runs = True, []
+        for run in HIGH_RUN.findall(text):
+            try:
+                runs.append(run.encode(wrong))
+            except UnicodeEncodeError:
+                whole = False
+        if runs:
+            for true in ("utf-8", *[m for m in MULTI if m != wrong and whole]):
+                if any(_readable(run, true) for run in runs):
+                    yield f"{wrong}>{true}", DECODE_STEP, take(f"{wrong}>{true}")
+    yield from ((f"{name}>utf-8/lost", DECODE_STEP + 1, take(f"{name}>utf-8/lost")) for name, _ in led if name in USUAL)
+    yield from ((f"{name}>utf-8/case", DECODE_STEP + 1, take(f"{name}>utf-8/case")) for name, image in _images(high, recased=True) if any(map(_need, image)))
+    times = np.array(list(high.values()), dtype=np.float64)
+    fixed = model.cost(text) - model.doubtful(text)  # all-ASCII sequences, which translation leaves alone
+    letters, outcomes = list(high), {}
+    for name, image, read in images:
+        usual = name in USUAL
+        step = DECODE_STEP if usual else RARE_STEP
+        held = np.flatnonzero(image)
+        among = len(SINGLE) if usual else len(USUAL)
+        steps = np.where(np.arange(among) < len(USUAL), step, RARE_STEP)
+        least = model.least[:among, np.array(image)[held] - 128] @ times[held]
+        for i in np.flatnonzero(fixed + least + steps < room()):
+            if SINGLE[i] != name:
+                chars = codecs[SINGLE[i]].chars
+                outcome = tuple([chars[b - 128] if b else c for c, b in zip(letters, image, strict=True)])
+                if outcome not in outcomes or steps[i] < outcomes[outcome][1]:
+                    outcomes[outcome] = (f"{name}>{SINGLE[i]}", float(steps[i]))
+        if PAIR.search(read):
             for true in MULTI:
                 try:
-                    yield data.decode(true), f"{codec}>{true}", DECODE_STEP
+                    yield f"{name}>{true}", step, _spans_as_multi(text, read, true)
                 except UnicodeDecodeError:
                     continue
-    for codec, true, table in _translations():
-        yield text.translate(table), f"{codec}>{true}", DECODE_STEP
-    for codec in MULTI:
-        try:
-            data = text.encode(codec)
-        except UnicodeEncodeError:
-            continue
-        for true in ("utf-8", *[m for m in MULTI if m != codec]):
-            try:
-                yield data.decode(true), f"{codec}>{true}", DECODE_STEP
-            except UnicodeDecodeError:
-                continue
-    data = text.encode("utf-8", "replace")
-    for true in ("cp1252", "mac-roman", "cp1251", "koi8-r", "gbk", "shift_jis"):
-        try:
-            yield data.decode(true), f"utf-8>{true}", DECODE_STEP
-        except UnicodeDecodeError:
-            continue
+    costs = fixed + model.translated(text, letters, list(outcomes))
+    for (outcome, (edge, step)), cost in zip(outcomes.items(), costs, strict=True):
+        if cost + step < room() + 1e-6:
+            yield edge, step, text.translate(dict(zip(map(ord, letters), outcome, strict=True)))
+    yield from ((f"utf-8>{true}", DECODE_STEP, take(f"utf-8>{true}")) for true in AS_BYTES)
 
 
 def search(text: str, model: Plausibility) -> tuple[str, str, float, float]:
-    """(cheapest reachable text, way there, cost of the text, cost there); the way is empty for a sound text."""
+    """(cheapest reachable text, way there, cost of the text, cost there); the way is empty for a sound text.
+
+    A state's total is its cost and that of the way there. A state is opened if it is the
+    cheapest text found when its turn comes. One reached by undoing UTF-8 sequences or
+    escapes may be dearer by three quarters of what its characters beyond ASCII cost:
+    bytes of other texts are hardly ever valid UTF-8, and doing so again would put one
+    character for two to four. So a way only gets cheaper or shorter, each state is visited once,
+    and the search ends by itself, when no open state can be hoped to beat the best text.
+    States whose characters beyond ASCII cost less than another edge are at their end.
+    """
     start = model.cost(text)
     if model.doubtful(text) <= DECODE_STEP and not ESCAPES.search(text):
         return text, "", start, start
+    strange = _unassigned(text)
     best = (start, text, "")
-    heap = [(start, 0, text, 0.0, "")]
+    heap = [(start, 0, True, text, 0.0, "")]
     seen = {text}
-    opened = count = 0
-    while heap and opened < EXPANSIONS:
-        _, _, state, walked, way = heapq.heappop(heap)
-        opened += 1
-        for reached, edge, step in _neighbours(state, model):
+    count = 0
+    while heap:
+        total, _, vouched, state, walked, way = heapq.heappop(heap)
+        doubtful = model.doubtful(state)
+        hoped = total - (0.75 * doubtful if vouched else 0.0)
+        if hoped > best[0] or doubtful <= DECODE_STEP and not ESCAPES.search(state):
+            continue
+        for edge, step, reached in _edges(state, model, lambda: best[0] - walked):  # noqa: B023 - used within the loop
             if reached in seen:
                 continue
             seen.add(reached)
-            total = model.cost(reached) + walked + step
-            route = f"{way} {edge}".strip()
-            if total < best[0] and not left_by_failure(reached):
-                best = (total, reached, route)
-            if not any(c > "\x7f" for c in reached):
+            shorter = len(reached) < len(state) and (edge in UNESCAPE or edge.endswith(">utf-8"))
+            if not shorter and walked + step + model.floor(reached) >= best[0]:
                 continue
-            vouched = edge.endswith(">utf-8") and len(reached) < len(state)  # bytes of other texts are hardly ever valid UTF-8
-            if total < start + SLACK or vouched:
+            cost = model.cost(reached) + walked + step
+            route = f"{way} {edge}".strip()
+            if shorter or cost < best[0]:
                 count += 1
-                heapq.heappush(heap, (min(total, start) if vouched else total, count, reached, walked + step, route))
-        if best[2] and model.doubtful(best[1]) <= DECODE_STEP:  # nothing left to save
-            break
+                heapq.heappush(heap, (cost, count, shorter, reached, walked + step, route))
+            if cost < best[0] and not left_by_failure(reached) and _unassigned(reached) <= strange:
+                best = (cost, reached, route)
     return best[1], best[2], start, best[0]
 
 
 def retrace(text: str, way: str, model: Plausibility) -> str:
     """Where a way leads from a text of the same shape (digits aside) as the one it was found for."""
     for edge in way.split():
-        text = next((reached for reached, name, _ in _neighbours(text, model) if name == edge), text)
+        text = take_edge(text, edge, model)
     return text
 
 
-def segments(text: str) -> list[str]:
-    """Pieces of at most SEGMENT characters that make up the whole text, cut after white space where there is some."""
-    return re.findall(rf"(?s).{{1,{SEGMENT}}}(?<=\s)|.{{1,{SEGMENT}}}", text) if len(text) > SEGMENT else [text]
+def lines(text: str) -> list[str]:
+    """The lines that make up a text, whatever its length, with their ends: each was decoded as it was, and is searched on its own."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text) if "\n" in text else [text]
 
 
 def decodes(way: str) -> bool:
@@ -372,17 +577,19 @@ def count_sequences(texts: DataFrame, text: str, weight: str) -> np.ndarray:
     return counts.reshape(3, 1 << BITS)
 
 
-def garbled_texts(texts: DataFrame, text: str = "text", weight: str = "n") -> DataFrame:
+def garbled_texts(texts: DataFrame, text: str = "text", weight: str = "n", counts: np.ndarray | None = None) -> DataFrame:
     """(text, restored, way, restorable, cost, cost_restored) of the garbled ones among distinct, non-null ``texts``.
 
     ``restored`` is the cheapest reachable text, the text itself where nothing better is
     reached; ``restorable`` tells whether it was reached by decoding and holds nothing
     that a failed decoding leaves behind. Empty texts and texts in ASCII are sound;
-    escape sequences and entities alone are no garble. Null weights count as 1.
+    escape sequences and entities alone are no garble, a misreading behind them is.
+    Null weights count as 1. ``counts``: those of ``count_sequences`` over other texts
+    to judge by, else over these.
     """
     spark = texts.sparkSession
     weighed = texts.select(F.col(text).alias("text"), F.coalesce(F.col(weight), F.lit(1)).alias("n"))
-    model = spark.sparkContext.broadcast(count_sequences(weighed, "text", "n"))
+    model = spark.sparkContext.broadcast(count_sequences(weighed, "text", "n") if counts is None else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plausibility = shared(model.value)
@@ -390,10 +597,10 @@ def garbled_texts(texts: DataFrame, text: str = "text", weight: str = "n") -> Da
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for value in batch.column(0).to_pylist():
-                if value.isascii():
+                if value.isascii() and not ESCAPES.search(value):
                     continue
                 taken, read = [], []
-                for part in segments(value):
+                for part in lines(value):
                     shape = part if ESCAPES.search(part) else DIGITS.sub("0", part)
                     way = ways.get(shape)
                     if way is None:
@@ -445,7 +652,7 @@ def garbled_items(snapshots: DataFrame) -> DataFrame:
     rows = snapshot_texts(snapshots)
     distinct = cut_lineage(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")))
     verdicts = cut_lineage(garbled_texts(distinct))
-    suspect = rows.where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    suspect = rows.where(F.col("text").rlike(rf"[^\x00-\x7f]|{ESCAPE_PATTERN}"))
     size = verdicts.agg(F.coalesce(F.sum(F.length("text") + F.length("restored") + F.length("way") + 64), F.lit(0))).first()[0]
     if size <= BROADCAST_CHARS:
         found = suspect.join(F.broadcast(verdicts), "text")
@@ -456,3 +663,54 @@ def garbled_items(snapshots: DataFrame) -> DataFrame:
     return found.select(
         "snapshot_id", "item_pos", "slot", "text", "restored", "way", "restorable", "cost", "cost_restored"
     ).dropDuplicates(["snapshot_id", "item_pos", "slot"])
+
+
+#: Ways in which the recovery test misreads sound texts: (true codec, codec it is read with), one after another.
+PLANTS = [
+    *[[("utf-8", wrong)] for wrong in ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1256", "cp1257", "iso8859-2", "iso8859-7", "koi8-r", "mac-roman", "mac-cyrillic", "cp437", "cp850", "cp852", "cp866", "gbk", "cp932")],
+    *[[(true, "cp1252")] for true in ("cp1250", "cp1251", "cp1253", "cp1256", "koi8-r", "cp866", "cp932", "gbk")],
+    *[[(true, "cp1251")] for true in ("koi8-r", "cp866", "cp1252")],
+    [("utf-8", "cp1252"), ("utf-8", "cp1252")], [("utf-8", "cp1251"), ("utf-8", "latin-1")],
+]
+
+
+def planted(texts: DataFrame) -> DataFrame:
+    """(original, plant, text): every distinct text beyond ASCII misread in one way of PLANTS, the first from its hash on that its characters allow and that changes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for original, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k in range(len(PLANTS)):
+                    chain, text = PLANTS[(first + k) % len(PLANTS)], original
+                    try:
+                        for true, wrong in chain:
+                            text = text.encode(true).decode(wrong)
+                    except UnicodeError:
+                        continue
+                    if text != original:
+                        rows.append((original, ", ".join(f"{true} as {wrong}" for true, wrong in chain), text))
+                        break
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["original", "plant", "text"])
+
+    spread_out = texts.select("text", F.pmod(F.xxhash64("text"), F.lit(len(PLANTS))).alias("_first"))
+    return spread_out.mapInArrow(run, "original string, plant string, text string")
+
+
+def recovery(snapshots: DataFrame) -> DataFrame:
+    """(plant, n, found, restored): how many sound titles and values are found and restored after they were misread on purpose.
+
+    The texts are all distinct ones beyond ASCII in which no garble is found; each is
+    misread in one way, judged under the table's own counts and compared with its original.
+    """
+    distinct = cut_lineage(snapshot_texts(snapshots).groupBy("text").agg(F.count(F.lit(1)).alias("n")))
+    counts = count_sequences(distinct, "text", "n")
+    bad = garbled_texts(distinct, counts=counts).select("text")
+    sound = distinct.where(F.col("text").rlike(r"[^\x00-\x7f]")).join(bad, "text", "left_anti")
+    plants = cut_lineage(planted(sound))
+    judged = garbled_texts(plants.select("text", F.lit(1).alias("n")).distinct(), counts=counts).select("text", "restored")
+    both = plants.join(judged, "text", "left")
+    return both.groupBy("plant").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("restored").isNotNull()).alias("found"), F.count_if(F.col("restored") == F.col("original")).alias("restored")
+    )

@@ -19,6 +19,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_restored(spark, sf_dir).select("snapshot_id", F.col("item_pos").cast("int").alias("item_pos"), "slot")
 
 
+def p1_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.recovery(table(spark, sf_dir, "snapshots"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.groups(table(spark, sf_dir, "clusters"), table(spark, sf_dir, "bridge_links"))
 
@@ -55,7 +59,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_restored, p3_found, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_pieces)
+        for f in (p1_found, p1_restored, p1_recovery, p3_found, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_pieces)
     }
 
 

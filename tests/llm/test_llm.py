@@ -34,6 +34,33 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert not got[lost[0]].restorable
 
 
+def test_misreadings_behind_escapes_and_long_texts(spark):
+    entity = misread(SOUND[1], "latin-1").encode("ascii", "xmlcharrefreplace").decode()
+    long = "\n".join([SOUND[1]] * 300 + [misread(SOUND[1], "latin-1")] + [SOUND[2]] * 300)
+    icon = "\ue001 Menu \uf8ff"
+    df = spark.createDataFrame(snapshot_rows(SOUND * 40 + ["caf&eacute;", icon, entity, long]), SNAPSHOT)
+    got = {r.text: r.restored for r in mojibake.garbled_items(df).collect()}
+    assert got == {entity: SOUND[1], long: "\n".join([SOUND[1]] * 301 + [SOUND[2]] * 300)}
+
+
+@pytest.mark.parametrize("wrong, true", [("cp1252", "cp1256"), ("cp1254", "utf-8"), ("mac-cyrillic", "utf-8"), ("cp852", "utf-8"), ("cp1251", "koi8-r")])
+def test_rarer_codecs(spark, wrong, true):
+    sound = {"cp1256": "مرحبا بالعالم", "koi8-r": "Плотность заряда"}.get(true, "Größe – Überlapp")
+    df = spark.createDataFrame(snapshot_rows([sound] * 40 + SOUND * 10 + [misread(sound, wrong, true)]), SNAPSHOT)
+    assert [(r.text, r.restored) for r in mojibake.garbled_items(df).collect()] == [(misread(sound, wrong, true), sound)]
+
+
+def test_four_byte_sequences_with_lost_bytes_offer_their_character():
+    assert "😀" in mojibake._lost_chars(0xF0, (0x9F, 0x98), 3) or "😁" in mojibake._lost_chars(0xF0, (0x9F, 0x98), 3)
+
+
+def test_recovery_of_planted_texts(spark):
+    df = spark.createDataFrame(snapshot_rows([f"{t} {i}" for t in SOUND for i in range(60)]), SNAPSHOT)
+    rows = mojibake.recovery(df).collect()
+    n, found, restored = (sum(getattr(r, c) for r in rows) for c in ("n", "found", "restored"))
+    assert n > 300 and found >= 0.95 * n and restored >= 0.85 * n and len(rows) > 10
+
+
 def test_garbled_nulls_repeats_and_empty_tables(spark):
     rows = [(1, None), (2, (None,)), (3, ([],)), (4, ([None, ("", None), (SOUND[0], "a�b")],)), (4, ([None, ("", None), (SOUND[0], "a�b")],))]
     df = spark.createDataFrame(rows, SNAPSHOT).withColumn("text", F.lit(1)).withColumn("slot", F.lit(2))
