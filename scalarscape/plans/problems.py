@@ -27,16 +27,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.drift_events(table(spark, sf_dir, "snapshot_files")).select("file_id", "field", "drift")
+    return drift.drift_events(table(spark, sf_dir, "snapshot_files"), with_keys=False).select("file_id", "field", "drift")
 
 
 def p4_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.drift_events(table(spark, sf_dir, "snapshot_files"), with_keys=False).select("file_id", "field", "drift", "old", "new")
+
+
+def p4_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change with the versions of the schemas and, for removals, the keys where an unknown name may stand."""
     return drift.drift_events(table(spark, sf_dir, "snapshot_files"))
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.read_drifting(table(spark, sf_dir, "snapshot_files")).select(
-        "file_id", "series", "file_seq", "fingerprint", "plt_path", "euler", "view_angle"
+        "file_id", "series", "file_seq", "plt_path", "euler", "view_angle"
     )
 
 
@@ -63,7 +68,7 @@ def p5_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_found, p4_found, p4_changes, p4_table, p4_versions, p5_found, p5_snapshots, p5_field_items, p5_metrics)
+        for f in (p2_found, p4_found, p4_changes, p4_trace, p4_table, p4_versions, p5_found, p5_snapshots, p5_field_items, p5_metrics)
     }
 
 
@@ -107,35 +112,68 @@ def _p2_sql() -> str:
     return f"WITH a AS {_side('counts_main')}, b AS {_side('counts_mirror')} " + " UNION ALL ".join(parts)
 
 
-def _p4_sql() -> str:
-    ctes, events = [], []
+def _p4_read() -> str:
+    """The place (index, -1 for none), value and JSON type of each quantity in each valid file."""
+    ctes = []
     for q in drift.SNAPSHOT_QUANTITIES:
         at = [f"WHEN json_exists(j, '{p}') THEN {i}" for i, p in enumerate(q.places)]
-        got = [f"WHEN json_exists(j, '{p}') THEN json_type(j, '{p}')" for p in q.places]
-        kind = (
-            f"CASE (CASE {' '.join(got)} END) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' "
-            "WHEN 'NULL' THEN NULL WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' END"
-        )
-        ctes.append(f"coalesce(CASE {' '.join(at)} END, -1) AS p_{q.name}, {kind} AS t_{q.name}")
+        got = [f"WHEN json_exists(j, '{p}') THEN json_extract(j, '{p}')" for p in q.places]
+        ctes.append(f"coalesce(CASE {' '.join(at)} END, -1) AS p_{q.name}, CASE {' '.join(got)} END AS v_{q.name}")
+    kinds = ", ".join(
+        f"CASE json_type(v_{q.name}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' "
+        f"WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' END AS t_{q.name}"
+        for q in drift.SNAPSHOT_QUANTITIES
+    )
+    return (
+        "files AS (SELECT DISTINCT file_id, series, file_seq, CASE WHEN json_valid(body) THEN body::JSON END AS j "
+        f"FROM snapshot_files WHERE json_valid(body)), places AS (SELECT file_id, series, file_seq, {', '.join(ctes)} FROM files), "
+        f"read AS (SELECT *, {kinds} FROM places)"
+    )
+
+
+def _p4_sql(details: bool = False) -> str:
+    events = []
+    for q in drift.SNAPSHOT_QUANTITIES:
         was, now, had, has = f"w_{q.name}", f"p_{q.name}", f"h_{q.name}", f"t_{q.name}"
-        for when, what in (
-            (f"{was} < 0 AND {now} >= 0", "added"),
-            (f"{was} >= 0 AND {now} < 0", "removed"),
-            (f"{was} >= 0 AND {now} >= 0 AND {was} <> {now}", "renamed"),
-            (f"{was} >= 0 AND {now} >= 0 AND {has} <> {had}", "retyped"),
+        names = "[" + ", ".join(f"'{p}'" for p in q.places) + "]"
+        old, new = f"{names}[{was} + 1]", f"{names}[{now} + 1]"
+        for when, what, before, after in (
+            (f"{was} < 0 AND {now} >= 0", "added", "NULL", new),
+            (f"{was} >= 0 AND {now} < 0", "removed", old, "NULL"),
+            (f"{was} >= 0 AND {now} >= 0 AND {was} <> {now}", "renamed", old, new),
+            (f"{was} >= 0 AND {now} >= 0 AND {has} <> {had}", "retyped", had, has),
         ):
-            events.append(f"SELECT file_id, '{q.name}' AS field, '{what}' AS drift FROM held WHERE {when}")
+            more = f", {before} AS old, {after} AS new" if details else ""
+            events.append(f"SELECT file_id, '{q.name}' AS field, '{what}' AS drift{more} FROM held WHERE {when}")
     lagged = ", ".join(
         f"lag(p_{q.name}) OVER w AS w_{q.name}, last_value(t_{q.name} IGNORE NULLS) OVER "
         f"(PARTITION BY series ORDER BY file_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h_{q.name}"
         for q in drift.SNAPSHOT_QUANTITIES
     )
-    return (
-        "WITH files AS (SELECT DISTINCT file_id, series, file_seq, CASE WHEN json_valid(body) THEN body::JSON END AS j "
-        "FROM snapshot_files WHERE json_valid(body)), "
-        f"read AS (SELECT file_id, series, file_seq, {', '.join(ctes)} FROM files), "
-        f"held AS (SELECT *, {lagged} FROM read WINDOW w AS (PARTITION BY series ORDER BY file_seq)) " + " UNION ALL ".join(events)
-    )
+    return f"WITH {_p4_read()}, held AS (SELECT *, {lagged} FROM read WINDOW w AS (PARTITION BY series ORDER BY file_seq)) " + " UNION ALL ".join(events)
+
+
+def _p4_table_sql() -> str:
+    def scalar(q: drift.Quantity, v: str) -> str:
+        text = f"json_extract_string({v}, '$')"
+        if q.sql_type == "string":
+            return text
+        if q.unit:
+            text = f"regexp_replace({text}, '\\s*{q.unit}\\s*$', '', 'i')"
+        number = f"TRY_CAST(trim({text}) AS DOUBLE)"
+        return number if q.sql_type == "double" else f"CASE WHEN {number} = floor({number}) THEN {number}::BIGINT END"
+
+    values = []
+    for q in drift.SNAPSHOT_QUANTITIES:
+        v = f"v_{q.name}"
+        if len(q.parts) > 1:
+            d, n = (f"json_extract_string({v}, '$.{p}')" for p in q.parts)
+            whole = f"CASE WHEN {d} IS NULL OR {n} IS NULL THEN coalesce({d}, {n}) ELSE {d} || CASE WHEN contains({d}, '\\') THEN '\\' ELSE '{q.joiner}' END || {n} END"
+        else:
+            whole = scalar(q, f"json_extract({v}, '$.{q.parts[0]}')")
+        first = scalar(q, f"json_extract({v}, '$[0]')")
+        values.append(f"CASE t_{q.name} WHEN 'object' THEN {whole} WHEN 'array' THEN {first} ELSE {scalar(q, v)} END AS {q.name}")
+    return f"WITH {_p4_read()} SELECT file_id, series, file_seq, {', '.join(values)} FROM read"
 
 
 _P5_PARTS = """
@@ -157,6 +195,8 @@ UNION ALL SELECT export_id, snap_pos::INT, 'geom_info', -1 FROM metrics WHERE js
 
 
 _P5_FLAT = {
+    "p5_metrics": "SELECT export_id, snap_pos::INT AS snap_pos, json_extract_string(m, '$.display_counts.saddles') AS saddles, json_extract_string(m, '$.geom_info.avg_edge_length') AS avg_edge_length FROM metrics "
+    "WHERE coalesce(json_extract_string(m, '$.display_counts.saddles'), json_extract_string(m, '$.geom_info.avg_edge_length')) IS NOT NULL",
     "p5_snapshots": "SELECT export_id, snap_pos::INT AS snap_pos, json_extract_string(s, '$.context.plt_path') AS plt_path FROM snaps WHERE json_type(s) = 'OBJECT'",
     "p5_field_items": "SELECT export_id, snap_pos::INT AS snap_pos, item_pos::INT AS item_pos, json_extract_string(v, '$.title') AS title, json_extract_string(v, '$.value') AS value FROM item "
     "WHERE json_extract_string(v, '$.title') IS NOT NULL OR json_extract_string(v, '$.value') IS NOT NULL",
@@ -164,4 +204,4 @@ _P5_FLAT = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _p2_sql(), "p4_found": _p4_sql(), "p5_found": _P5_SQL} | {k: f"{_P5_PARTS} {v}" for k, v in _P5_FLAT.items()}
+    return {"p2_found": _p2_sql(), "p4_found": _p4_sql(), "p4_changes": _p4_sql(details=True), "p4_table": _p4_table_sql(), "p5_found": _P5_SQL} | {k: f"{_P5_PARTS} {v}" for k, v in _P5_FLAT.items()}

@@ -94,6 +94,21 @@ def test_drift_empty_and_extra_columns(spark):
     assert steps.count() == 1
 
 
+def test_drift_registry_versions_and_unknown_keys(spark):
+    d = files(spark, [(1, "a", 1, {"origin": "x"}), (2, "a", 2, {"context": {"file_of_plt": "x"}}), (3, "b", 1, {"origin": "y"}), (4, "b", 5, {"origin": "z"})])
+    book = {r.version: r for r in drift.schema_versions(d).collect()}
+    assert sorted(book) == [1, 2] and book[1].n_files == 3 and book[1].unmapped == [] and book[2].unmapped == ["$.context.file_of_plt"]
+    (gone,) = drift.drift_events(d).collect()
+    assert (gone.file_id, gone.drift, gone.old_version, gone.new_version, gone.new_keys) == (2, "removed", 1, 2, ["$.context.file_of_plt"])
+
+
+def test_drift_salted_routing_gives_the_same(spark, rows, monkeypatch):
+    d = files(spark, [(i, "a", i, {"origin": "x"} if i % 3 else {"context": {"plt_path": ["x"]}}) for i in range(12)])
+    want = rows(drift.drift_events(d))
+    monkeypatch.setattr(drift, "BROADCAST_ROWS", 0)
+    assert rows(drift.drift_events(d)) == want and len(want) > 8
+
+
 def test_leaves(spark, rows):
     item = lambda **k: {"title": "t", "aliases": [{"value": "no"}], **k}
     payload = {"snapshots": [
