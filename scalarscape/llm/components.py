@@ -1,18 +1,20 @@
 """Pairwise matches consolidated into groups: union-find forests merged through bounded partitions.
 
-Each scan task runs union-find over its own pairs and keeps only a spanning
-forest. Forests are merged level by level in partitions of at most ``bound``
-edges. Where a level no longer shrinks although more than ``bound`` edges are left
-(more records than one task may hold), the graph is contracted instead: every
-record points to its smallest local root, pointers are doubled until they are
-flat, and the pairs between roots are the next, smaller graph. A forest of at
-most ``bound`` edges is finished by one bounded task, and the labels are carried
-back down the contractions. The result is exact at every size.
+Each scan task runs union-find over its own pairs and keeps only a spanning forest.
+Level by level the forests are then dealt out anew by member into partitions of about
+``bound`` edges, each merged by union-find into one forest. A member that is no root
+of any forest has done its part: its pointer is put aside, and only the edges of the
+others go on to the next level. A level's roots are the least keys in an order, of the
+keys themselves first, which gathers records with like ids, and of their hashes then:
+in a random order a third of a forest's records at least are expected to be no root, so
+every graph shrinks by a constant factor a level. When at most ``bound`` edges are left
+one bounded task finishes, and the labels are carried back down the pointers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarscape.session import cut_lineage, written
+from scalarscape.session import cut_lineage, discard, written
 
 BOUND = 1_000_000  # edges that one task may hold
 HOT_SHARE = 0.01  # a group with more than this share of all records is named by broadcast: at most 1 / HOT_SHARE rows
@@ -32,10 +34,13 @@ def match_key(col: Column) -> Column:
     return F.when(key != "", key)
 
 
-def _forest(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Edges (member, smallest member) of the components of the pairs (a, b)."""
+def _forest(a: pa.Array, b: pa.Array, seed: int) -> tuple[pa.Array, pa.Array]:
+    """Edges (member, root) of the components of the pairs (a, b); the root is the least key, under seeds from 1 on the one of least hash."""
     names = pc.unique(pa.chunked_array([a, b]))
     names = names.take(pc.array_sort_indices(names))
+    if seed:
+        hashes = np.array([crc32(name, seed) for name in names.cast(pa.large_binary()).to_pylist()], dtype=np.int64)
+        names = names.take(pa.array(np.argsort(hashes, kind="stable")))
     left = pc.index_in(a, value_set=names).to_numpy(zero_copy_only=False).tolist()
     right = pc.index_in(b, value_set=names).to_numpy(zero_copy_only=False).tolist()
     parent = list(range(len(names)))
@@ -58,7 +63,12 @@ def _forest(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
     return names.take(pa.array(member)), names.take(pa.array(root[member]))
 
 
-def _local_forests(edges: DataFrame, bound: int) -> DataFrame:
+PAIR = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+
+def _local_forests(edges: DataFrame, bound: int, seed: int = 0) -> DataFrame:
+    """(a, b): members and roots of each partition's forest, or of the forests of its runs of about ``bound`` edges where it holds more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
@@ -67,7 +77,8 @@ def _local_forests(edges: DataFrame, bound: int) -> DataFrame:
             whole = pa.concat_tables(held).combine_chunks()
             a, b = (whole.column(i).combine_chunks() for i in (0, 1))
             a, b = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (a, b))
-            return pa.table(dict(zip(("a", "b"), _forest(a.cast(pa.large_string()), b.cast(pa.large_string())), strict=True)))
+            forest = _forest(a.cast(pa.large_string()), b.cast(pa.large_string()), seed)
+            return pa.table(dict(zip(("a", "b"), forest, strict=True))).cast(PAIR)
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
@@ -75,64 +86,71 @@ def _local_forests(edges: DataFrame, bound: int) -> DataFrame:
             if size >= 2 * bound:  # shrink what is held; if it stays large, pass it on
                 small = settle()
                 if small.num_rows > bound:
-                    yield from small.cast(pa.schema([("a", pa.string()), ("b", pa.string())])).to_batches(max_chunksize=65536)
+                    yield from small.to_batches(max_chunksize=65536)
                     held, size = [], 0
                 else:
-                    held = [small.cast(pa.schema([("a", pa.string()), ("b", pa.string())]))]
-                    size = small.num_rows
+                    held, size = [small], small.num_rows
         if held:
-            yield from settle().cast(pa.schema([("a", pa.string()), ("b", pa.string())])).to_batches(max_chunksize=65536)
+            yield from settle().to_batches(max_chunksize=65536)
 
     return edges.select("a", "b").mapInArrow(run, "a string, b string")
 
 
-def _flat_pointers(pointers: DataFrame) -> DataFrame:
-    """Double pointers (a, p) until each p points nowhere."""
-    while True:
-        up = pointers.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        step = pointers.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("_moved"))
-        step = written(step)
-        pointers = step.select("a", "p")
-        if step.where("_moved").limit(1).count() == 0:
-            return pointers
+def _look_up(rows: DataFrame, key: str, found: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``value`` of the one row of ``found`` (key, value) for their key, null where there is none.
 
+    Keys that more than HOT_SHARE of the rows have are met by broadcast, at most
+    1 / HOT_SHARE of them, so that a giant group is in no one's partition.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    many = max(2.0, HOT_SHARE * rows.count())
+    hot = counts.where(F.col("_n") > many).select(key).join(found, key).select(key, F.col(value).alias("_hot"))
+    hot = F.broadcast(hot.limit(int(1 / HOT_SHARE)))
+    marked = rows.join(hot, key, "left")
+    cold = marked.where("_hot is null").drop("_hot").join(found, key, "left")
+    return marked.where("_hot is not null").withColumnRenamed("_hot", value).unionByName(cold)
 
-def labels(pairs: DataFrame, bound: int = BOUND) -> DataFrame:
-    """(key, root) for each record of ``pairs`` (a, b) whose root, the smallest key of its group, is another record.
+
+def representatives(pairs: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(key, root) for each record of ``pairs`` (a, b) that is not its group's root; a group has one root, any of its records.
 
     Pairs with a null side, of a record with itself and repeated pairs add nothing;
     an empty table gives no rows. Keys are compared as bytes.
     """
     edges = pairs.where("a is not null and b is not null and a <> b").select("a", "b")
-    forest = cut_lineage(_local_forests(edges, bound))
-    left, parts, contracted = forest.count(), None, []
+    forest = written(_local_forests(edges, bound))
+    left, seed, aside = forest.count(), 0, []
     while left > bound:
-        wanted = -(-left // bound)
-        if parts is None or wanted < parts:  # merge forests, several to a partition
-            parts = wanted
-            forest = written(_local_forests(forest.repartition(parts, "b"), bound))
-        else:  # no longer shrinking: contract
-            pointers = _flat_pointers(forest.groupBy("a").agg(F.min("b").alias("p")))
-            contracted.append(pointers)
-            at_a = pointers.select("a", F.col("p").alias("pa"))
-            at_b = pointers.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-            seams = (
-                forest.join(at_a, "a", "left").join(at_b, "b", "left")
-                .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-                .where("a <> b")
-                .distinct()
-            )
-            forest, parts = written(_local_forests(seams, bound)), None
-        left = forest.count()
-    found = _local_forests(forest.repartition(1), bound).select(F.col("a").alias("key"), F.col("b").alias("root"))
-    for pointers in reversed(contracted):
+        parts = -(-left // bound)
+        dealt = forest.repartition(parts, "a") if seed else forest.repartitionByRange(parts, "a")
+        merged = written(_local_forests(dealt, 4 * bound, seed))  # parts are even but for chance, so each is one forest
+        roots = merged.select(F.col("b").alias("a")).distinct().withColumn("_on", F.lit(True))
+        twice = merged.groupBy("a").agg(F.count(F.lit(1)).alias("_times"))
+        flagged = written(merged.join(roots, "a", "left").join(twice, "a").select("a", "b", (F.col("_on").isNotNull() | (F.col("_times") > 1)).alias("_on")))
+        discard(forest, merged)
+        aside.append(flagged)
+        forest = flagged.where("_on").select("a", "b")
+        left, seed = forest.count(), seed + 1
+    found = _local_forests(forest.coalesce(1), bound).select(F.col("a").alias("key"), F.col("b").alias("root"))
+    for flagged in reversed(aside):
         found = written(found)
-        up = found.select(F.col("key").alias("p"), "root")
-        below = pointers.join(up, "p", "left").select(F.col("a").alias("key"), F.coalesce("root", "p").alias("root"))
-        found = found.unionByName(below)
+        below = _look_up(flagged.where("not _on").select(F.col("a").alias("key"), F.col("b").alias("_up")), "_up", found.select(F.col("key").alias("_up"), "root"), "root")
+        found = found.unionByName(below.select("key", F.coalesce("root", "_up").alias("root")))
     return found
 
 
+def _least_of_group(rows: DataFrame, root: str, value: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the least ``value`` among those of one root."""
+    return _look_up(rows, root, rows.groupBy(root).agg(F.min(value).alias(out)), out)
+
+
+def labels(pairs: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(key, root) for each record of ``pairs`` (a, b) whose root, the smallest key of its group, is another record; see ``representatives``."""
+    found = cut_lineage(representatives(pairs, bound))
+    whole = found.unionByName(found.select(F.col("root").alias("key"), "root").distinct())
+    return _least_of_group(whole, "root", "key", "_least").select("key", F.col("_least").alias("root")).where("key <> root")
+
+
 def groups(records: DataFrame, links: DataFrame, bound: int = BOUND) -> DataFrame:
     """(group_id, cluster_id): one row for each distinct, non-null cluster_id of ``records``, those in no link included.
 
@@ -143,7 +161,7 @@ def groups(records: DataFrame, links: DataFrame, bound: int = BOUND) -> DataFram
     count once; empty tables give no rows; further columns are ignored.
     """
     pairs = links.where("is_linked").select(match_key(F.col("cluster_a")).alias("a"), match_key(F.col("cluster_b")).alias("b"))
-    found = labels(pairs, bound)
+    found = representatives(pairs, bound)
     nodes = (
         records.where("cluster_id is not null")
         .select("cluster_id")
@@ -151,10 +169,4 @@ def groups(records: DataFrame, links: DataFrame, bound: int = BOUND) -> DataFram
         .withColumn("key", F.coalesce(match_key(F.col("cluster_id")), F.col("cluster_id")))
     )
     rooted = cut_lineage(nodes.join(found, "key", "left").select("cluster_id", F.coalesce("root", "key").alias("root")))
-    names = rooted.groupBy("root").agg(F.min("cluster_id").alias("group_id"), F.count(F.lit(1)).alias("_n"))
-    many = max(2.0, HOT_SHARE * rooted.count())
-    hot = names.where(F.col("_n") > many).select("root", F.col("group_id").alias("_hot"))
-    rest = names.where(F.col("_n") <= many).select("root", "group_id")
-    spread = rooted.join(F.broadcast(hot), "root", "left")
-    named = spread.where("_hot is null").join(rest, "root").select("group_id", "cluster_id")
-    return spread.where("_hot is not null").select(F.col("_hot").alias("group_id"), "cluster_id").unionByName(named)
+    return _least_of_group(rooted, "root", "cluster_id", "group_id").select("group_id", "cluster_id")

@@ -4,27 +4,25 @@ A mixture is as large as its scarcest source allows when that source is repeated
 as often as it may be. Each source is a stream of documents in hashed order,
 repeated copy after copy, cut into blocks of equal size. Block k of a source
 with weight w is released at slot floor((k-1)/w) and due by slot ceil(k/w);
-earliest deadline first fills the slots. With weights as fractions the schedule
-repeats after the common denominator, so one such period, a table bounded by
-``MAX_PERIOD`` rows, places every block of every source by arithmetic, and no task
-walks the whole mixture.
+earliest deadline first fills the slots. Weights are exact fractions. A mixture's
+block is its ``MAX_SLOTS``-th part, at least ``LEAST_BLOCK`` tokens, so its schedule has a
+bounded number of slots whatever its size, and no task walks the whole mixture.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import reduce
-from math import lcm
+from heapq import heappop, heappush
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scalarscape.llm import tokenizer
 from scalarscape.operators.windows import running_total
 from scalarscape.session import cut_lineage
 
-BLOCK_TOKENS = 32_768  # above the longest text, so that a block holds whole documents
-MAX_PERIOD = 10_000  # slots of one period of a mixture's schedule
+MAX_SLOTS = 50_000  # slots of a mixture's schedule, about
+LEAST_BLOCK = 256  # tokens of a block at least
 MAX_TARGETS = 10_000  # rows of the table of target weights, which the driver reads
 BUCKETS = 4096  # pieces of a source's hashed order
 
@@ -35,52 +33,52 @@ def source_key(col: Column) -> Column:
     return F.when(key != "", key)
 
 
-def _shares(weights: dict[str, float]) -> dict[str, tuple[int, int]]:
-    """Per source (blocks per period, slots per period) of positive weights."""
+def shares_of(weights: dict[str, float]) -> dict[str, Fraction]:
+    """Positive weights as exact parts of their sum."""
     exact = {s: Fraction(repr(float(w))) for s, w in weights.items()}
     total = sum(exact.values())
-    parts = {s: w / total for s, w in exact.items()}
-    period = reduce(lcm, (p.denominator for p in parts.values()), 1)
-    if period > MAX_PERIOD:  # round to a period that fits; every source keeps at least one block
-        period = MAX_PERIOD
-        blocks = {s: max(1, round(p * period)) for s, p in parts.items()}
-        period = sum(blocks.values())
-        return {s: (b, period) for s, b in blocks.items()}
-    return {s: (int(p * period), period) for s, p in parts.items()}
-
-
-def pfair_period(shares: dict[str, tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """(source, block number from 0, slot) of one period: earliest deadline first among the released blocks, ties by source."""
-    done = dict.fromkeys(shares, 0)
-    period = next(iter(shares.values()))[1] if shares else 0
-    out = []
-    for slot in range(period):
-        ready = [
-            (-(-(done[s] + 1) * period // n), s)  # deadline of the next block
-            for s, (n, _) in shares.items()
-            if done[s] < n and done[s] * period // n <= slot  # released
-        ]
-        if not ready:
-            continue
-        _, s = min(ready)
-        out.append((s, done[s], slot))
-        done[s] += 1
+    return {s: w / total for s, w in exact.items()}
+
+
+def pfair(shares: dict[str, Fraction], blocks: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block number from 0, slot): earliest deadline first among the released blocks, ties by source; ``blocks`` of each source are placed."""
+    waiting, ready, out = [], [], []  # by release and by deadline
+    for s, w in shares.items():
+        if blocks[s]:
+            heappush(waiting, (0, s, 0))
+    slot = 0
+    while waiting or ready:
+        if not ready and waiting[0][0] > slot:  # only where rounding the blocks up left a gap at the end
+            slot = waiting[0][0]
+        while waiting and waiting[0][0] <= slot:
+            _, s, k = heappop(waiting)
+            w = shares[s]
+            heappush(ready, (-(-(k + 1) * w.denominator // w.numerator), s, k))
+        _, s, k = heappop(ready)
+        out.append((s, k, slot))
+        if k + 1 < blocks[s]:
+            w = shares[s]
+            heappush(waiting, ((k + 1) * w.denominator // w.numerator, s, k + 1))
+        slot += 1
     return out
 
 
 def mix(
     documents: DataFrame,
     targets: DataFrame,
-    block_tokens: int = BLOCK_TOKENS,
+    block_tokens: int | None = None,
     folder: str = tokenizer.TOKENIZER_DIR,
     vocabulary: str = tokenizer.VOCABULARY,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixtures' rows (mixture, source, doc_id, copy_no, n_tokens, slot, position) and shares (one row for each target).
 
-    Read in the order (slot, position), a mixture's running share of every source
-    stays within one block, and the document that ends it, of its target. Shares give
-    target_share, actual_share, tokens, documents, copies (most of one document),
-    available tokens and max_repeats. A source without documents, or with weight 0 or
+    Read in the order (slot, position), a mixture's tokens of every source stay within
+    less than ``deviation_bound`` of its target share of all tokens so far: one block and,
+    as documents are kept whole, the longest document of each source, those of the others
+    by the source's weight. Shares give target_share (of the weights of the sources that
+    the mixture names), actual_share, tokens, documents, copies (most of one document),
+    available tokens, max_repeats, block_tokens (``block_tokens`` or the mixture's own)
+    and deviation_bound. A source without documents, or with weight 0 or
     null, contributes nothing; the others keep their weights among each other and its
     actual share 0 is reported. No document has more than max_repeats copies (null or
     less than 1: none). Documents whose text is null, empty or without tokens have no
@@ -104,50 +102,47 @@ def mix(
     chosen = chosen.where(F.col("source").isin(names)) if names else chosen.limit(0)
     sized = tokenizer.count_tokens(chosen, ["doc_id", "source"], "text", folder, vocabulary).where("n_tokens > 0")
     hashed = sized.withColumn("_h", F.xxhash64("doc_id")).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)))
-    sized = cut_lineage(running_total(hashed, ["source"], "_bucket", ["_h", "doc_id"], "n_tokens", "start"))
-    totals = {t.source: t.n for t in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a target's source
+    sized = running_total(cut_lineage(hashed), ["source"], "_bucket", ["_h", "doc_id"], "n_tokens", "start")  # read twice, so encoded before
+    per_source = cut_lineage(sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest"))).collect()  # one row a target's source
+    totals, longest = {t.source: t.n for t in per_source}, {t.source: t.longest for t in per_source}
 
     plans, slots, rows = [], [], []
     for mixture in sorted({t.mixture for t in wanted}):
         own = {t.source: t for t in wanted if t.mixture == mixture}
         given = {s: float(t.w) for s, t in own.items() if t.w and t.w > 0}
         live = {s: w for s, w in given.items() if totals.get(s) and (own[s].r or 0) >= 1}
-        shares = _shares(live) if live else {}
-        size = min((totals[s] * own[s].r * period / n for s, (n, period) in shares.items()), default=0.0)
-        for s, (n, period) in shares.items():
-            need = size * n / period
-            full = min(int(need // totals[s] + 1e-9), own[s].r)
-            rest = need - full * totals[s] if full < own[s].r else 0.0
-            plans.append((mixture, s, totals[s], full, float(rest), n, period))
-        slots += [(mixture, s, k, slot) for s, k, slot in pfair_period(shares)] if shares else []
+        parts = shares_of(live) if live else {}
+        size = min((totals[s] * own[s].r / p for s, p in parts.items()), default=0)
+        block = block_tokens or max(LEAST_BLOCK, int(-(-size // MAX_SLOTS)))
+        blocks = {s: int(-(-size * p // block)) for s, p in parts.items()}
+        around = sum(longest[s] for s in parts)
+        for s, p in parts.items():
+            need = size * p
+            full = min(int(need // totals[s]), own[s].r)
+            plans.append((mixture, s, totals[s], full, float(need - full * totals[s]) if full < own[s].r else 0.0, block, blocks[s]))
+        slots += [(mixture, s, k, slot) for s, k, slot in pfair(parts, blocks)]
         weight = sum(given.values())
-        rows += [
-            (mixture, s, given.get(s, 0.0) / weight if weight else 0.0, totals.get(s, 0), own[s].r) for s in own
-        ]
+        for s in own:
+            bound = float(block + longest[s] + parts[s] * around) if s in parts else None
+            rows.append((mixture, s, given.get(s, 0.0) / weight if weight else 0.0, totals.get(s, 0), own[s].r, block, bound))
 
     plan = spark.createDataFrame(
-        plans, "mixture string, source string, total bigint, full int, rest double, per int, period int"
+        plans, "mixture string, source string, total bigint, full int, rest double, block bigint, blocks bigint"
     )
-    period = spark.createDataFrame(slots, "mixture string, source string, k bigint, at bigint")
+    schedule = spark.createDataFrame(slots, "mixture string, source string, k bigint, at bigint")
     placed = sized.join(F.broadcast(plan), "source")
     copies = F.col("full") + F.when(F.col("start") + F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)
     copied = placed.where(copies > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies)))
     offset = (F.col("copy_no") - 1) * F.col("total") + F.col("start")
-    block = F.floor(offset / block_tokens)
-    blocked = copied.withColumn("position", offset).withColumn("_block", block).withColumn("k", block % F.col("per"))
-    small = len(slots) <= 10 * MAX_PERIOD  # many mixtures with long periods are joined by shuffle
-    scheduled = blocked.join(F.broadcast(period) if small else period, ["mixture", "source", "k"])
+    k = F.least(F.floor(offset / F.col("block")), F.col("blocks") - 1)
+    blocked = copied.withColumn("position", offset).withColumn("k", k)
+    small = len(slots) <= 20 * MAX_SLOTS  # the schedules of many mixtures are joined by shuffle
+    scheduled = blocked.join(F.broadcast(schedule) if small else schedule, ["mixture", "source", "k"])
     mixed = scheduled.select(
-        "mixture",
-        "source",
-        "doc_id",
-        F.col("copy_no").cast("int").alias("copy_no"),
-        "n_tokens",
-        (F.floor(F.col("_block") / F.col("per")) * F.col("period") + F.col("at")).alias("slot"),
-        "position",
+        "mixture", "source", "doc_id", F.col("copy_no").cast("int").alias("copy_no"), "n_tokens", F.col("at").alias("slot"), "position"
     )
     asked = spark.createDataFrame(
-        rows, "mixture string, source string, target_share double, available_tokens bigint, max_repeats int"
+        rows, "mixture string, source string, target_share double, available_tokens bigint, max_repeats int, block_tokens bigint, deviation_bound double"
     )
     reached = mixed.groupBy("mixture", "source").agg(
         F.sum("n_tokens").alias("tokens"),
@@ -168,6 +163,30 @@ def mix(
             F.coalesce("copies", F.lit(0)).alias("copies"),
             "available_tokens",
             "max_repeats",
+            "block_tokens",
+            "deviation_bound",
         )
     )
     return mixed, shares
+
+
+def deviations(mixed: DataFrame, shares: DataFrame) -> DataFrame:
+    """(mixture, source, deviation_tokens, deviation_bound): how far a source's running tokens are from its part of the running total at most, over all documents in order.
+
+    Its part is the weight among the sources that the mixture holds. Running totals are
+    taken slot by slot, each slot a piece of its own, so no task walks a whole mixture.
+    """
+    # one source fills a slot, so within it only that source's tokens grow
+    per_slot = mixed.groupBy("mixture", "slot", "source").agg(F.sum("n_tokens").alias("tokens"))
+    per_slot = per_slot.withColumn("_piece", F.floor(F.col("slot") / 256))
+    own = running_total(per_slot, ["mixture", "source"], "_piece", ["slot"], "tokens", "own_before")
+    whole = cut_lineage(running_total(own, ["mixture"], "_piece", ["slot", "source"], "tokens", "all_before"))
+    held = shares.where("tokens > 0").select("mixture", "source", "target_share", "deviation_bound")
+    held = held.withColumn("part", F.col("target_share") / F.sum("target_share").over(Window.partitionBy("mixture")))  # one row a target
+    # a source's deviation is an extreme at a slot's ends: of its own slots it rises, of the others' it falls
+    at = whole.join(F.broadcast(held), ["mixture", "source"])
+    own_end = F.col("own_before") + F.col("tokens")
+    all_end = F.col("all_before") + F.col("tokens")
+    before, after = F.col("own_before") - F.col("part") * F.col("all_before"), own_end - F.col("part") * all_end
+    worst = at.groupBy("mixture", "source").agg(F.max(F.greatest(F.abs(before), F.abs(after))).alias("deviation_tokens"))
+    return held.join(worst, ["mixture", "source"]).select("mixture", "source", "deviation_tokens", "deviation_bound")

@@ -52,6 +52,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.deviations(*_mix(spark, sf_dir))
+
+
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"))
 
@@ -59,7 +63,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_restored, p1_recovery, p3_found, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p8_pieces)
+        for f in (p1_found, p1_restored, p1_recovery, p3_found, p6_ids, p6_roundtrip, p7_mixture, p7_shares, p7_deviation, p8_pieces)
     }
 
 

@@ -138,15 +138,18 @@ def test_encoder_equals_public_library(spark):
 # --- mixtures ---------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.6, "b": 0.25, "c": 0.1, "d": 0.05}, {"a": 1, "b": 1, "c": 1}, {"a": 0.5, "b": 0.48}, {"x": 1}])
-def test_pfair_period_stays_within_one_block(weights):
-    shares = mixture._shares(weights)
-    period = mixture.pfair_period(shares)
-    length = next(iter(shares.values()))[1]
-    assert sorted(slot for _, _, slot in period) == list(range(length))
-    for t in range(1, length + 1):
-        for s, (n, total) in shares.items():
-            assert abs(sum(1 for x, _, slot in period if x == s and slot < t) - n * t / total) < 1
+@pytest.mark.parametrize("weights", [{"a": 0.6, "b": 0.25, "c": 0.1, "d": 0.05}, {"a": 1, "b": 1, "c": 1}, {"a": 0.5, "b": 0.48}, {"x": 1}, {"a": 0.123456789, "b": 1e-5, "c": 0.7, "d": 0.31415926}])
+def test_pfair_stays_within_one_block(weights):
+    shares = mixture.shares_of(weights)
+    length = 2000
+    schedule = mixture.pfair(shares, {s: -(-length * w // 1) for s, w in shares.items()})
+    slots = [slot for _, _, slot in schedule]
+    assert slots == sorted(set(slots)) and slots[:length] == list(range(len(slots)))[:length]
+    done = dict.fromkeys(shares, 0)
+    for t, (source, k, _) in enumerate(schedule[:length], 1):
+        assert k == done[source]
+        done[source] += 1
+        assert all(abs(done[s] - w * t) < 1 for s, w in shares.items())
 
 
 @needs_vocabulary
@@ -165,6 +168,14 @@ def test_mixture_meets_targets_and_caps(spark):
     caps = {(m, s): r for m, s, _, r in targets}
     assert max(r.copy_no for r in rows) <= 4 and all(r.copy_no <= caps[r.mixture, r.source] for r in rows)
     assert len({(r.mixture, r.doc_id, r.copy_no) for r in rows}) == len(rows)
+    sums = {(r.mixture, r.source): r.n for r in mixed.groupBy("mixture", "source").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert {k: r.tokens for k, r in got.items() if r.tokens} == sums
+    far = mixture.deviations(mixed, shares).collect()
+    assert {(r.mixture, r.source) for r in far} == set(sums) and all(r.deviation_tokens < r.deviation_bound < 300 for r in far)
+    running, order = {}, sorted((r for r in rows if r.mixture == "m"), key=lambda r: (r.slot, r.position))
+    for r in order:
+        running[r.source] = running.get(r.source, 0) + r.n_tokens
+        assert all(abs(running.get(s, 0) - w * sum(running.values())) < got["m", s].deviation_bound for s, w in (("main_crawl", 0.75), ("notes", 0.25)))
     none, no_shares = mixture.mix(d, t.limit(0))
     assert none.count() == 0 and no_shares.count() == 0
 
