@@ -73,12 +73,27 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written under the checkpoint folder and read again: the form to iterate on.
 
     Unlike a checkpoint its size is known anew each round; inherited estimates of joins
-    multiply from round to round until planning takes longer than the work.
+    multiply from round to round until planning takes longer than the work. The files go
+    when the application ends, or before by ``discard``.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._scalarscape_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` gave and that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_scalarscape_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
