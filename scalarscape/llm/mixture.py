@@ -5,8 +5,8 @@ as often as it may be. Each source is a stream of documents in hashed order,
 repeated copy after copy, cut into blocks of equal size. Block k of a source
 with weight w is released at slot floor((k-1)/w) and due by slot ceil(k/w);
 earliest deadline first fills the slots. Weights are exact fractions. A mixture's
-block is its ``MAX_SLOTS``-th part, at least ``LEAST_BLOCK`` tokens, so its schedule has a
-bounded number of slots whatever its size, and no task walks the whole mixture.
+block is its ``SLOTS``-th part, so its schedule has about as many slots whatever its
+size, and no task walks the whole mixture.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from scalarscape.llm import tokenizer
 from scalarscape.operators.windows import running_total
 from scalarscape.session import cut_lineage
 
-MAX_SLOTS = 50_000  # slots of a mixture's schedule, about
-LEAST_BLOCK = 256  # tokens of a block at least
+SLOTS = 20_000  # slots of a mixture's schedule, about, whatever its size
 MAX_TARGETS = 10_000  # rows of the table of target weights, which the driver reads
 BUCKETS = 4096  # pieces of a source's hashed order
 
@@ -113,7 +112,7 @@ def mix(
         live = {s: w for s, w in given.items() if totals.get(s) and (own[s].r or 0) >= 1}
         parts = shares_of(live) if live else {}
         size = min((totals[s] * own[s].r / p for s, p in parts.items()), default=0)
-        block = block_tokens or max(LEAST_BLOCK, int(-(-size // MAX_SLOTS)))
+        block = block_tokens or max(1, int(-(-size // SLOTS)))
         blocks = {s: int(-(-size * p // block)) for s, p in parts.items()}
         around = sum(longest[s] for s in parts)
         for s, p in parts.items():
@@ -136,7 +135,7 @@ def mix(
     offset = (F.col("copy_no") - 1) * F.col("total") + F.col("start")
     k = F.least(F.floor(offset / F.col("block")), F.col("blocks") - 1)
     blocked = copied.withColumn("position", offset).withColumn("k", k)
-    small = len(slots) <= 20 * MAX_SLOTS  # the schedules of many mixtures are joined by shuffle
+    small = len(slots) <= 20 * SLOTS  # the schedules of many mixtures are joined by shuffle
     scheduled = blocked.join(F.broadcast(schedule) if small else schedule, ["mixture", "source", "k"])
     mixed = scheduled.select(
         "mixture", "source", "doc_id", F.col("copy_no").cast("int").alias("copy_no"), "n_tokens", F.col("at").alias("slot"), "position"
