@@ -74,7 +74,7 @@ def ring_search(centres: DataFrame, vertices: DataFrame, fields: DataFrame, radi
     ring_id = F.concat_ws("|", "mesh_id", "field", "entity_id", "radius")
     spread = spread.select("*", ring_id.alias("ring_id"), F.col("radius").alias("a"), F.col("radius").alias("b"), F.lit(1.0).alias("sphere_radius"))
     points = rings.ring_samples(spread, samples)
-    values = rings.interpolate(points.select("mesh_id", "field", "ring_id", "k", "x", "y", "z"), vertices, fields, reach=0.6)
+    values = rings.interpolate(points.select("mesh_id", "field", "ring_id", "k", "x", "y", "z"), vertices, fields)
     own = spread.select("mesh_id", "field", "ring_id", "entity_id", "radius", "expected")
     profile = values.join(own.select("mesh_id", "field", "ring_id"), ["mesh_id", "field", "ring_id"])
     profile = profile.select("ring_id", "k", F.lit(samples).alias("n"), (2 * pi * F.col("k") / samples).alias("phi"), "value")
@@ -209,7 +209,7 @@ def nudged(centres: DataFrame, vertices: DataFrame, fields: DataFrame, radius: f
         F.lit(radius).alias("a"), F.lit(radius).alias("b"), F.lit(1.0).alias("sphere_radius"),
     )
     points = rings.ring_samples(spread, samples)
-    values = rings.interpolate(points.select("mesh_id", "field", "ring_id", "k", "x", "y", "z"), vertices, fields, reach=0.6)
+    values = rings.interpolate(points.select("mesh_id", "field", "ring_id", "k", "x", "y", "z"), vertices, fields)
     profile = values.select("ring_id", "field", "k", F.lit(samples).alias("n"), "value").join(spread.select("ring_id", "field"), ["ring_id", "field"])
     energy = rings.harmonic_power(profile, samples // 2).groupBy("ring_id").agg(
         (1 - F.sum(F.when(F.col("bin") == fold, F.col("power"))) / F.sum("power")).alias("energy")

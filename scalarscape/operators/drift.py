@@ -177,24 +177,24 @@ def _steps(q: Quantity) -> Column:
     )
 
 
-def registry(files: DataFrame, printed: DataFrame, quantities: tuple[Quantity, ...] = SNAPSHOT_QUANTITIES) -> DataFrame:
+def registry(files: DataFrame, printed: DataFrame, quantities: tuple[Quantity, ...] = SNAPSHOT_QUANTITIES, with_keys: bool = True) -> DataFrame:
     """One row for each fingerprint of ``printed`` (as from ``fingerprints``): version, n_files, series, first_seq, the chain (place, path, type) of each quantity under its name, steps, keys and unmapped.
 
     Versions count from 1 in the order of (first_seq, fingerprint) and are unique.
     ``keys`` are the paths of all keys, ``unmapped`` those that neither are a known place
-    nor lead to one. ``series`` is the least one that has the fingerprint at first_seq.
+    nor lead to one; both are null without ``with_keys``. ``series`` is the least one that has the fingerprint at first_seq.
     """
     seen = printed.groupBy("fingerprint").agg(
         F.min("file_id").alias("file_id"), F.count(F.lit(1)).alias("n_files"), F.min(F.struct("file_seq", "series")).alias("_first")
     )
     bucket = F.concat(F.lpad(F.coalesce("_first.file_seq", F.lit(0)).cast("string"), 12, "0"), F.substring("fingerprint", 1, 2))
     numbered = running_total(seen.withColumn("_bucket", bucket).withColumn("_one", F.lit(1)), [], "_bucket", ["fingerprint"], "_one", "_before")
-    one = _parsed(files.join(numbered.select("file_id"), "file_id", "left_semi")).dropDuplicates(["file_id"])
+    one = _parsed(files.join(numbered.select("file_id"), "file_id", "left_semi"))
     docs = one.join(numbered.select("fingerprint", "n_files", "_first", "_before"), "fingerprint")
     chained = docs.select(
         "fingerprint", (F.col("_before") + 1).alias("version"), "n_files", F.col("_first.series").alias("series"), F.col("_first.file_seq").alias("first_seq"),
-        _keys(F.col("_doc"), F.lit("$."), DEPTH).alias("keys"), *[_chain(q).alias(q.name) for q in quantities],
-    )
+        (_keys(F.col("_doc"), F.lit("$."), DEPTH) if with_keys else F.lit(None).cast("array<string>")).alias("keys"), *[_chain(q).alias(q.name) for q in quantities],
+    ).dropDuplicates(["fingerprint"])
     known = {p[: len(p) - len(tail)].rstrip(".") for q in quantities for p in q.places for tail in ["", *[".".join(p.split(".")[i:]) for i in range(2, p.count(".") + 1)]]}
     return cut_lineage(
         chained.select("*", F.flatten(F.array(*[_steps(q) for q in quantities])).alias("steps"), F.array_except("keys", F.array(*[F.lit(k) for k in sorted(known)])).alias("unmapped"))
@@ -219,7 +219,7 @@ def read_drifting(files: DataFrame, quantities: tuple[Quantity, ...] = SNAPSHOT_
     quantity the canonical-most counts. Values that cannot be cast and absent ones are
     the default, null; further columns of ``files`` are ignored.
     """
-    chains = registry(files, fingerprints(files), quantities).select("fingerprint", "version", *[F.col(q.name).alias(f"_{q.name}") for q in quantities])
+    chains = registry(files, fingerprints(files), quantities, with_keys=False).select("fingerprint", "version", *[F.col(q.name).alias(f"_{q.name}") for q in quantities])
     routed = _routed(_parsed(files), chains)
     values = []
     for q in quantities:
@@ -243,7 +243,7 @@ def drift_events(files: DataFrame, quantities: tuple[Quantity, ...] = SNAPSHOT_Q
     null name form one series. An empty table gives no rows.
     """
     printed = fingerprints(files)
-    book = registry(files, printed, quantities)
+    book = registry(files, printed, quantities, with_keys)
     chains = book.select("fingerprint", "version", *[F.col(q.name).alias(f"_{q.name}") for q in quantities])
     rows = _routed(printed, chains).select(
         "file_id",

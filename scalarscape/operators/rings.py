@@ -6,12 +6,14 @@ so windows by ring_id are small; parallelism is over rings.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from scalarscape.functions import vector as V
+from scalarscape.session import cut_lineage
 
 
 def in_order() -> WindowSpec:
@@ -66,32 +68,52 @@ def ring_frame(ring: DataFrame) -> DataFrame:
     return got.select(*key, "n", "cx", "cy", "cz", F.acos(V.clipped(F.col("_c"))).alias("angular_radius"))
 
 
-def nearest_vertices(samples: DataFrame, vertices: DataFrame, k: int, reach: float, cell: float = 0.25) -> DataFrame:
-    """(mesh_id, field where given, ring_id, k, vertex_id, theta, rank): the ``k`` mesh vertices nearest to each sample, among those within ``reach`` radians.
+def nearest_vertices(samples: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """(mesh_id, field where given, ring_id, k, vertex_id, theta, rank): the ``k`` mesh vertices nearest to each sample, all where a mesh has fewer; ties (within 1e-9) go to the smaller vertex_id.
 
-    Samples meet vertices by cells, each sample looking into the cells within reach; the
-    k nearest of a sample are exact where that many vertices lie within reach.
+    Vertices lie in cells whose side comes from their mesh's density, so that a cell holds
+    a few whatever the mesh's size, and each sample looks into its own cell and those
+    beside it. It is settled once its k-th vertex lies no farther than a cell's side; the
+    others look again among cells three times as wide, at last the whole sphere.
     """
     u = V.unit(V.vec(""))
     key = [c for c in ("mesh_id", "field", "ring_id", "k") if c in samples.columns]
-    s = samples.select(*key, *[x.alias(f"u{m}") for x, m in zip(u, "xyz", strict=True)])
-    spans = [F.sequence(F.floor((F.col(f"u{m}") - reach) / cell), F.floor((F.col(f"u{m}") + reach) / cell)) for m in "xyz"]
-    cells = F.flatten(F.transform(spans[0], lambda a: F.flatten(F.transform(spans[1], lambda b: F.transform(spans[2], lambda c: F.struct(a.alias("i"), b.alias("j"), c.alias("l")))))))
-    v = vertices.select("mesh_id", "vertex_id", *[x.alias(f"v{m}") for x, m in zip(u, "xyz", strict=True)])
-    v = v.withColumn("cell", F.struct(*[F.floor(F.col(f"v{m}") / cell).alias(n) for m, n in zip("xyz", "ijl", strict=True)]))
-    near = s.withColumn("cell", F.explode(cells)).join(v, ["mesh_id", "cell"])
-    near = near.withColumn("theta", V.angle(V.vec("u"), V.vec("v"))).where(F.col("theta") <= reach)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("theta", "vertex_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*key, "vertex_id", "theta", "rank")
-
-
-def interpolate(samples: DataFrame, vertices: DataFrame, fields: DataFrame, k: int = 4, reach: float = 0.5, power: float = 2.0, snap: float = 1e-7) -> DataFrame:
+    sides = vertices.groupBy("mesh_id").agg((1.5 * F.sqrt(4 * pi / F.count(F.lit(1)))).alias("side"))
+    s = samples.select(*key, *[x.alias(f"u{m}") for x, m in zip(u, "xyz", strict=True)]).join(sides, "mesh_id")
+    v = vertices.select("mesh_id", "vertex_id", *[x.alias(f"v{m}") for x, m in zip(u, "xyz", strict=True)]).join(sides, "mesh_id")
+    s, v = cut_lineage(s), cut_lineage(v)
+    beside = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(l).alias("dl")) for i in (-1, 0, 1) for j in (-1, 0, 1) for l in (-1, 0, 1)])
+    found = []
+    wide = 1
+    while True:
+        side = F.col("side") * wide
+        at = lambda p: [F.floor(F.col(f"{p}{m}") / side) for m in "xyz"]  # noqa: E731, B023 - used within the round
+        cells = v.select("mesh_id", "vertex_id", "vx", "vy", "vz", *[c.alias(n) for c, n in zip(at("v"), "ijl", strict=True)])
+        looked = s.select(*key, "ux", "uy", "uz", "side", F.inline(beside))
+        looked = looked.select(*key, "ux", "uy", "uz", "side", *[(c + F.col(f"d{n}")).alias(n) for c, n in zip(at("u"), "ijl", strict=True)])
+        near = looked.join(cells, ["mesh_id", "i", "j", "l"])
+        theta = V.angle(V.vec("u"), V.vec("v"))
+        best = near.groupBy(*key).agg(
+            F.slice(F.array_sort(F.collect_list(F.struct(F.round(theta, 9).alias("at"), "vertex_id", theta.alias("theta")))), 1, k).alias("best"), F.first("side").alias("side")
+        )
+        last = side >= 2.0  # the cells beside hold the whole sphere
+        settled = cut_lineage(best.where(last | ((F.size("best") == k) & (F.element_at("best", -1)["theta"] <= 2 * F.asin(F.least(F.lit(1.0), side / 2))))).select(*key, "best"))
+        found.append(settled)
+        s = cut_lineage(s.where(~last).join(settled, key, "left_anti"))
+        if s.isEmpty():
+            break
+        wide *= 3
+    ranked = reduce(DataFrame.unionByName, found).select(*key, F.posexplode("best").alias("rank", "b"))
+    return ranked.select(*key, "b.vertex_id", "b.theta", (F.col("rank") + 1).alias("rank"))
+
+
+def interpolate(samples: DataFrame, vertices: DataFrame, fields: DataFrame, k: int = 4, power: float = 2.0, snap: float = 1e-7) -> DataFrame:
     """(mesh_id, field, ring_id, k, value): inverse-distance weights of the k nearest vertices; a vertex within ``snap`` gives its value.
 
     Samples with a field take its values, those without one the values of every field.
     """
     own = ["field"] if "field" in samples.columns else []
-    near = nearest_vertices(samples, vertices, k, reach).join(fields, ["mesh_id", *own, "vertex_id"])
+    near = nearest_vertices(samples, vertices, k).join(fields, ["mesh_id", *own, "vertex_id"])
     weight = 1 / F.pow(F.greatest(F.col("theta"), F.lit(snap)), power)
     got = near.groupBy("mesh_id", "field", "ring_id", "k").agg(
         F.min_by("value", "rank").alias("first"), F.min("theta").alias("least"), (F.sum(weight * F.col("value")) / F.sum(weight)).alias("mean")

@@ -9,8 +9,14 @@ from scalarscape.functions import vector as V
 
 SCHEMA_VERSION = 2
 
-#: Default controls.
-DEFAULT_FLOATS = {"k_pitch": 2.0, "k_bridge": 3.0, "cat_barrier_tol": 0.005, "cat_angular_tol_mult": 4.0, "nudge_max_pitch": 1.5, "num_contours": 15.0}
+#: The controls of a snapshot by type, numbers and switches with their defaults.
+DEFAULT_FLOATS = {"num_contours": 15.0, "cp_glyph_scale": 1.0, "k_pitch": 2.0, "k_bridge": 3.0, "cat_barrier_tol": 0.005, "cat_angular_tol_mult": 4.0, "nudge_max_pitch": 1.5}
+DEFAULT_BOOLS = {
+    "show_flood": True, "show_contours": True, "show_sphere_wire": False, "show_cps": True, "show_maxima": True, "show_minima": True, "show_saddles": True,
+    "show_rings": True, "aggregate_strings": False, "show_catastrophes": True, "show_ports": True, "reduce_catastrophes": False,
+    "reduce_multi_clusters": False, "nudge_cp_positions": False, "perfect_port_angles": False, "show_launch_seeds": False,
+}
+STRINGS = ["selected_field"]
 
 
 def distinct_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -35,22 +41,38 @@ def camera_valid(c: Column) -> Column:
 
 
 def load_report(snapshots: DataFrame) -> DataFrame:
-    """(snapshot_id, status, missing, n_values): ``ok``, ``wrong version``, ``no params`` or ``missing controls`` with their names in order.
+    """(snapshot_id, status, missing, bad, n_values): ``ok`` or what keeps a snapshot from loading, the first of the following.
 
-    Unknown controls are tolerated. A snapshot without a camera may still load; one with
-    a camera that breaks its rules is ``bad camera``.
+    ``wrong version``; ``no params``; ``no section`` (bools, floats or strings is null);
+    ``missing controls``, their names in order; ``bad values``, the controls that are
+    null where a switch, number or text belongs; ``bad camera``. Unknown controls are
+    tolerated, and a snapshot without a camera may still load.
     """
-    floats = F.col("params.floats")
-    missing = F.array_sort(F.array_except(F.array(*[F.lit(k) for k in DEFAULT_FLOATS]), F.coalesce(F.map_keys(floats), F.array().cast("array<string>"))))
+    wanted = {"bools": list(DEFAULT_BOOLS), "floats": list(DEFAULT_FLOATS), "strings": STRINGS}
+    sections = {name: F.col(f"params.{name}") for name in wanted}
+    nothing = F.array().cast("array<string>")
+    missing = F.array_sort(F.concat(*[F.array_except(F.array(*[F.lit(k) for k in keys]), F.coalesce(F.map_keys(sections[n]), nothing)) for n, keys in wanted.items()]))
+    empty = lambda n, keys: F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.coalesce(F.map_contains_key(sections[n], k) & F.element_at(sections[n], k).isNull(), F.lit(False)))
+    bad = F.array_sort(F.concat(*[empty(n, keys) for n, keys in wanted.items()]))
     status = (
         F.when(F.coalesce(F.col("schema_version") != SCHEMA_VERSION, F.lit(True)), "wrong version")
-        .when(F.col("params").isNull() | floats.isNull(), "no params")
+        .when(F.col("params").isNull(), "no params")
+        .when(sections["bools"].isNull() | sections["floats"].isNull() | sections["strings"].isNull(), "no section")
         .when(F.size(missing) > 0, "missing controls")
+        .when(F.size(bad) > 0, "bad values")
         .when(F.col("camera").isNotNull() & ~camera_valid(F.col("camera")), "bad camera")
         .otherwise("ok")
     )
-    n = sum((F.coalesce(F.size(F.map_keys(F.col(f"params.{p}"))), F.lit(0)) for p in ("bools", "floats", "strings")), F.lit(0))
-    return snapshots.select("snapshot_id", status.alias("status"), F.array_join(missing, ",").alias("missing"), n.alias("n_values"))
+    n = sum((F.coalesce(F.size(F.map_keys(c)), F.lit(0)) for c in sections.values()), F.lit(0))
+    return snapshots.select("snapshot_id", status.alias("status"), F.array_join(missing, ",").alias("missing"), F.array_join(bad, ",").alias("bad"), n.alias("n_values"))
+
+
+def restored_controls(snapshots: DataFrame) -> DataFrame:
+    """(snapshot_id, control, kind, value): every control of a snapshot as text, the default where the snapshot lacks it; kinds are bool, float and string."""
+    rows = [(k, "bool", F.coalesce(F.col("params.bools")[k], F.lit(v)).cast("string")) for k, v in DEFAULT_BOOLS.items()]
+    rows += [(k, "float", F.coalesce(F.col("params.floats")[k], F.lit(v)).cast("string")) for k, v in DEFAULT_FLOATS.items()]
+    rows += [(k, "string", F.col("params.strings")[k]) for k in STRINGS]
+    return snapshots.select("snapshot_id", F.inline(F.array(*[F.struct(F.lit(k).alias("control"), F.lit(kind).alias("kind"), v.alias("value")) for k, kind, v in rows])))
 
 
 def with_overrides(snapshots: DataFrame, overrides: list[str]) -> DataFrame:

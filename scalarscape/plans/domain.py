@@ -86,19 +86,62 @@ def zone_numbers(s, d):
     return metadata.numbered(_zones(s, d))
 
 
-@query("""WITH f AS (SELECT DISTINCT mesh_id, field FROM clusters) SELECT mesh_id, field, row_number() OVER (PARTITION BY mesh_id ORDER BY regexp_matches(lower(field), 'index|test|flips|share'), field)::INT AS position FROM f""")
+def _text(value: str) -> str:
+    """A text as an SQL literal, control characters by their code."""
+    return "(" + " || ".join(f"chr({ord(c)})" if c < " " or "\x7f" <= c <= "\x9f" else f"'{c}'" for c in value) + ")"
+
+
+def _sql_repaired(c: str) -> str:
+    for wrong, right in naming.MISREAD:
+        c = f"replace({c}, {_text(wrong)}, '{right}')"
+    return c
+
+
+def _sql_normalised(c: str) -> str:
+    text = f"lower(trim({_sql_repaired(f"coalesce({c}, '')")}))"
+    for q in naming.QUALIFIERS:
+        text = f"replace({text}, '{q}', '')"
+    return f"trim(regexp_replace(trim({text}), '^({'|'.join(naming.DENSITY_PREFIXES)})', ''))"
+
+
+def _sql_title(c: str) -> str:
+    words = "|".join(q.strip("()") for q in naming.QUALIFIERS)
+    clean = f"trim(regexp_replace({_sql_repaired(f"trim(coalesce({c}, ''))")}, '\\s*\\(\\s*({words})\\s*\\)', '', 'gi'))"
+    clean = f"CASE WHEN lower({clean}) IN ('ρ', 'rho') THEN 'Electron Density' ELSE trim(regexp_replace({clean}, '^(ρ|rho) ', '', 'i')) END"
+    cased = f"array_to_string(list_transform(list_filter(regexp_split_to_array({clean}, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '^[^\\x00-\\x7f]') OR regexp_matches(w[2:], '\\p{{Lu}}') THEN w ELSE upper(w[1]) || lower(w[2:]) END), ' ')"
+    return cased
+
+
+_SUFFIX = "CASE " + " ".join(f"WHEN contains(lower(t), '{k}') THEN '{v}'" for k, v in naming.SUFFIXES) + " ELSE '' END"
+_SECONDARY = "(" + " OR ".join(f"contains(lower({{0}}), '{k}')" for k in naming.SECONDARY) + ")"
+
+
+@query(f"WITH f AS (SELECT DISTINCT mesh_id, field FROM clusters) SELECT mesh_id, field, row_number() OVER (PARTITION BY mesh_id ORDER BY {_SECONDARY.format('field')}, field)::INT AS position FROM f")
 def field_display_order(s, d):
-    return naming.display_order(table(s, d, "clusters"))
+    """Fields of each mesh, by name within the primary and the secondary ones, as `clusters` has no order of its own."""
+    return naming.display_order(table(s, d, "clusters").select("mesh_id", "field").distinct(), "mesh_id", "field", "field")
+
+
+def _slider_sql(i: int) -> str:
+    whole = "trim(l) = 'v' OR l IN ('î±', 'α') OR contains(l, 'alpha') OR contains(l, 'trajectory')"
+    named = " ".join(f"WHEN contains(l, '{k}') THEN {v[i]}" for k, *v in naming.SLIDERS)
+    own = ["lo", "hi", "lo + (hi - lo) * 0.10", "(hi - lo) / 100.0"][i]
+    return f"(CASE WHEN {whole} THEN {naming.WHOLE_NAME_SLIDER[i]} {named} WHEN most > least THEN round({own}, 4) ELSE {naming.WHOLE_NAME_SLIDER[i]} END)::DOUBLE"
 
 
-@query("""WITH f AS (SELECT DISTINCT field FROM clusters), n AS (SELECT field, trim(regexp_replace(regexp_replace(replace(replace(lower(field), '(condensed)', ''), '(raw)', ''), '^\\s*(ρ|rho)\\s+', ''), '\\s+', ' ', 'g')) AS plain FROM f)
-    SELECT field, plain, trim(regexp_replace(lower(field), '[^a-z0-9]+', '_', 'g'), '_')[1:48] AS slug, CASE WHEN regexp_matches(plain, '^(v|α|alpha)$') THEN -1.0 WHEN contains(plain, 'laplacian') THEN -10.0 WHEN contains(plain, 'density') THEN 0.0 WHEN contains(plain, 'ellipticity') THEN 0.0 WHEN contains(plain, 'energy') THEN -5.0 ELSE -100.0 END::DOUBLE AS low FROM n""")
+@query(f"""WITH r AS (SELECT field, lower(field) AS l, min(m.value) AS least, max(m.value) AS most FROM (SELECT field, unnest(members) AS m FROM clusters) GROUP BY 1, 2),
+    f AS (SELECT *, greatest(least, -100.0) AS lo, least(most, 100.0) AS hi, {_sql_title('field')} AS t FROM r)
+    SELECT field, {_sql_normalised('field')} AS plain, t || {_SUFFIX} AS title, trim(regexp_replace(lower(regexp_replace(field, '[^\x00-\x7f]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_')[1:48] AS slug,
+    {_slider_sql(0)} AS low, {_slider_sql(1)} AS high, {_slider_sql(2)} AS first, {_slider_sql(3)} AS step FROM f""")
 def field_names(s, d):
-    f = table(s, d, "clusters").select("field").distinct()
-    return f.select("field", naming.normalised(F.col("field")).alias("plain"), naming.slug(F.col("field")).alias("slug"), naming.slider_range(F.col("field"))[0].alias("low"))
+    m = table(s, d, "clusters").select("field", F.explode("members").alias("m"))
+    f = m.groupBy("field").agg(F.min("m.value").alias("least"), F.max("m.value").alias("most"))
+    f = f.withColumn("s", naming.slider(F.col("field"), F.col("least"), F.col("most")))
+    name = F.col("field")
+    return f.select("field", naming.normalised(name).alias("plain"), naming.display_title(name).alias("title"), naming.slug(name).alias("slug"), "s.low", "s.high", "s.first", "s.step")
 
 
-@query("""WITH f AS (SELECT DISTINCT field, lower(field) AS l, regexp_replace(lower(field), '[^a-z0-9]', '', 'g') AS base FROM clusters)
+@query("""WITH f AS (SELECT DISTINCT field, lower(field) AS l, regexp_replace(replace(lower(field), '(condensed)', ''), '[^a-z0-9]', '', 'g') AS base FROM clusters)
     SELECT field, (CASE WHEN contains(l, 'charge') THEN 0 WHEN contains(l, 'basin') THEN 1 ELSE 2 END)::INT AS pattern_no FROM f WHERE contains(l, 'charge') OR contains(l, 'basin') OR base = 'w'""")
 def field_selection(s, d):
     return naming.select_fields(table(s, d, "clusters"), ["charge", "basin", "w"])
@@ -112,17 +155,79 @@ _S = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id
 _LEAVES = f"{_S}, sec AS (SELECT snapshot_id, dataset, received_at, unnest(json_keys(derived_metrics::JSON)) AS section, derived_metrics::JSON AS j FROM s WHERE derived_metrics IS NOT NULL), leaves AS (SELECT snapshot_id, section || '.' || k AS path, section, json_extract_string(j, '$.' || section || '.' || k) AS value FROM (SELECT *, unnest(json_keys(j, '$.' || section)) AS k FROM sec))"
 
 
-_CONTROLS = "[" + ", ".join(f"'{k}'" for k in sorted(snapshots.DEFAULT_FLOATS)) + "]"
+_ITEMS = "it AS (SELECT snapshot_id, (i - 1)::INT AS item_pos, context.field_items[i].title AS title, context.field_items[i].value AS value, params.strings['selected_field'] AS sel FROM (SELECT *, unnest(range(1, len(context.field_items) + 1)) AS i FROM s WHERE context.field_items IS NOT NULL))"
+
+
+def _items(s, d) -> DataFrame:
+    rows = _snapshots(s, d).select("snapshot_id", F.col("params.strings")["selected_field"].alias("sel"), F.posexplode("context.field_items").alias("item_pos", "i"))
+    return rows.select("snapshot_id", "item_pos", "sel", "i.title", "i.value")
+
+
+@query(f"WITH {_S}, {_ITEMS} SELECT snapshot_id, item_pos, value, row_number() OVER (PARTITION BY snapshot_id ORDER BY coalesce({_SECONDARY.format('value')}, false), item_pos)::INT AS position FROM it")
+def snapshot_field_order(s, d):
+    """Primary fields of each snapshot first, each kind in the order in which they were listed."""
+    return naming.display_order(_items(s, d).select("snapshot_id", "item_pos", "value"), "snapshot_id", "value", "item_pos")
 
 
-@query(f"""WITH {_S}, r AS (SELECT *, list_filter({_CONTROLS}, lambda k: NOT coalesce(list_contains(map_keys(params.floats), k), false)) AS m FROM s)
-    SELECT snapshot_id, CASE WHEN coalesce(schema_version <> 2, true) THEN 'wrong version' WHEN params IS NULL OR params.floats IS NULL THEN 'no params' WHEN len(m) > 0 THEN 'missing controls'
+@query(f"WITH {_S}, {_ITEMS}, f AS (SELECT *, {_sql_title('value')} AS t FROM it) SELECT snapshot_id, item_pos, t || {_SUFFIX} AS title FROM f")
+def snapshot_field_titles(s, d):
+    return _items(s, d).select("snapshot_id", "item_pos", naming.display_title(F.col("value")).alias("title"))
+
+
+def _sql_matches(a: str, b: str) -> str:
+    names = lambda v: ", ".join(f"'{x}'" for x in v)
+    mean = lambda c: f"(contains({c}, 'mean curvature') AND NOT contains({c}, 'positive') AND NOT contains({c}, 'negative') AND NOT contains({c}, 'sign change'))"
+    rules = [f"ns IN ({names([*naming.DENSITY_NAMES, ''])})", f"ns IN ({names(naming.VOLUME_NAMES)})", "contains(ns, 'kinetic')"]
+    tests = [f"nt IN ({names(naming.DENSITY_NAMES)})", f"nt IN ({names(naming.VOLUME_NAMES)})", "contains(nt, 'kinetic')"]
+    tests.append("contains(nt, 'sign change')")
+    rules.append("contains(ns, 'sign change') AND contains(nt, 'arc fraction') = contains(ns, 'arc fraction')")
+    for sign, short in (("positive", "h+"), ("negative", "h-")):
+        tests.append(f"contains(nt, '{sign} mean curvature')")
+        rules.append(f"contains(ns, '{sign} mean curvature') OR ns = '{short}'")
+    tests.append(mean("nt"))
+    rules.append(mean("ns"))
+    for word in naming.SHARED_WORDS:
+        tests.append(f"contains(nt, '{word}')")
+        rules.append(f"contains(ns, '{word}')")
+    alias = "CASE " + " ".join(f"WHEN {t} THEN {r}" for t, r in zip(tests, rules, strict=True)) + " ELSE false END"
+    return f"coalesce({a}, '') <> '' AND coalesce({b}, '') <> '' AND coalesce(trim({a}) = trim({b}) OR (ns = nt AND ns <> '') OR {alias}, false)"
+
+
+@query(f"WITH {_S}, {_ITEMS}, n AS (SELECT *, {_sql_normalised('value')} AS ns, {_sql_normalised('sel')} AS nt FROM it) SELECT snapshot_id, item_pos, {_sql_matches('value', 'sel')} AS same FROM n")
+def snapshot_field_matches(s, d):
+    """Whether each listed field means the one that the snapshot selects."""
+    return _items(s, d).select("snapshot_id", "item_pos", naming.matches(F.col("value"), F.col("sel")).alias("same"))
+
+
+_WANTED = {"bools": list(snapshots.DEFAULT_BOOLS), "floats": list(snapshots.DEFAULT_FLOATS), "strings": snapshots.STRINGS}
+
+
+def _sql_controls(test: str) -> str:
+    lists = [f"list_filter([{', '.join(repr(k) for k in keys)}], lambda k: coalesce({test.replace('SECTION', f'params.{n}')}, {'true' if 'NOT' in test else 'false'}))" for n, keys in _WANTED.items()]
+    return f"list_sort(list_concat({lists[0]}, list_concat({lists[1]}, {lists[2]})))"
+
+
+@query(f"""WITH {_S}, r AS (SELECT *, {_sql_controls('NOT list_contains(map_keys(SECTION), k)')} AS m, {_sql_controls('list_contains(map_keys(SECTION), k) AND SECTION[k] IS NULL')} AS bad FROM s)
+    SELECT snapshot_id, CASE WHEN coalesce(schema_version <> 2, true) THEN 'wrong version' WHEN params IS NULL THEN 'no params' WHEN params.bools IS NULL OR params.floats IS NULL OR params.strings IS NULL THEN 'no section' WHEN len(m) > 0 THEN 'missing controls' WHEN len(bad) > 0 THEN 'bad values'
     WHEN camera IS NOT NULL AND NOT coalesce(len(camera.position) = 3 AND len(camera.focal_point) = 3 AND len(camera.view_up) = 3 AND camera.parallel_scale > 0 AND camera.view_angle > 0 AND camera.view_angle < 180 AND camera.parallel_projection IN (0, 1), false) THEN 'bad camera' ELSE 'ok' END AS status,
-    array_to_string(m, ',') AS missing, (coalesce(cardinality(params.bools), 0) + coalesce(cardinality(params.floats), 0) + coalesce(cardinality(params.strings), 0))::INT AS n_values FROM r""")
+    array_to_string(m, ',') AS missing, array_to_string(bad, ',') AS bad, (coalesce(cardinality(params.bools), 0) + coalesce(cardinality(params.floats), 0) + coalesce(cardinality(params.strings), 0))::INT AS n_values FROM r""")
 def snapshot_load_report(s, d):
     return snapshots.load_report(_snapshots(s, d))
 
 
+_DEFAULTS = ", ".join(
+    [f"{{'control': '{k}', 'kind': 'bool', 'value': coalesce(params.bools['{k}'], {str(v).lower()})::VARCHAR}}" for k, v in snapshots.DEFAULT_BOOLS.items()]
+    + [f"{{'control': '{k}', 'kind': 'float', 'value': coalesce(params.floats['{k}'], {v})::VARCHAR}}" for k, v in snapshots.DEFAULT_FLOATS.items()]
+    + [f"{{'control': '{k}', 'kind': 'string', 'value': params.strings['{k}']}}" for k in snapshots.STRINGS]
+)
+
+
+@query(f"WITH {_S}, c AS (SELECT snapshot_id, unnest([{_DEFAULTS}]) AS c FROM s) SELECT snapshot_id, c.control AS control, c.kind AS kind, c.value AS value FROM c")
+def snapshot_controls(s, d):
+    """Every control of each snapshot, defaults for those it lacks."""
+    return snapshots.restored_controls(_snapshots(s, d))
+
+
 @query(f"WITH {_S}, r AS (SELECT snapshot_id, params.floats AS f FROM s) SELECT snapshot_id, k AS control, CASE WHEN k = 'k_bridge' THEN 3.25 ELSE f[k] END AS value FROM (SELECT *, unnest(map_keys(f)) AS k FROM r)")
 def snapshot_overrides(s, d):
     return snapshots.with_overrides(_snapshots(s, d), ["k_bridge=3.25"])
@@ -142,16 +247,19 @@ def snapshot_restore(s, d):
     return snapshots.restore_plan(_snapshots(s, d))
 
 
-@query(f"WITH {_LEAVES} SELECT snapshot_id, path, value FROM leaves WHERE value NOT LIKE '[%'")
+@query(f"WITH {_LEAVES} SELECT snapshot_id, path, value FROM leaves")
 def metric_leaves(s, d):
     return snapshots.metric_leaves(_snapshots(s, d))
 
 
+_CLOSE = "CASE WHEN TRY_CAST({0} AS DOUBLE) IS NOT NULL AND TRY_CAST({1} AS DOUBLE) IS NOT NULL THEN abs(TRY_CAST({0} AS DOUBLE) - TRY_CAST({1} AS DOUBLE)) <= 1e-12 + 1e-6 * abs(TRY_CAST({1} AS DOUBLE)) ELSE {0} IS NOT DISTINCT FROM {1} END"
+
+
 @query(f"""WITH {_LEAVES}, prev AS (SELECT snapshot_id, lag(snapshot_id) OVER (PARTITION BY dataset ORDER BY received_at, snapshot_id) AS p FROM s),
     saved AS (SELECT prev.snapshot_id, section, path, value FROM prev JOIN leaves ON leaves.snapshot_id = p), have AS (SELECT DISTINCT snapshot_id, section FROM leaves)
-    SELECT a.snapshot_id, a.path, a.value AS saved, b.value AS computed, CASE WHEN TRY_CAST(a.value AS DOUBLE) IS NOT NULL AND TRY_CAST(b.value AS DOUBLE) IS NOT NULL
-        THEN abs(TRY_CAST(a.value AS DOUBLE) - TRY_CAST(b.value AS DOUBLE)) <= 1e-12 + 1e-6 * abs(TRY_CAST(b.value AS DOUBLE)) ELSE a.value IS NOT DISTINCT FROM b.value END AS matches
-    FROM saved a JOIN have USING (snapshot_id, section) LEFT JOIN leaves b ON b.snapshot_id = a.snapshot_id AND b.path = a.path WHERE a.path <> 'geom_info.center'""")
+    SELECT a.snapshot_id, a.path, a.value AS saved, b.value AS computed, CASE WHEN a.value LIKE '[%' AND b.value LIKE '[%' THEN len(a.value::JSON::VARCHAR[]) = len(b.value::JSON::VARCHAR[]) AND
+        coalesce(list_bool_and(list_transform(list_zip(a.value::JSON::VARCHAR[], b.value::JSON::VARCHAR[]), lambda e: {_CLOSE.format('e[1]', 'e[2]')})), true) ELSE {_CLOSE.format('a.value', 'b.value')} END AS matches
+    FROM saved a JOIN have USING (snapshot_id, section) LEFT JOIN leaves b ON b.snapshot_id = a.snapshot_id AND b.path = a.path""")
 def metric_diff(s, d):
     return snapshots.drift_against_previous(_snapshots(s, d))
 

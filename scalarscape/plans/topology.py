@@ -232,16 +232,16 @@ def _centres(s, d) -> DataFrame:
     return cps.select("mesh_id", "field", F.col("vertex_id").alias("ring_id"), *[F.col(n).alias(f"u{n}") for n in "xyz"], F.lit(0.3).alias("a"), F.lit(0.2).alias("b"), F.lit(1.0).alias("sphere_radius"))
 
 
-_RING_SAMPLES = f"""{_morse_sql('rank')}, ctr AS (SELECT vertex_id AS ring_id, x AS ux, y AS uy, z AS uz FROM cps JOIN vertices USING (vertex_id) WHERE field = 'price'),
+_RING_SAMPLES = f"""{_morse_sql('rank')}, ctr AS (SELECT field, vertex_id AS ring_id, x AS ux, y AS uy, z AS uz FROM cps JOIN vertices USING (vertex_id)),
     h AS (SELECT *, CASE WHEN abs(uz) >= 0.9 THEN 1.0 ELSE 0.0 END AS hx, CASE WHEN abs(uz) >= 0.9 THEN 0.0 ELSE 1.0 END AS hz FROM ctr),
     c1 AS (SELECT *, uy * hz AS ax, uz * hx - ux * hz AS ay, -uy * hx AS az FROM h),
-    t1 AS (SELECT ring_id, ux, uy, uz, ax / sqrt(ax*ax+ay*ay+az*az) AS sx, ay / sqrt(ax*ax+ay*ay+az*az) AS sy, az / sqrt(ax*ax+ay*ay+az*az) AS sz FROM c1),
+    t1 AS (SELECT field, ring_id, ux, uy, uz, ax / sqrt(ax*ax+ay*ay+az*az) AS sx, ay / sqrt(ax*ax+ay*ay+az*az) AS sy, az / sqrt(ax*ax+ay*ay+az*az) AS sz FROM c1),
     t2 AS (SELECT *, uy*sz - uz*sy AS tx, uz*sx - ux*sz AS ty, ux*sy - uy*sx AS tz FROM t1),
     smp AS (SELECT t2.*, g.k::INT AS k, 2 * pi() * g.k / 16 AS phi, sqrt((0.3 * cos(2 * pi() * g.k / 16))**2 + (0.2 * sin(2 * pi() * g.k / 16))**2) AS r FROM t2, range(16) g(k)),
-    samples AS (SELECT ring_id, k, phi, cos(r)*ux + sin(r)*(cos(phi)*sx + sin(phi)*tx) AS x, cos(r)*uy + sin(r)*(cos(phi)*sy + sin(phi)*ty) AS y, cos(r)*uz + sin(r)*(cos(phi)*sz + sin(phi)*tz) AS z FROM smp)"""
+    samples AS (SELECT field, ring_id, k, phi, cos(r)*ux + sin(r)*(cos(phi)*sx + sin(phi)*tx) AS x, cos(r)*uy + sin(r)*(cos(phi)*sy + sin(phi)*ty) AS y, cos(r)*uz + sin(r)*(cos(phi)*sz + sin(phi)*tz) AS z FROM smp)"""
 
 
-@query(_RING_SAMPLES.join(["WITH ", " SELECT ring_id, k, 16 AS n, round(phi, 6) AS phi, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM samples"]))
+@query(_RING_SAMPLES.join(["WITH ", " SELECT field, ring_id, k, 16 AS n, round(phi, 6) AS phi, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM samples"]))
 def ring_samples(s, d):
     return rounded(rings.ring_samples(_centres(s, d), 16).drop("mesh_id"))
 
@@ -253,22 +253,22 @@ def ring_frames(s, d):
     return rounded(rings.ring_frame(rings.ring_samples(circles, 16)))
 
 
-@query(f"""WITH {_RING_SAMPLES}, kn AS (SELECT ring_id, k, vertex_id, acos(greatest(-1.0, least(1.0, s.x*v.x+s.y*v.y+s.z*v.z))) AS th FROM samples s JOIN vertices v ON true WHERE s.x*v.x+s.y*v.y+s.z*v.z >= cos(0.5)),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY ring_id, k ORDER BY th, vertex_id) AS r FROM kn), u AS (SELECT ring_id, k, greatest(th, 1e-7) AS th, r, value FROM rk JOIN fields USING (vertex_id) WHERE r <= 4 AND field = 'price')
-    SELECT 'part' AS mesh_id, 'price' AS field, ring_id, k, round(CASE WHEN min(th) <= 1e-7 THEN arg_min(value, r) ELSE sum(value / th**2) / sum(1 / th**2) END, 3) AS value FROM u GROUP BY ring_id, k""")
+@query(f"""WITH {_RING_SAMPLES}, kn AS (SELECT s.field, ring_id, k, vertex_id, acos(greatest(-1.0, least(1.0, s.x*v.x+s.y*v.y+s.z*v.z))) AS th FROM samples s JOIN vertices v ON true),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY field, ring_id, k ORDER BY round(th, 9), vertex_id) AS r FROM kn), u AS (SELECT rk.field, ring_id, k, greatest(th, 1e-7) AS th, r, value FROM rk JOIN fields f ON f.vertex_id = rk.vertex_id AND f.field = rk.field WHERE r <= 4)
+    SELECT 'part' AS mesh_id, field, ring_id, k, round(CASE WHEN min(th) <= 1e-7 THEN arg_min(value, r) ELSE sum(value / th**2) / sum(1 / th**2) END, 3) AS value FROM u GROUP BY field, ring_id, k""")
 def ring_idw(s, d):
     samples = rings.ring_samples(_centres(s, d), 16)
     return rounded(rings.interpolate(samples, C.part_vertices(s, d), C.part_fields(s, d)), 3).withColumn("ring_id", F.col("ring_id").cast("bigint"))
 
 
-@query(f"""WITH {_morse_sql('rank')}, ctr AS (SELECT field, vertex_id AS entity_id, x AS cx, y AS cy, z AS cz FROM cps JOIN vertices USING (vertex_id) WHERE field = 'price'),
+@query(f"""WITH {_morse_sql('rank')}, ctr AS (SELECT field, vertex_id AS entity_id, x AS cx, y AS cy, z AS cz FROM cps JOIN vertices USING (vertex_id)),
     near AS (SELECT c.field, entity_id, value, acos(greatest(-1.0, least(1.0, cx*x+cy*y+cz*z))) AS th FROM ctr c JOIN vertices v ON cx*x+cy*y+cz*z >= cos(0.46) JOIN fields f ON f.vertex_id = v.vertex_id AND f.field = c.field),
-    ok AS (SELECT *, th BETWEEN 0.1 AND 0.30000000000000004 AS ring FROM near WHERE th <= 0.45000000000000007), e AS (SELECT entity_id, count(*) FILTER (ring) >= 3 AS narrow FROM ok GROUP BY 1), us AS (SELECT ok.* FROM ok JOIN e USING (entity_id) WHERE ring OR NOT narrow),
-    md AS (SELECT entity_id, quantile_cont(th, 0.5) AS m FROM us GROUP BY 1), g AS (SELECT field, entity_id, count(*) AS n, CASE WHEN var_pop(th) < 1e-12 THEN 0.0 ELSE covar_samp(value, th) / var_pop(th) END AS sl, avg(value) FILTER (th > m) - avg(value) FILTER (th <= m) AS df FROM us JOIN md USING (entity_id) GROUP BY 1, 2)
-    SELECT 'part' AS mesh_id, field, entity_id, n, round(sl, 4) AS slope, CASE WHEN df IS NULL THEN 0.8 WHEN abs(sl) < 1e-9 THEN 0.5 WHEN (df > 0 AND sl > 0) OR (df < 0 AND sl < 0) THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM g""")
+    ok AS (SELECT *, th BETWEEN 0.1 AND 0.30000000000000004 AS ring FROM near WHERE th <= 0.45000000000000007), e AS (SELECT field, entity_id, count(*) FILTER (ring) >= 3 AS narrow FROM ok GROUP BY 1, 2), us AS (SELECT ok.* FROM ok JOIN e USING (field, entity_id) WHERE ring OR NOT narrow),
+    md AS (SELECT field, entity_id, quantile_cont(th, 0.5) AS m FROM us GROUP BY 1, 2), g AS (SELECT field, entity_id, count(*) AS n, CASE WHEN var_pop(th) < 1e-12 THEN 0.0 ELSE covar_samp(value, th) / var_pop(th) END AS sl, avg(value) FILTER (th > m) - avg(value) FILTER (th <= m) AS df FROM us JOIN md USING (field, entity_id) GROUP BY 1, 2)
+    SELECT 'part' AS mesh_id, field, entity_id, n, round(sl, 2) AS slope, CASE WHEN df IS NULL THEN 0.8 WHEN abs(sl) < 1e-9 THEN 0.5 WHEN (df > 0 AND sl > 0) OR (df < 0 AND sl < 0) THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM g""")
 def radial_slopes(s, d):
     centres = _centres(s, d).select("mesh_id", "field", F.col("ring_id").alias("entity_id"), "ux", "uy", "uz", F.lit(0.1).alias("radius"))
-    return rounded(spherical.radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1), 4)
+    return rounded(spherical.radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1), 2)
 
 
 def _clusters(s, d) -> DataFrame:
