@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from math import pi
+from functools import reduce
+from itertools import combinations
+from math import acos, degrees, pi
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from scalarscape.functions import vector as V
 from scalarscape.operators import rings
 from scalarscape.operators.graph import greedy_matching
 from scalarscape.operators.spherical import covered_cells
+from scalarscape.session import discard, written
 
 KEY = ["mesh_id", "field"]
 PAIR_PITCHES, PAIR_FLOOR_DEG, CORE_RATIO, MIDPOINT_MARGIN_DEG = 5.0, 16.0, 1.8, 1.5
@@ -218,3 +221,118 @@ def nudged(centres: DataFrame, vertices: DataFrame, fields: DataFrame, radius: f
         F.min_by(F.struct("ux", "uy", "uz", "energy", "d2"), F.struct(F.round("energy", 9), F.col("d2"), F.col("ring_id"))).alias("p")
     )
     return best.select(*KEY, "entity_id", "p.ux", "p.uy", "p.uz", "p.energy", (F.col("p.d2") > 0).alias("moved"))
+
+
+# --- catastrophes: a core with its ring of simple saddles, or a pair of saddles without one ---------------------------------
+
+def quad_is_two_pairs(saddles: list[tuple[float, float, float]], most_pair_deg: float, ratio: float) -> bool:
+    """Whether four unit directions are two close pairs far apart rather than one ring of four.
+
+    Of the three ways to pair them the one of least summed angle counts: both its pairs
+    lie within ``most_pair_deg``, and the nearest two of different pairs are ``ratio`` times
+    as far apart as the wider pair.
+    """
+    apart = [[_apart(a, b) for b in saddles] for a in saddles]
+    (i, j), (k, l) = min((((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2))), key=lambda p: sum(apart[a][b] for a, b in p))
+    inner = max(apart[i][j], apart[k][l])
+    return inner <= most_pair_deg and min(apart[a][b] for a in (i, j) for b in (k, l)) >= ratio * inner
+
+
+def _apart(a: tuple[float, float, float], b: tuple[float, float, float]) -> float:
+    return degrees(acos(max(-1.0, min(1.0, a[0] * b[0] + a[1] * b[1] + a[2] * b[2]))))
+
+
+def tightest_ring(core: tuple[float, float, float], around: list[tuple[str, float, tuple[float, float, float]]], fold: int, refuse) -> list[str] | None:
+    """Ids of the ``fold`` saddles that with the core span the least angle and that ``refuse`` does not turn down; ``around``: (id, degrees from the core, direction), nearest first.
+
+    A ring's span is at least its farthest member's distance from the core, so saddles
+    farther than the best span found cannot be in a tighter ring and end the search.
+    """
+    best, chosen = None, None
+    for n in range(fold, len(around) + 1):
+        last = around[n - 1]
+        if best is not None and last[1] >= best:
+            break
+        for others in combinations(around[: n - 1], fold - 1):
+            ring = [*others, last]
+            span = max([last[1], *[m[1] for m in others], *[_apart(a[2], b[2]) for a, b in combinations(ring, 2)]])
+            if (best is None or span < best) and not refuse([m[2] for m in ring]):
+                best, chosen = span, [m[0] for m in ring]
+    return chosen
+
+
+def constellations(cores: DataFrame, saddles: DataFrame, pairs: DataFrame, pitch: float, least_pitches: float = 1.0, most_pitches: float = 12.0, bimodal_ratio: float = 2.5) -> DataFrame:
+    """(mesh_id, field, core_id, fold, members): every saddle pair (core_id null, fold 3) and every core with a ring of simple saddles, each cluster in one at most.
+
+    ``cores`` and ``saddles``: mesh_id, field, id, value, ux, uy, uz, cores with
+    local_euler_index; saddles are simple, of index -1. ``pairs``: mesh_id, field, a, b, as
+    claimed before. A core sees the free saddles from ``least_pitches`` to ``most_pitches``
+    away. It takes the tightest four that bring its index to -3 and are not two pairs, else
+    the tightest three that bring it to -2. Cores go in the order of the mean distance of
+    their three nearest saddles, ties by id. All cores that share no saddle with an
+    earlier undecided one decide in the same round.
+    """
+    taken = pairs.select(*KEY, F.explode(F.array("a", "b")).alias("id"))
+    flanks = flanking_saddles(cores, saddles, least_pitches * pitch, most_pitches * pitch)
+    free = written(flanks.join(taken.withColumnRenamed("id", "core_id"), [*KEY, "core_id"], "left_anti"))
+    near = free.groupBy(*KEY, "core_id").agg(F.slice(F.array_sort(F.collect_list("theta")), 1, 3).alias("t"))
+    order = near.select(*KEY, "core_id", F.struct((F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / F.size("t")).alias("near"), "core_id").alias("_order"))
+    index = cores.select(*KEY, F.col("id").alias("core_id"), "local_euler_index", F.col("ux").alias("cx"), F.col("uy").alias("cy"), F.col("uz").alias("cz"))
+    waiting = written(free.join(order, [*KEY, "core_id"]).join(index, [*KEY, "core_id"]))
+    gone = written(taken)
+    most_pair = max(PAIR_PITCHES * pitch * 180 / pi, PAIR_FLOOR_DEG)
+
+    @F.udf("struct<fold: int, members: array<string>>")
+    def ring(chi: int, cx: float, cy: float, cz: float, around: list) -> tuple[int, list[str]] | None:
+        seen = [(s["id"], degrees(s["theta"]), (s["ux"], s["uy"], s["uz"])) for s in around]
+        two = lambda ring: quad_is_two_pairs(ring, most_pair, bimodal_ratio)
+        for fold, target, refuse in ((4, -3, two), (3, -2, lambda ring: False)):
+            if chi - fold == target and (members := tightest_ring((cx, cy, cz), seen, fold, refuse)):
+                return fold, members
+        return None
+
+    found = [pairs.select(*KEY, F.lit(None).cast("string").alias("core_id"), F.lit(3).alias("fold"), F.array("a", "b").alias("members"))]
+    while not waiting.isEmpty():
+        first = waiting.groupBy(*KEY, "saddle_id").agg(F.min("_order").alias("_first"))
+        blocked = waiting.join(first, [*KEY, "saddle_id"]).where(F.col("_order") > F.col("_first")).select(*KEY, "core_id").distinct()
+        ready = waiting.join(blocked, [*KEY, "core_id"], "left_anti")
+        open_saddles = ready.join(gone.withColumnRenamed("id", "saddle_id"), [*KEY, "saddle_id"], "left_anti")
+        around = F.array_sort(F.collect_list(F.struct(F.round("theta", 12).alias("at"), F.col("saddle_id").alias("id"), "theta", F.col("sx").alias("ux"), F.col("sy").alias("uy"), F.col("sz").alias("uz"))))
+        stars = open_saddles.groupBy(*KEY, "core_id", "local_euler_index", "cx", "cy", "cz").agg(around.alias("around"))
+        claimed = written(stars.select(*KEY, "core_id", ring("local_euler_index", "cx", "cy", "cz", "around").alias("r")).where("r is not null").select(*KEY, "core_id", "r.fold", "r.members"))
+        found.append(claimed)
+        newly = claimed.select(*KEY, F.explode("members").alias("id"))
+        gone, before = written(gone.unionByName(newly)), gone
+        decided = ready.select(*KEY, "core_id").distinct()
+        waiting, old = written(waiting.join(decided, [*KEY, "core_id"], "left_anti").join(newly.withColumnRenamed("id", "saddle_id"), [*KEY, "saddle_id"], "left_anti")), waiting
+        discard(before, old)
+    return reduce(DataFrame.unionByName, found)
+
+
+def classified(stars: DataFrame, points: DataFrame, centres: DataFrame, spans: DataFrame, pitch: float, barrier_tolerance: float = 0.005, tolerance_pitches: float = 4.0) -> DataFrame:
+    """Each constellation with its kind and scores.
+
+    ``points``: mesh_id, field, id, value, ux, uy, uz, local_euler_index of the clusters'
+    members (a cluster's index repeated); ``centres``: mesh_id, field, id, ux, uy, uz,
+    local_euler_index of the clusters. Columns: mesh_id, field, star_id (its core or first
+    saddle), fold, kind (E-MSAD, E-4SAD), classification (spurious_unfolding where the
+    barrier lies below the tolerance or the span below ``tolerance_pitches``, else
+    physical_symmetry_breaking), net_euler_index, span_deg, barrier, relative_barrier, score
+    (mean of barrier and span over twice their tolerances, each at most 1), radius_rad.
+    """
+    star_id = F.coalesce("core_id", F.array_min("members"))
+    named_stars = stars.select(*KEY, star_id.alias("star_id"), "fold", F.explode(F.concat(F.array_compact(F.array("core_id")), "members")).alias("id"))
+    who = [*KEY, "star_id"]
+    values = named_stars.join(points.select(*KEY, "id", "value"), [*KEY, "id"]).groupBy(*who, "fold").agg((F.max("value") - F.min("value")).alias("barrier"))
+    at = named_stars.join(centres, [*KEY, "id"])
+    side = lambda p: at.select(*who, F.col("id").alias(f"{p}id"), *[F.col(f"u{n}").alias(f"{p}{n}") for n in "xyz"])
+    widest = side("a").join(side("b"), who).where("aid < bid").groupBy(*who).agg(F.max(V.angle(V.vec("a"), V.vec("b"))).alias("span"))  # at most ten pairs of a star
+    net = at.groupBy(*who).agg(F.sum("local_euler_index").alias("net_euler_index"))
+    both = values.join(widest, who).join(net, who).join(spans, KEY)
+    relative, tolerance = F.col("barrier") / F.greatest(F.col("field_span"), F.lit(1e-12)), tolerance_pitches * pitch
+    spurious = (relative < barrier_tolerance) | (F.col("span") < tolerance)
+    score = 0.5 * F.least(F.lit(1.0), relative / max(2 * barrier_tolerance, 1e-6)) + 0.5 * F.least(F.lit(1.0), F.col("span") / max(2 * tolerance, 1e-6))
+    return both.select(
+        *who, "fold", F.when(F.col("fold") == 3, "E-MSAD").otherwise("E-4SAD").alias("kind"), F.when(spurious, "spurious_unfolding").otherwise("physical_symmetry_breaking").alias("classification"),
+        "net_euler_index", F.degrees("span").alias("span_deg"), "barrier", relative.alias("relative_barrier"), score.alias("score"), (F.col("span") / 2 + pitch).alias("radius_rad"),
+    )

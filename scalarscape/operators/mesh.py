@@ -6,10 +6,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scalarscape.functions import vector as V
+from scalarscape.operators.windows import running_number
+from scalarscape.session import cut_lineage
 
 
 def atom_frame(vertices: DataFrame) -> DataFrame:
@@ -136,16 +138,26 @@ def level_crossings(triangles: DataFrame, fields: DataFrame, levels: DataFrame)
 
 def robust_bounds(fields: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(mesh_id, field, lo, hi): linearly interpolated percentiles of the finite values; the full range where they coincide, (0, 1) where there are none."""
-    value = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
-    got = fields.groupBy("mesh_id", "field").agg(
-        F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q"), F.min(value).alias("least"), F.max(value).alias("most")
-    )
-    narrow = F.col("q")[1] <= F.col("q")[0]
-    return got.select(
-        "mesh_id",
-        "field",
-        F.coalesce(F.when(narrow, F.col("least")).otherwise(F.col("q")[0]), F.lit(0.0)).alias("lo"),
-        F.coalesce(F.when(narrow, F.col("most")).otherwise(F.col("q")[1]), F.lit(1.0)).alias("hi"),
+    key = ["mesh_id", "field"]
+    finite = fields.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))).select(*key, "vertex_id", "value")
+    ranked = cut_lineage(running_number(finite, key, ["value", "vertex_id"], "_rank"))  # sorted in pieces, as a field may be of any size
+    sizes = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    at = [(q, F.lit(q) * (F.col("n") - 1)) for q in (low, high)]
+    wanted = F.array(*[F.struct(F.lit(i).alias("q"), (f(pos) + 1).cast("int").alias("_rank")) for i, (_, pos) in enumerate(at) for f in (F.floor, F.ceil)])
+    picked = sizes.select(*key, "n", F.inline(wanted)).distinct().join(ranked.select(*key, "_rank", "value"), [*key, "_rank"])
+
+    def quantile(i: int) -> Column:
+        pos = at[i][1]
+        v = lambda f: F.max(F.when((F.col("q") == i) & (F.col("_rank") == f(pos) + 1), F.col("value")))
+        return v(F.floor) + (v(F.ceil) - v(F.floor)) * (F.first(pos) - F.floor(F.first(pos)))
+
+    quantiles = picked.groupBy(*key).agg(quantile(0).alias("lo"), quantile(1).alias("hi"))
+    every = fields.select(*key).distinct().join(sizes, key, "left").join(quantiles, key, "left")
+    narrow = F.col("hi") <= F.col("lo")
+    return every.select(
+        *key,
+        F.coalesce(F.when(narrow, F.col("least")).otherwise(F.col("lo")), F.lit(0.0)).alias("lo"),
+        F.coalesce(F.when(narrow, F.col("most")).otherwise(F.col("hi")), F.lit(1.0)).alias("hi"),
     )
 
 

@@ -5,9 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scalarscape.operators.windows import running_number
 from scalarscape.functions.naming import six_digits
 
 SPHERE, BASIN_SPHERE, BASIN_SURFACE = "AtomSphereData", "CondensedBasinSphere", "CondensedBasinSurface"
@@ -91,4 +92,4 @@ def basin_links(zones: DataFrame) -> DataFrame:
 def numbered(zones: DataFrame) -> DataFrame:
     """(dataset, zone_id, number): running number of the zones of one class within a dataset, by zone_id."""
     kind = F.coalesce(aux("ZoneType"), F.col("zone_type"))
-    return zones.select("dataset", "zone_id", kind.alias("zone_class")).withColumn("number", F.row_number().over(Window.partitionBy("dataset", "zone_class").orderBy("zone_id")))
+    return running_number(zones.select("dataset", "zone_id", kind.alias("zone_class")), ["dataset", "zone_class"], ["zone_id"], "number")

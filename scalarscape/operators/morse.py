@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scalarscape.operators.mesh import corners, unique_edges
+from scalarscape.operators.windows import running_number
 
 KEY = ["mesh_id", "field"]
 
@@ -93,8 +94,8 @@ def summary(cps: DataFrame) -> DataFrame:
 def labels(cps: DataFrame) -> DataFrame:
     """Critical points with rank labels MAX1.., MIN1.., SAD1..: maxima by falling value, minima and saddles by rising value, ties by vertex."""
     order = F.when(F.col("cp_type") == "maximum", -F.col("value")).otherwise(F.col("value"))
-    rank = F.row_number().over(Window.partitionBy(*KEY, "cp_type").orderBy(order, "vertex_id"))
-    return cps.select("*", F.concat(F.upper(F.substring("cp_type", 1, 3)), rank.cast("string")).alias("label"))
+    ranked = running_number(cps.withColumn("_order", order), [*KEY, "cp_type"], ["_order", "vertex_id"], "_rank")
+    return ranked.select(*cps.columns, F.concat(F.upper(F.substring("cp_type", 1, 3)), F.col("_rank").cast("string")).alias("label"))
 
 
 def adjacent_extrema(cps: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -108,5 +109,6 @@ def adjacent_extrema(cps: DataFrame, triangles: DataFrame) -> DataFrame:
 
 def basin_centers(cps: DataFrame) -> DataFrame:
     """Extrema as basin centres, by falling value: (mesh_id, field, rank, vertex_id, polarity, value)."""
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("value"), "vertex_id"))
-    return cps.where("cp_type <> 'saddle'").select(*KEY, rank.alias("rank"), "vertex_id", F.col("cp_type").alias("polarity"), "value")
+    extrema = cps.where("cp_type <> 'saddle'").withColumn("_order", -F.col("value"))
+    ranked = running_number(extrema, KEY, ["_order", "vertex_id"], "rank")
+    return ranked.select(*KEY, "rank", "vertex_id", F.col("cp_type").alias("polarity"), "value")

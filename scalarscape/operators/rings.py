@@ -41,10 +41,13 @@ def ring_samples(centres: DataFrame, n: int, legacy: bool = False) -> DataFrame:
     """(mesh_id and field where given, ring_id, k, n, phi, x, y, z): ``n`` samples of the circle or ellipse about each unit centre.
 
     ``centres``: ring_id, ux, uy, uz, a, b (half axes in radians), sphere_radius. With
-    a = b it is a circle in the tangent basis at the centre.
+    a = b it is a circle in the tangent basis at the centre. With px, py, pz the half
+    axis a lies along that vector's tangent part.
     """
     c = V.vec("u")
     t1, _ = V.tangent_basis(c, legacy)
+    if "px" in centres.columns:
+        t1 = tuple(F.coalesce(x, y) for x, y in zip(V.unit(V.tangent_project(V.vec("p"), c), 1e-9), t1, strict=True))
     based = centres.select("*", *named(t1, "s"))
     based = based.select("*", *named(V.cross(c, V.vec("s")), "t"))
     spread = based.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("phi", 2 * pi * F.col("k") / n)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scalarscape.functions import vector as V
+from scalarscape.operators.windows import carry_forward
 
 SCHEMA_VERSION = 2
 
@@ -145,8 +146,8 @@ def metric_diff(saved: DataFrame, computed: DataFrame, key: str) -> DataFrame:
 
 def drift_against_previous(snapshots: DataFrame) -> DataFrame:
     """metric_diff of each snapshot against the one received before it in its dataset; (snapshot_id, path, saved, computed, matches)."""
-    before = F.lag("snapshot_id").over(Window.partitionBy("dataset").orderBy("received_at", "snapshot_id"))
-    pairs = snapshots.select("snapshot_id", before.alias("previous")).where("previous is not null")
+    at = snapshots.select("snapshot_id", "dataset", F.struct("received_at", "snapshot_id").alias("_at"), F.date_trunc("day", "received_at").alias("_day"))
+    pairs = carry_forward(at, ["dataset"], "_at", F.col("_day"), {"previous": F.col("snapshot_id")}).select("snapshot_id", "previous").where("previous is not null")
     leaves = metric_leaves(snapshots)
     earlier = pairs.join(leaves.withColumnRenamed("snapshot_id", "previous"), "previous").select("snapshot_id", "path", "value")
     return metric_diff(earlier, leaves, "snapshot_id")

@@ -232,8 +232,8 @@ def radial_slope(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pit
         F.count(F.lit(1)).alias("n"),
         F.covar_samp("value", "theta").alias("cov"),
         F.var_pop("theta").alias("var"),
-        F.avg(F.when(F.col("theta") <= F.col("middle"), F.col("value"))).alias("a"),
-        F.avg(F.when(F.col("theta") > F.col("middle"), F.col("value"))).alias("b"),
+        F.avg(F.when(F.col("theta") <= F.col("middle") + 1e-9, F.col("value"))).alias("a"),
+        F.avg(F.when(F.col("theta") > F.col("middle") + 1e-9, F.col("value"))).alias("b"),
     )
     slope = F.when(F.col("n") < 2, 0.0).when(F.col("var") < 1e-12, 0.0).otherwise(F.col("cov") / F.col("var"))
     diff = F.col("b") - F.col("a")

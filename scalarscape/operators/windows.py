@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scalarscape.session import cut_lineage
+
 
 def carry_forward(
     df: DataFrame,
@@ -66,3 +68,14 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     condition = [F.col(f"w.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, bucket]]
     joined = within.alias("w").join(starts.alias("s"), condition)
     return joined.select(*[F.col(f"w.{c}") for c in df.columns], (F.col("w._before") + F.col("s._start")).alias(out))
+
+
+def running_number(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the row's number from 1 within ``keys`` in ``order`` (ascending, unique within a key; nulls first).
+
+    The rows are range-partitioned by keys and order, so a key that holds most rows lies in
+    many partitions; each counts its own and adds what came before.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).withColumn("_one", F.lit(1)))
+    counted = running_total(ranged, keys, "_part", order, "_one", "_before")
+    return counted.select(*df.columns, (F.col("_before") + 1).cast("int").alias(out))

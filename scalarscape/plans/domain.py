@@ -64,7 +64,8 @@ def integrated_totals(s, d):
     return metadata.integrated_totals(_zones(s, d)).drop("shown")
 
 
-@query()
+@query(f"""WITH {_TOTALS}, dg AS (SELECT *, abs(value) AS size, CASE WHEN abs(value) > 0 THEN (5 - floor(log10(abs(value))))::INT END AS places FROM totals)
+    SELECT dataset, zone_id, pos, CASE WHEN size > 1e-4 AND size < 1e4 THEN rtrim(rtrim(printf('%.12f', round(value * pow(10.0, places)) / pow(10.0, places)), '0'), '.') ELSE printf('%.4e', value) END AS shown FROM dg""")
 def integrated_totals_shown(s, d):
     return metadata.integrated_totals(_zones(s, d)).select("dataset", "zone_id", "pos", "shown")
 

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 _EDGES = "edges AS (SELECT u, v, count(*) AS n_triangles FROM (SELECT least(a, b) AS u, greatest(a, b) AS v FROM triangles UNION ALL SELECT least(b, c), greatest(b, c) FROM triangles UNION ALL SELECT least(c, a), greatest(c, a) FROM triangles) GROUP BY 1, 2)"
@@ -217,12 +217,18 @@ def ring_symmetry_energy(s, d):
     return rounded(rings.symmetry_energy(C.event_rings(s, d), 3))
 
 
-@query()
+_GAPS = f"""{_SMOOTH}, gaps AS (SELECT ring_id, kind, coalesce(lead(phi) OVER w, first_value(phi) OVER w) - phi AS g, coalesce(lag(kind) OVER w, last_value(kind) OVER (PARTITION BY ring_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before
+    FROM named WINDOW w AS (PARTITION BY ring_id ORDER BY k))"""
+
+
+@query(f"WITH {_GAPS} SELECT ring_id, round(CASE WHEN count(*) <> 6 OR NOT bool_and(kind <> before) THEN 1e6 ELSE sum((degrees(g - floor(g / (2 * pi())) * 2 * pi()) - 60)**2) END, 6)::DOUBLE AS energy FROM gaps GROUP BY 1")
 def ring_spacing_energy(s, d):
     return rounded(rings.port_spacing_energy(rings.ports(C.event_rings(s, d))))
 
 
-@query()
+@query(f"""WITH {_SMOOTH}, ph AS (SELECT *, count(*) OVER g = 3 AS own, atan2(sum(sin(3 * phi)) OVER g, sum(cos(3 * phi)) OVER g) AS a, row_number() OVER (PARTITION BY ring_id, kind ORDER BY phi) - 1 AS nr FROM named WINDOW g AS (PARTITION BY ring_id, kind)),
+    mv AS (SELECT *, (a - floor(a / (2 * pi())) * 2 * pi()) / 3 + 2 * pi() * nr / 3 AS p FROM ph)
+    SELECT ring_id, kind, CASE WHEN own THEN port_id || '_PERF' ELSE port_id END AS port_id, round(CASE WHEN own THEN p - floor(p / (2 * pi())) * 2 * pi() ELSE phi END, 6) AS phi FROM mv""")
 def ring_perfected_ports(s, d):
     return rounded(rings.perfected_ports(rings.ports(C.event_rings(s, d)), 3))
 
@@ -246,7 +252,8 @@ def ring_samples(s, d):
     return rounded(rings.ring_samples(_centres(s, d), 16).drop("mesh_id"))
 
 
-@query()
+@query(_RING_SAMPLES.replace("(0.2 *", "(0.3 *").join(["WITH ", """, mn AS (SELECT field, ring_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM samples GROUP BY 1, 2), cn AS (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS l FROM mn)
+    SELECT 'part' AS mesh_id, field, ring_id, any_value(n) AS n, round(any_value(mx / l), 6) + 0.0 AS cx, round(any_value(my / l), 6) + 0.0 AS cy, round(any_value(mz / l), 6) + 0.0 AS cz, round(acos(avg((x*mx+y*my+z*mz) / l)), 6) AS angular_radius FROM samples JOIN cn USING (field, ring_id) GROUP BY field, ring_id"""]))
 def ring_frames(s, d):
     """Centres and radii recovered from circular rings."""
     circles = _centres(s, d).withColumn("b", F.col("a"))
@@ -264,7 +271,7 @@ def ring_idw(s, d):
 @query(f"""WITH {_morse_sql('rank')}, ctr AS (SELECT field, vertex_id AS entity_id, x AS cx, y AS cy, z AS cz FROM cps JOIN vertices USING (vertex_id)),
     near AS (SELECT c.field, entity_id, value, acos(greatest(-1.0, least(1.0, cx*x+cy*y+cz*z))) AS th FROM ctr c JOIN vertices v ON cx*x+cy*y+cz*z >= cos(0.46) JOIN fields f ON f.vertex_id = v.vertex_id AND f.field = c.field),
     ok AS (SELECT *, th BETWEEN 0.1 AND 0.30000000000000004 AS ring FROM near WHERE th <= 0.45000000000000007), e AS (SELECT field, entity_id, count(*) FILTER (ring) >= 3 AS narrow FROM ok GROUP BY 1, 2), us AS (SELECT ok.* FROM ok JOIN e USING (field, entity_id) WHERE ring OR NOT narrow),
-    md AS (SELECT field, entity_id, quantile_cont(th, 0.5) AS m FROM us GROUP BY 1, 2), g AS (SELECT field, entity_id, count(*) AS n, CASE WHEN var_pop(th) < 1e-12 THEN 0.0 ELSE covar_samp(value, th) / var_pop(th) END AS sl, avg(value) FILTER (th > m) - avg(value) FILTER (th <= m) AS df FROM us JOIN md USING (field, entity_id) GROUP BY 1, 2)
+    md AS (SELECT field, entity_id, quantile_cont(th, 0.5) AS m FROM us GROUP BY 1, 2), g AS (SELECT field, entity_id, count(*) AS n, CASE WHEN var_pop(th) < 1e-12 THEN 0.0 ELSE covar_samp(value, th) / var_pop(th) END AS sl, avg(value) FILTER (th > m + 1e-9) - avg(value) FILTER (th <= m + 1e-9) AS df FROM us JOIN md USING (field, entity_id) GROUP BY 1, 2)
     SELECT 'part' AS mesh_id, field, entity_id, n, round(sl, 2) AS slope, CASE WHEN df IS NULL THEN 0.8 WHEN abs(sl) < 1e-9 THEN 0.5 WHEN (df > 0 AND sl > 0) OR (df < 0 AND sl < 0) THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM g""")
 def radial_slopes(s, d):
     centres = _centres(s, d).select("mesh_id", "field", F.col("ring_id").alias("entity_id"), "ux", "uy", "uz", F.lit(0.1).alias("radius"))
@@ -298,17 +305,22 @@ def bridge_links(s, d):
     return links.select("mesh_id", "field", "cluster_a", "cluster_b", F.round("gap_rad", 5).alias("gap_rad"), F.round("axis_angle_deg", 3).alias("axis_angle_deg"), "is_linked")
 
 
+_TB, _TA = [f"(q.u{n} - dt * p.u{n})" for n in "xyz"], [f"(p.p{n} - (p.px*p.ux+p.py*p.uy+p.pz*p.uz) * p.u{n})" for n in "xyz"]
+_NB, _NA = (f"sqrt({v[0]}**2 + {v[1]}**2 + {v[2]}**2)" for v in (_TB, _TA))
+_BEARING = f"CASE WHEN {_NB} >= 1e-9 AND {_NA} >= 1e-9 THEN degrees(acos(least(1.0, abs(({_TB[0]}*{_TA[0]}+{_TB[1]}*{_TA[1]}+{_TB[2]}*{_TA[2]}) / ({_NB} * {_NA}))))) END"
+
+
 def _composition(p: str) -> str:
     sad = f"CASE WHEN {p}.n_saddles > 0 THEN {p}.n_saddles || ' Sad' || CASE WHEN {p}.total_saddle_index > {p}.n_saddles THEN ' (mult ' || {p}.total_saddle_index || ')' ELSE '' END END"
     whole = f"concat_ws(', ', CASE WHEN {p}.n_maxima > 0 THEN {p}.n_maxima || ' Max' END, {sad}, CASE WHEN {p}.n_minima > 0 THEN {p}.n_minima || ' Min' END)"
     return f"CASE WHEN {whole} = '' THEN '0 CPs' ELSE {whole} END"
 
 
-@query(f"WITH {_PAIRS} SELECT mesh_id, field, p.cluster_id AS id_a, q.cluster_id AS id_b, {_composition('p')} AS composition_a, {_composition('q')} AS composition_b, round(ang, 5) AS centroid_rad, round(gap / {PITCH}, 3) AS gap_dtheta, p.local_euler_index + q.local_euler_index AS chi_sum FROM pairs WHERE gap < {12 * PITCH}")
+@query(f"WITH {_PAIRS} SELECT mesh_id, field, p.cluster_id AS id_a, q.cluster_id AS id_b, {_composition('p')} AS composition_a, {_composition('q')} AS composition_b, round(ang, 5) AS centroid_rad, round(gap / {PITCH}, 3) AS gap_dtheta, CASE WHEN {_BEARING} IS NULL THEN -1.0 ELSE round({_BEARING}, 2) END::DOUBLE AS bearing_a_deg, p.local_euler_index + q.local_euler_index AS chi_sum FROM pairs WHERE gap < {12 * PITCH}")
 def pair_clearances(s, d):
     return spherical.clearances(_clusters(s, d), PITCH).select(
         "mesh_id", "field", "id_a", "id_b", "composition_a", "composition_b",
-        F.round("centroid_rad", 5).alias("centroid_rad"), F.round("gap_dtheta", 3).alias("gap_dtheta"), "chi_sum",
+        F.round("centroid_rad", 5).alias("centroid_rad"), F.round("gap_dtheta", 3).alias("gap_dtheta"), F.round("bearing_a_deg", 2).alias("bearing_a_deg"), "chi_sum",
     )
 
 
@@ -325,11 +337,6 @@ def reduction_decisions(s, d):
     return spherical.reduction(_clusters(s, d))
 
 
-@query()
-def cluster_geometry(s, d):
-    return rounded(spherical.group_geometry(_clusters(s, d), ["mesh_id", "field", "cluster_id"]))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
