@@ -283,7 +283,7 @@ def constellations(cores: DataFrame, saddles: DataFrame, pairs: DataFrame, pitch
     most_pair = max(PAIR_PITCHES * pitch * 180 / pi, PAIR_FLOOR_DEG)
 
     @F.udf("struct<fold: int, members: array<string>>")
-    def ring(chi: int, cx: float, cy: float, cz: float, around: list) -> tuple[int, list[str]] | None:
+    def ring(chi, cx, cy, cz, around):
         seen = [(s["id"], degrees(s["theta"]), (s["ux"], s["uy"], s["uz"])) for s in around]
         two = lambda ring: quad_is_two_pairs(ring, most_pair, bimodal_ratio)
         for fold, target, refuse in ((4, -3, two), (3, -2, lambda ring: False)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from math import pi
 
@@ -12,7 +13,8 @@ from scalarscape.functions import naming
 from scalarscape.operators import catastrophe, graph, grid, metadata, morse, persistence, snapshots, spherical
 from scalarscape.plans import carriers as C
 from scalarscape.plans.topology import PITCH, _CL, _PAIRS, _AXIS, _cps, _clusters, rounded
-from scalarscape.session import table
+from scalarscape.session import ensure_checkpoint_dir, table
+from scalarscape.sources import tdv
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -265,6 +267,37 @@ def metric_diff(s, d):
     return snapshots.drift_against_previous(_snapshots(s, d))
 
 
+def _written_files(s, d) -> str:
+    """A folder of binary files in shared storage: the part sphere, a file for every 4,096 keys, written by tasks."""
+    folder = f"{ensure_checkpoint_dir(s)}/tdv-{uuid.uuid4().hex}"
+    place = s._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(s._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    points = C.part_vertices(s, d).join(C.part_fields(s, d).where("field = 'price'").select("vertex_id", F.col("value").alias("price")), "vertex_id")
+    points = points.withColumn("bucket", F.floor(F.col("vertex_id") / 4096))
+
+    def write(rows):
+        rows = rows.sort_values("vertex_id")
+        arrays = {n.upper() if n in "xyz" else n: rows[n].to_numpy() for n in ("x", "y", "z", "vertex_id", "price")}
+        zone = {"name": "part", "zone_type": "ORDERED", "size": (len(rows), 1, 1), "arrays": arrays}
+        again = {"name": "halved", "zone_type": "ORDERED", "size": (len(rows), 1, 1), "arrays": {**dict.fromkeys(("X", "Y", "Z", "vertex_id"), 0), "price": arrays["price"] / 2}}
+        tdv.write_file(f"{folder}/part{rows['bucket'].iloc[0]}.plt", "parts", list(arrays), [zone, again])
+        return rows[["bucket"]].head(1)
+
+    points.groupBy("bucket").applyInPandas(write, "bucket bigint").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("""SELECT 'part' || (p_partkey // 4096) AS dataset, zone_id, p_partkey::DOUBLE AS vertex_id, p_retailprice / (zone_id + 1) AS price FROM part, (SELECT unnest([0, 1])::INT AS zone_id)""")
+def tdv_round_trip(s, d):
+    """Keys and prices written to binary files, each with a zone and another that shares its keys, and read back by the data source."""
+    tdv.register(s)
+    fields = s.read.format("tdv").option("table", "fields").load(_written_files(s, d))
+    side = lambda name, out: fields.where(F.col("field") == name).select("dataset", "zone_id", F.col("vertex_id").alias("at"), F.col("value").alias(out))
+    return side("vertex_id", "vertex_id").join(side("price", "price"), ["dataset", "zone_id", "at"]).drop("at")
+
+
 @query()
 def persistence_pairs(s, d):
     return persistence.persistence_pairs(C.part_triangles(s, d), C.part_fields(s, d))

@@ -1,9 +1,11 @@
 """Reader of a binary simulation format as a Spark data source, and a writer of small files for tests.
 
 ``spark.read.format("tdv").option("table", t).load(path)`` gives one of the tables
-datasets, variables, zones, points, fields and cells. A partition is one file, since a
-zone's offset depends on all before it; zones and variables that a table does not need
-are skipped by seeking. Filters on ``zone_id`` prune zones before their arrays are read.
+datasets, variables, zones, points, fields and cells. A file is one partition, a large one
+several that take its zones in turn: each walks the zones' heads, which are small, seeks
+past the arrays and comes back for those of its own, one array at a time and in Arrow
+batches. Filters on ``zone_id`` prune zones before their arrays are read. Paths are local
+or those of any store that pyarrow.fs knows by its URI.
 
 Layout (fixed values): 8 bytes from ``#!TDV``, then 32-bit words; texts hold one word a
 character and end with 0; a zone starts with the float 299, aux of the dataset with 799,
@@ -13,12 +15,16 @@ cursor, not by searching for the marker's bytes, which may occur earlier by chan
 
 from __future__ import annotations
 
-import glob
+import io
 import os
+import posixpath
 import struct
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
@@ -27,6 +33,9 @@ ZONE_TYPES = ["ORDERED", "FELINESEG", "FETRIANGLE", "FEQUADRILATERAL", "FETETRAH
 NODES = {"FELINESEG": 2, "FETRIANGLE": 3, "FEQUADRILATERAL": 4, "FETETRAHEDRON": 4, "FEBRICK": 8}
 FORMATS = {1: "f4", 2: "f8", 3: "i4", 4: "i2", 5: "u1"}
 
+SPLIT_BYTES = 128 << 20  # bytes of a file for each of its partitions
+BATCH_ROWS = 65_536
+
 SCHEMAS = {
     "datasets": "dataset string, file_type int, title string, n_vars int, aux map<string,string>",
     "variables": "dataset string, var_idx int, name string, aux map<string,string>",
@@ -119,12 +128,11 @@ def open_header(f) -> tuple[_Cursor, dict]:
     return c, head
 
 
-def read_zones(c: _Cursor, head: dict, wanted: set[int] | None, values: bool, cells: bool) -> Iterator[tuple[int, dict, np.ndarray | None]]:
-    """(zone number, arrays by variable name, cells from 0) of the wanted zones; arrays of others are skipped unless shared later."""
+def layout(c: _Cursor, head: dict) -> list[dict]:
+    """For each zone where its own arrays and cells lie in the file: ``own`` {variable: (offset, kind)}, ``shared`` {variable: zone}, ``cells`` (offset or None), ``cells_of``, ``n``."""
     names = [v["name"] for v in head["variables"]]
-    pool: dict[tuple[int, int], np.ndarray] = {}
-    meshes: dict[int, np.ndarray] = {}
-    for number, z in enumerate(head["zones"]):
+    out = []
+    for z in head["zones"]:
         if not _near(c.marker(), ZONE):
             raise TdvError("a zone's data does not start where it should")
         formats = [c.take("i") for _ in names]
@@ -134,37 +142,68 @@ def read_zones(c: _Cursor, head: dict, wanted: set[int] | None, values: bool, ce
         own = [i for i in range(len(names)) if not passive[i] and not shared[i]]
         c.skip(16 * len(own))  # least and greatest values
         n = z["imax"] * (z["jmax"] * z["kmax"] if z["zone_type"] == "ORDERED" else 1)
-        arrays = {}
+        zone = {"n": n, "own": {}, "shared": {i: shared[i] - 1 for i in range(len(names)) if shared[i] and not passive[i]}, "cells": None, "cells_of": mesh_of - 1 if mesh_of > 0 else None}
         for i in own:
             kind = FORMATS.get(formats[i], "f4")
-            if values:
-                pool[number, i] = c.array(kind, n).astype(np.float64)
-            else:
-                c.skip(n * np.dtype(kind).itemsize)
-        if values:
-            for i, name in enumerate(names):
-                got = None if passive[i] else pool.get((shared[i] - 1 if shared[i] else number, i))
-                if got is not None:  # a share of a zone not yet read leaves the variable out
-                    pool[number, i] = arrays[name] = got
-        mesh = None
-        if (k := NODES.get(z["zone_type"])) is not None:
-            if mesh_of > 0:
-                mesh = meshes.get(mesh_of - 1)
-            elif cells:
-                mesh = c.array("i4", z["jmax"] * k).reshape(-1, k)
-                mesh = mesh - 1 if len(mesh) and mesh.min() >= 1 else mesh
-            else:
-                c.skip(4 * z["jmax"] * k)
-            if mesh is not None:
-                meshes[number] = mesh
-        if wanted is None or number in wanted:
-            yield number, arrays, mesh
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+            zone["own"][i] = (c.f.tell(), kind)
+            c.skip(n * np.dtype(kind).itemsize)
+        k = NODES.get(z["zone_type"])
+        if k is not None and mesh_of <= 0:
+            zone["cells"] = c.f.tell()
+            c.skip(4 * z["jmax"] * k)
+        out.append(zone)
+    return out
+
+
+def _values(c: _Cursor, zones: list[dict], number: int, variable: int) -> np.ndarray | None:
+    """A zone's values of a variable, its own or those of the zone that it shares them with; None for a passive one or a share that leads nowhere."""
+    seen = set()
+    while variable not in zones[number]["own"]:
+        seen.add(number)
+        number = zones[number]["shared"].get(variable, -1)
+        if not 0 <= number < len(zones) or number in seen:
+            return None
+    offset, kind = zones[number]["own"][variable]
+    c.f.seek(offset)
+    return c.array(kind, zones[number]["n"]).astype(np.float64)
+
+
+def _cells(c: _Cursor, head: dict, zones: list[dict], number: int) -> np.ndarray | None:
+    """A zone's cells, counted from 0, its own or another zone's."""
+    seen = set()
+    while zones[number]["cells"] is None:
+        seen.add(number)
+        number = zones[number]["cells_of"] if zones[number]["cells_of"] is not None else -1
+        if not 0 <= number < len(zones) or number in seen:
+            return None
+    z = head["zones"][number]
+    k = NODES[z["zone_type"]]
+    c.f.seek(zones[number]["cells"])
+    cells = c.array("i4", z["jmax"] * k).reshape(-1, k).astype(np.int32)
+    return cells - 1 if len(cells) and cells.min() >= 1 else cells
+
+
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else path.removeprefix("file:") if not path.startswith("file:/") else "file://" + path.removeprefix("file:"))
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files under a folder, of one file, or of those that a pattern in the last part names."""
+    store, where = _located(path)
+    prefix = path[: len(path) - len(where)] if "://" in path else ""
+    info = store.get_file_info(where)
+    if info.type == fs.FileType.File:
+        found = [info]
+    else:
+        folder, pattern = (where, "*.plt") if info.type == fs.FileType.Directory else posixpath.split(where)
+        found = [f for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.type == fs.FileType.File and fnmatch(f.base_name, pattern)]
+    return sorted((prefix + f.path, f.size) for f in found)
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, part: int = 0, parts: int = 1):
+        super().__init__((path, part, parts))
+        self.path, self.part, self.parts = path, part, parts
 
 
 class TdvReader(DataSourceReader):
@@ -181,15 +220,19 @@ class TdvReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file:")
-        found = sorted(glob.glob(os.path.join(path, "*.plt"))) if os.path.isdir(path) else sorted(glob.glob(path))
-        return [_File(p) for p in found] or [_File("")]
+        arrays = self.table in ("points", "fields", "cells")
+        out = []
+        for path, size in list_files(self.path):
+            parts = max(1, -(-size // SPLIT_BYTES)) if arrays else 1
+            out += [_Part(path, i, parts) for i in range(parts)]
+        return out or [_Part("")]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        dataset = os.path.splitext(os.path.basename(partition.path))[0]
-        with open(partition.path, "rb") as f:
+        store, where = _located(partition.path)
+        dataset = os.path.splitext(posixpath.basename(where))[0]
+        with store.open_input_file(where) as raw, io.BufferedReader(raw, 1 << 20) as f:
             c, head = open_header(f)
             if self.table == "datasets":
                 yield dataset, head["file_type"], head["title"], len(head["variables"]), head["aux"]
@@ -201,27 +244,40 @@ class TdvReader(DataSourceReader):
                     if self.zones is None or i in self.zones:
                         yield (dataset, i, *(z[k] for k in ("name", "zone_type", "imax", "jmax", "kmax", "strand_id", "parent_zone", "color", "solution_time", "aux")))
             else:
-                yield from self._arrays(dataset, c, head)
+                zones = layout(c, head)
+                for number in range(partition.part, len(zones), partition.parts):
+                    if self.zones is None or number in self.zones:
+                        yield from self._arrays(dataset, c, head, zones, number)
 
-    def _arrays(self, dataset: str, c: _Cursor, head: dict) -> Iterator[tuple]:
+    def _arrays(self, dataset: str, c: _Cursor, head: dict, zones: list[dict], number: int) -> Iterator[pa.RecordBatch]:
         names = [v["name"] for v in head["variables"]]
         upper = [n.upper() for n in names]
-        axes = [names[upper.index(a)] if a in upper else names[i] if i < len(names) else None for i, a in enumerate("XYZ")]
-        for number, arrays, mesh in read_zones(c, head, self.zones, self.table != "cells", self.table == "cells"):
-            if self.table == "cells":
-                for i, nodes in enumerate([] if mesh is None else mesh.tolist()):
-                    yield dataset, number, i, nodes
-            elif self.table == "points":
-                columns = [arrays.get(a) for a in axes]
-                n = max((len(a) for a in columns if a is not None), default=0)
-                lists = [[None] * n if a is None else a.tolist() for a in columns]
-                for i, (x, y, z) in enumerate(zip(*lists, strict=True)):
-                    yield dataset, number, i, x, y, z
-            else:
-                for name, values in arrays.items():
-                    if name not in axes:
-                        for i, v in enumerate(values.tolist()):
-                            yield dataset, number, name, i, v
+        axes = [upper.index(a) if a in upper else i if i < len(names) else None for i, a in enumerate("XYZ")]
+        if self.table == "cells":
+            cells = _cells(c, head, zones, number)
+            if cells is not None:
+                flat = pa.array(cells.ravel(), pa.int32())
+                nodes = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)), flat)
+                yield from _batches(dataset, number, len(cells), {"cell_id": None, "nodes": nodes})
+        elif self.table == "points":
+            columns = {a: None if i is None else _values(c, zones, number, i) for a, i in zip("xyz", axes, strict=True)}
+            n = max((len(v) for v in columns.values() if v is not None), default=0)
+            yield from _batches(dataset, number, n, {"vertex_id": None, **{a: pa.nulls(n, pa.float64()) if v is None else pa.array(v) for a, v in columns.items()}})
+        else:
+            for i, name in enumerate(names):
+                if i not in axes and (values := _values(c, zones, number, i)) is not None:
+                    yield from _batches(dataset, number, len(values), {"field": name, "vertex_id": None, "value": pa.array(values)})
+
+
+def _batches(dataset: str, number: int, n: int, columns: dict) -> Iterator[pa.RecordBatch]:
+    """Rows of a zone: a text stands for itself in every row, None for the row's number."""
+    for start in range(0, n, BATCH_ROWS):
+        m = min(BATCH_ROWS, n - start)
+        same = lambda v: pa.DictionaryArray.from_arrays(pa.array(np.zeros(m, np.int32)), pa.array([v])).dictionary_decode()  # noqa: B023, E731
+        row = {"dataset": same(dataset), "zone_id": pa.array(np.full(m, number, np.int32))}
+        for name, v in columns.items():
+            row[name] = pa.array(np.arange(start, start + m, dtype=np.int64)) if v is None else same(v) if isinstance(v, str) else v.slice(start, m)
+        yield pa.RecordBatch.from_pydict(row)
 
 
 class TdvSource(DataSource):
@@ -298,5 +354,6 @@ def write_file(path: str, title: str, variables: list[str], zones: list[dict], a
                 out.extend(np.asarray(a).astype(np.dtype(FORMATS[fmt]).newbyteorder(order)).tobytes())
         if z["zone_type"] != "ORDERED" and "cells_of" not in z:
             out.extend((np.asarray(z["cells"]) + 1).astype(np.dtype("i4").newbyteorder(order)).tobytes())
-    with open(path, "wb") as f:
-        f.write(out)
+    store, where = _located(path)
+    with store.open_output_stream(where) as f:
+        f.write(bytes(out))
