@@ -64,43 +64,79 @@ def saddle_pairs(candidates: DataFrame) -> DataFrame:
     return taken.select("a.mesh_id", "a.field", F.col("a.v").alias("a"), F.col("b.v").alias("b"), F.col("w").alias("separation_deg"))
 
 
-def ring_search(centres: DataFrame, vertices: DataFrame, fields: DataFrame, radii: list[float], samples: int = 16) -> DataFrame:
-    """(mesh_id, field, entity_id, status, radius, fold, n_balanced): the first radius at which each centre's ring shows its expected fold.
-
-    ``centres``: mesh_id, field, entity_id, ux, uy, uz, expected. All radii of all centres
-    are sampled, interpolated and searched for ports at once. ``converged``: a balanced
-    ring of the expected fold, at the first radius; ``expanded``: at a later one;
-    ``k_mismatch``: balanced rings of another fold only, the tightest one given;
-    ``unbalanced``: none; ``no_ring``: an expected fold below 2.
+def launch_requests(saddles: DataFrame, hidden: DataFrame, effective: DataFrame, pitch: float, k_pitch: float = 2.0) -> DataFrame:
+    """(mesh_id, field, entity_id, ux, uy, uz, expected, a0): every saddle that is shown, with the fold its ring should have and the radius to begin with.
+
+    ``saddles``: mesh_id, field, vertex_id, multiplicity, ux, uy, uz; those in ``hidden``
+    (mesh_id, field, vertex_id) have been replaced. ``effective``: mesh_id, field, unit_id,
+    fold_order, ux, uy, uz, angular_radius_rad of the effective saddles, which begin at their
+    own radius. The others begin at 1.5 degrees or half the clustering distance.
     """
-    spread = centres.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
-    ring_id = F.concat_ws("|", "mesh_id", "field", "entity_id", "radius")
+    lone = max(1.5 * pi / 180, k_pitch * pitch / 2)
+    shown = saddles.join(hidden, [*KEY, "vertex_id"], "left_anti")
+    raw = shown.select(*KEY, F.concat(F.lit("SAD_"), F.col("vertex_id").cast("string")).alias("entity_id"), "ux", "uy", "uz", (F.col("multiplicity") + 1).cast("int").alias("expected"), F.lit(lone).alias("a0"))
+    whole = effective.select(*KEY, F.concat(F.lit("E-SAD_"), "unit_id").alias("entity_id"), "ux", "uy", "uz", F.col("fold_order").cast("int").alias("expected"), F.coalesce("angular_radius_rad", F.lit(lone)).alias("a0"))
+    return raw.unionByName(whole)
+
+
+def _judged(spread: DataFrame, vertices: DataFrame, fields: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
+    """Rings (``spread`` with a radius) with their balance, and their ports."""
+    ring_id = F.concat_ws("|", "mesh_id", "field", "entity_id", "step")
     spread = spread.select("*", ring_id.alias("ring_id"), F.col("radius").alias("a"), F.col("radius").alias("b"), F.lit(1.0).alias("sphere_radius"))
-    points = rings.ring_samples(spread, samples)
-    values = rings.interpolate(points.select("mesh_id", "field", "ring_id", "k", "x", "y", "z"), vertices, fields)
-    own = spread.select("mesh_id", "field", "ring_id", "entity_id", "radius", "expected")
-    profile = values.join(own.select("mesh_id", "field", "ring_id"), ["mesh_id", "field", "ring_id"])
-    profile = profile.select("ring_id", "k", F.lit(samples).alias("n"), (2 * pi * F.col("k") / samples).alias("phi"), "value")
-    balance = rings.boundary_balance(profile, rings.ports(profile))
-    judged = own.join(balance, "ring_id", "left").withColumn("balanced", F.coalesce("balanced", F.lit(False)) & (F.col("fold") >= 2))
+    sampled = rings.ring_samples(spread, samples)
+    values = rings.interpolate(sampled.select("mesh_id", "field", "ring_id", "k", "x", "y", "z"), vertices, fields)
+    profile = written(values.select("ring_id", "k", F.lit(samples).alias("n"), (2 * pi * F.col("k") / samples).alias("phi"), "value"))
+    found = rings.ports(profile)
+    own = spread.select(*KEY, "ring_id", "entity_id", "step", "radius", "expected")
+    judged = own.join(rings.boundary_balance(profile, found), "ring_id", "left")
+    return judged.withColumn("balanced", F.coalesce("balanced", F.lit(False)) & (F.col("fold") >= 2)), found
+
+
+def ring_search(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pitch: float, samples: int = 16, step_pitches: float = 0.5, most_pitches: float = 16.0) -> tuple[DataFrame, DataFrame]:
+    """Outcomes (mesh_id, field, entity_id, status, radius, fold, n_tried) and branches (mesh_id, field, entity_id, port_id, kind, phi, value) of the search for each centre's ring.
+
+    ``centres``: mesh_id, field, entity_id, ux, uy, uz, expected, a0. Radii rise from a0, a
+    quarter pitch at least, by ``step_pitches`` up to ``most_pitches``; the first balanced
+    ring of the expected fold ends a centre's search: ``converged_at_a0`` at the first
+    radius, ``expanded`` later. Else the tightest balanced ring of another fold stands
+    (``k_mismatch``) or there is none (``unbalanced``, the last radius). An expected fold
+    below 2 has ``no_ring``. Branches are the ports of the ring that stands. The ladder is
+    climbed in rounds of 1, 4 and then 16 radii for all centres still searching, so the
+    many that converge at once cost one ring.
+    """
+    who = [*KEY, "entity_id"]
+    start = F.greatest(F.col("a0"), F.lit(pitch / 4))
+    n = F.greatest(F.lit(1), F.floor((most_pitches * pitch - start) / (step_pitches * pitch) + 1e-9).cast("int") + 1)
+    searching = written(centres.where("expected >= 2").select(*who, "ux", "uy", "uz", "expected", start.alias("start"), n.alias("n")))
+    parts, branches, low, wide = [], [], 0, 1
+    while not searching.isEmpty():
+        steps = F.sequence(F.lit(low), F.least(F.lit(low + wide), F.col("n")) - 1)
+        spread = searching.select("*", F.explode(steps).alias("step")).withColumn("radius", F.col("start") + F.col("step") * (step_pitches * pitch))
+        judged, found = _judged(spread, vertices, fields, samples)
+        judged, found = written(judged), written(found)
+        parts.append(judged)
+        branches.append(found)
+        hit = judged.where(F.col("balanced") & (F.col("fold") == F.col("expected"))).select(*who).distinct()
+        low, wide = low + wide, min(4 * wide, 16)
+        searching = written(searching.where(F.col("n") > low).join(hit, who, "left_anti"))
+    none = centres.where("expected < 2 or expected is null").select(*who, F.lit("no_ring").alias("status"), F.lit(0.0).alias("radius"), F.lit(0).alias("fold"), F.lit(0).cast("bigint").alias("n_tried"))
+    if not parts:
+        return none, _no_branches(none)
+    judged = reduce(DataFrame.unionByName, parts)
     hit = F.col("balanced") & (F.col("fold") == F.col("expected"))
-    got = judged.groupBy("mesh_id", "field", "entity_id").agg(
-        F.first("expected").alias("expected"),
-        F.min("radius").alias("start"),
-        F.min(F.when(hit, F.col("radius"))).alias("right"),
-        F.min(F.when(F.col("balanced"), F.struct("radius", "fold"))).alias("any"),
-        F.count_if("balanced").alias("n_balanced"),
-    )
-    status = (
-        F.when(F.col("expected") < 2, "no_ring")
-        .when(F.col("right") == F.col("start"), "converged")
-        .when(F.col("right").isNotNull(), "expanded")
-        .when(F.col("any").isNotNull(), "k_mismatch")
-        .otherwise("unbalanced")
-    )
-    radius = F.when(F.col("expected") >= 2, F.coalesce("right", F.col("any.radius")))
-    fold = F.when(F.col("expected") >= 2, F.when(F.col("right").isNotNull(), F.col("expected")).otherwise(F.col("any.fold")))
-    return got.select("mesh_id", "field", "entity_id", status.alias("status"), radius.alias("radius"), fold.cast("int").alias("fold"), "n_balanced")
+    ring = F.struct("step", "radius", "fold", "ring_id")
+    got = judged.groupBy(*who).agg(F.min(F.when(hit, ring)).alias("right"), F.min(F.when(F.col("balanced"), ring)).alias("any"), F.max(ring).alias("last"), F.count(F.lit(1)).alias("tried"))
+    right, best = F.col("right"), F.coalesce("right", "any")
+    status = F.when(right["step"] == 0, "converged_at_a0").when(right.isNotNull(), "expanded").when(F.col("any").isNotNull(), "k_mismatch").otherwise("unbalanced")
+    settled = written(got.select(*who, status.alias("status"), F.coalesce(best, F.col("last"))["radius"].alias("radius"), F.coalesce(best["fold"], F.lit(0)).cast("int").alias("fold"), F.coalesce(right["step"] + 1, F.col("tried")).cast("bigint").alias("n_tried"), best["ring_id"].alias("ring_id")))
+    standing = settled.where("ring_id is not null").select(*who, "ring_id")
+    ports = reduce(DataFrame.unionByName, branches).join(standing, "ring_id").select(*who, "port_id", "kind", F.col("phi_refined").alias("phi"), "value")
+    return settled.drop("ring_id").unionByName(none), ports
+
+
+def _no_branches(none: DataFrame) -> DataFrame:
+    """No branches, in their columns."""
+    return none.limit(0).select(*KEY, "entity_id", F.lit("").alias("port_id"), F.lit("").alias("kind"), F.lit(0.0).alias("phi"), F.lit(0.0).alias("value"))
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scalarscape.functions import vector as V
+from scalarscape.session import cut_lineage
 
 CELL = 0.25  # side of the cells that block near pairs, on the unit sphere
 KEY = ["mesh_id", "field"]
@@ -48,37 +49,52 @@ def near_pairs(clusters: DataFrame, gap: float) -> DataFrame:
     two boundaries within the gap share a cell. So near pairs meet by an equi-join and
     the distant ones, nearly all of a mesh, are never formed. a_cluster_id < b_cluster_id.
     """
-    keep = [*KEY, "cluster_id", "ux", "uy", "uz", "px", "py", "pz", "semi_major_rad", "semi_minor_rad", "morphology", "local_euler_index", "composition"]
-    one = clusters.withColumn("composition", composition(F.col("n_maxima"), F.col("n_saddles"), F.col("n_minima"), F.col("total_saddle_index"))).select(*keep)
-    placed = one.withColumn("cell", F.explode(covered_cells(F.greatest(F.col("semi_major_rad"), F.col("semi_minor_rad"), F.lit(0.0)) + gap / 2 + 1e-9)))
-    slim = placed.select(*KEY, "cell", "cluster_id", "ux", "uy", "uz", "px", "py", "pz", "semi_major_rad", "semi_minor_rad", "morphology", "local_euler_index", "composition")
-    side = lambda p: slim.select(*KEY, "cell", *[F.col(c).alias(f"{p}_{c}") for c in slim.columns if c not in (*KEY, "cell")])
+    counts = ["n_maxima", "n_saddles", "n_minima", "total_saddle_index"]
+    keep = ["cluster_id", "ux", "uy", "uz", "px", "py", "pz", "semi_major_rad", "semi_minor_rad", "morphology", "local_euler_index", *counts]
+    reach = F.greatest("semi_major_rad", "semi_minor_rad", F.lit(0.0)) + gap / 2 + 1e-9
+    one = clusters.select(*KEY, *keep, reach.alias("reach"))
+    one = one.select("*", *[F.floor((F.col(f"u{m}") - F.col("reach")) / CELL).alias(f"lo{m}") for m in "xyz"])
+    placed = one.withColumn("cell", F.explode(covered_cells(F.col("reach"))))
+    side = lambda p: placed.select(*KEY, "cell", *[F.col(c).alias(f"{p}_{c}") for c in (*keep, "reach", "lox", "loy", "loz")])
     joined = side("a").join(side("b"), [*KEY, "cell"]).where("a_cluster_id < b_cluster_id")
+    for axis, n in zip("xyz", "ijk", strict=True):  # of the cells that two clusters share, their pair is met in the first
+        joined = joined.where(F.col(f"cell.{n}") == F.greatest(F.col(f"a_lo{axis}"), F.col(f"b_lo{axis}")))
     ua, ub = V.vec("a_u"), V.vec("b_u")
+    near = joined.withColumn("centroid_rad", V.angle(ua, ub)).where(F.col("centroid_rad") <= F.col("a_reach") + F.col("b_reach"))
     reach_a = V.support_radius(ua, V.vec("a_p"), F.col("a_semi_major_rad"), F.col("a_semi_minor_rad"), ub)
     reach_b = V.support_radius(ub, V.vec("b_p"), F.col("b_semi_major_rad"), F.col("b_semi_minor_rad"), ua)
-    measured = joined.withColumn("centroid_rad", V.angle(ua, ub)).withColumn("gap_rad", F.col("centroid_rad") - reach_a - reach_b)
-    return measured.where(F.col("gap_rad") <= gap).drop("cell").dropDuplicates([*KEY, "a_cluster_id", "b_cluster_id"])
+    measured = near.withColumn("gap_rad", F.col("centroid_rad") - reach_a - reach_b).where(F.col("gap_rad") <= gap)
+    named = [composition(*[F.col(f"{p}_{c}") for c in ("n_maxima", "n_saddles", "n_minima", "total_saddle_index")]).alias(f"{p}_composition") for p in "ab"]
+    return measured.select("*", *named).drop("cell", *[f"{p}_{c}" for p in "ab" for c in ("reach", "lox", "loy", "loz", *counts)])
 
 
-def bridge_links(clusters: DataFrame, pitch: float, k_bridge: float = 3.0, axis_tolerance_deg: float = 30.0) -> DataFrame:
-    """(mesh_id, field, cluster_a, cluster_b, gap_rad, axis_angle_deg, is_linked) of the pairs within the bridging gap.
+def bridge_links(clusters: DataFrame, pitch: float, k_bridge: float = 3.0, axis_tolerance_deg: float = 30.0, bridge_all: bool = True) -> DataFrame:
+    """(mesh_id, field, cluster_a, cluster_b, gap_rad, axis_angle_deg, is_linked, reason) of the pairs within the bridging gap.
 
     Linked: the gap between the boundaries is at most ``k_bridge`` pitches and, where both
-    are strings, their axes are within the tolerance. Pairs beyond the gap are not linked
-    and have no row.
+    are strings, their axes are within the tolerance. Without ``bridge_all`` the gap is
+    that between the centres, and one of the two must be a string. ``reason`` is ``linked``
+    or the rule that failed. Pairs beyond the gap are not linked and have no row.
     """
     if pitch <= 0 or k_bridge <= 0:
         raise ValueError("pitch and k_bridge must be positive")
-    both = (F.col("a_morphology") == "string") & (F.col("b_morphology") == "string")
-    axis = F.when(both, V.folded_angle_deg(V.vec("a_p"), V.vec("b_p")))
+    a_string, b_string = F.col("a_morphology") == "string", F.col("b_morphology") == "string"
+    if bridge_all:
+        axis = F.when(a_string & b_string, V.folded_angle_deg(V.vec("a_p"), V.vec("b_p")))
+        linked = axis.isNull() | (axis <= axis_tolerance_deg)
+        reason = F.when(linked, "linked").otherwise(F.format_string(f"axis angle %.2f deg exceeds tolerance {axis_tolerance_deg:.2f} deg", axis))
+    else:
+        clusters = clusters.withColumn("semi_major_rad", F.lit(0.0)).withColumn("semi_minor_rad", F.lit(0.0))
+        axis, linked = F.lit(None).cast("double"), F.coalesce(a_string | b_string, F.lit(False))
+        reason = F.when(linked, "linked").otherwise("legacy rule: not linked")
     return near_pairs(clusters, k_bridge * pitch).select(
         *KEY,
         F.col("a_cluster_id").alias("cluster_a"),
         F.col("b_cluster_id").alias("cluster_b"),
         "gap_rad",
         axis.alias("axis_angle_deg"),
-        (axis.isNull() | (axis <= axis_tolerance_deg)).alias("is_linked"),
+        linked.alias("is_linked"),
+        reason.alias("reason"),
     )
 
 
@@ -107,6 +123,7 @@ def clearance_histogram(clusters: DataFrame, pitch: float, width: float = 0.5, m
     without being formed. Zones: overlap, intra (< 2.5), meso (< 6), macro, by the bin's centre.
     """
     n_bins = -(-int(most * 1000) // int(width * 1000))
+    clusters = cut_lineage(clusters.drop("members", "ring"))  # read twice
     inside = clearances(clusters, pitch, n_bins * width)
     counted = inside.groupBy(*KEY, F.when(F.col("gap_dtheta") < 0, -1).otherwise(F.floor(F.col("gap_dtheta") / width)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     groups = clusters.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))

@@ -199,6 +199,50 @@ def cluster_geometry(s, d):
     return shown(clustering.pooled_geometry(_given_members(_clusters(s, d), "cluster_id"), ["mesh_id", "field", "cluster_id"]))
 
 
+# --- launch seeds of the part sphere's saddles ------------------------------------------------------------------------------
+
+_RAW = f"""rq AS (SELECT c.mesh_id, c.field, 'SAD_' || c.vertex_id AS entity_id, x AS ux, y AS uy, z AS uz, (multiplicity + 1)::INT AS expected, {max(MARGIN, PITCH)} AS a0 FROM cps c JOIN vertices v ON v.vertex_id = c.vertex_id WHERE cp_type = 'saddle')"""
+
+
+def _raw_requests(s, d) -> DataFrame:
+    """All raw saddles, none of them hidden."""
+    saddles = _points(s, d).where("cp_type = 'saddle'").select("mesh_id", "field", "vertex_id", "multiplicity", *[F.col(n).alias(f"u{n}") for n in "xyz"])
+    nothing = saddles.select("mesh_id", "field", F.col("vertex_id").cast("string").alias("unit_id"), F.lit(0).alias("fold_order"), "ux", "uy", "uz", F.lit(0.0).alias("angular_radius_rad")).limit(0)
+    return catastrophe.launch_requests(saddles, saddles.select("mesh_id", "field", "vertex_id").limit(0), nothing, PITCH)
+
+
+def _seeds(s, d) -> tuple[DataFrame, DataFrame]:
+    return catastrophe.ring_search(_raw_requests(s, d), C.part_vertices(s, d), C.part_fields(s, d), PITCH)
+
+
+@query()
+def excision_radius_search(s, d):
+    return rounded(_seeds(s, d)[0])
+
+
+@query()
+def excision_summary(s, d):
+    return rounded(catastrophe.outcome_summary(_seeds(s, d)[0]))
+
+
+@query()
+def excision_branches(s, d):
+    """Ports of the ring that stands for each saddle: where its separatrices leave."""
+    return rounded(_seeds(s, d)[1])
+
+
+@query(f"""WITH RECURSIVE {_MICRO}, {_SLOPES}, {_DECIDED}, hid AS (SELECT src.field, src.vertex_id FROM src JOIN de USING (field, root) WHERE decision NOT IN ('SINGLE', 'IRREDUCIBLE')),
+    raw AS (SELECT mesh_id, field, 'SAD_' || vertex_id AS entity_id, round(x, 4) + 0.0 AS ux, round(y, 4) + 0.0 AS uy, round(z, 4) + 0.0 AS uz, (multiplicity + 1)::INT AS expected, round({max(MARGIN, PITCH)}, 4) AS a0 FROM pts WHERE cp_type = 'saddle' AND NOT EXISTS (SELECT 1 FROM hid WHERE hid.field = pts.field AND hid.vertex_id = pts.vertex_id))
+    SELECT * FROM raw UNION ALL SELECT mesh_id, field, 'E-SAD_' || cluster_id, round(ux, 4) + 0.0, round(uy, 4) + 0.0, round(uz, 4) + 0.0, (1 - local_euler_index)::INT, round(angular_radius_rad, 4) FROM de WHERE decision = 'E-SAD'""")
+def launch_requests(s, d):
+    """Saddles that are shown after the reduction of clusters, effective ones included."""
+    groups, units, reduced = _reduced(s, d)
+    hidden = cut_lineage(clustering.hidden_vertices(groups, units, reduced))
+    saddles = _points(s, d).where("cp_type = 'saddle'").select("mesh_id", "field", "vertex_id", "multiplicity", *[F.col(n).alias(f"u{n}") for n in "xyz"])
+    whole = reduced.where("decision = 'E-SAD'").join(units, ["mesh_id", "field", "cluster_id"]).withColumnRenamed("cluster_id", "unit_id")
+    return rounded(catastrophe.launch_requests(saddles, hidden, whole, PITCH), 4)
+
+
 # --- catastrophes of the given clusters -----------------------------------------------------------------------------------
 
 

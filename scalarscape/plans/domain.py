@@ -371,25 +371,6 @@ def saddle_pairs(s, d):
     return rounded(catastrophe.saddle_pairs(_pair_candidates(s, d)), 4)
 
 
-def _outcomes(s, d) -> DataFrame:
-    field = C.part_fields(s, d)
-    saddles = morse.critical_points(C.part_triangles(s, d), field).where("cp_type = 'saddle'")
-    centres = saddles.join(C.part_vertices(s, d), ["mesh_id", "vertex_id"]).select(
-        "mesh_id", "field", F.col("vertex_id").alias("entity_id"), F.col("x").alias("ux"), F.col("y").alias("uy"), F.col("z").alias("uz"), (F.col("multiplicity") + 1).alias("expected")
-    )
-    return catastrophe.ring_search(centres, C.part_vertices(s, d), field, [0.1, 0.15, 0.2, 0.25, 0.3])
-
-
-@query()
-def excision_radius_search(s, d):
-    return rounded(_outcomes(s, d))
-
-
-@query()
-def excision_summary(s, d):
-    return rounded(catastrophe.outcome_summary(_outcomes(s, d)))
-
-
 @query()
 def launch_branches(s, d):
     f = C.part_fields(s, d)

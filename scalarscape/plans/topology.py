@@ -146,9 +146,12 @@ def triangle_level_set(s, d):
     return rounded(mesh.level_crossings(C.part_triangles(s, d), fields, levels))
 
 
-@query(f"WITH {C.MESH_SQL.replace('triangles AS (', 'all_triangles AS (')}, triangles AS (SELECT * FROM all_triangles WHERE a % 4 = 1), {_EDGES} SELECT 'part' AS mesh_id, u AS a, v AS b, -1::BIGINT AS c FROM edges WHERE n_triangles = 1")
+@query(f"""WITH {C.MESH_SQL}, patches AS (SELECT 'part/' || (a // 512) AS mesh_id, a, b, c FROM triangles), sides AS (SELECT mesh_id, least(a, b) AS u, greatest(a, b) AS v FROM patches UNION ALL SELECT mesh_id, least(b, c), greatest(b, c) FROM patches UNION ALL SELECT mesh_id, least(c, a), greatest(c, a) FROM patches)
+    SELECT mesh_id, u AS a, v AS b, -1::BIGINT AS c FROM sides GROUP BY 1, 2, 3 HAVING count(*) = 1""")
 def boundary_edges_wedge(s, d):
-    return mesh.wedge_triangles(C.part_triangles(s, d).where("a % 4 = 1"))
+    """The wedge of every patch; the sphere's triangles are cut into patches by the key of their first corner."""
+    patch = F.concat(F.lit("part/"), F.floor(F.col("a") / 512).cast("string"))
+    return mesh.wedge_triangles(C.part_triangles(s, d).withColumn("mesh_id", patch))
 
 
 _SMOOTH = f"""{C.RINGS_SQL}, sm AS (SELECT *, (value + coalesce(lag(value) OVER w, last_value(value) OVER a) + coalesce(lead(value) OVER w, first_value(value) OVER a)) / 3 AS smooth
@@ -299,10 +302,18 @@ _PAIRS = f"""{_CL}, dots AS (SELECT p.mesh_id, p.field, p AS p, q AS q, p.ux*q.u
 _AXIS = "CASE WHEN p.morphology = 'string' AND q.morphology = 'string' THEN degrees(acos(least(1.0, abs(p.px*q.px+p.py*q.py+p.pz*q.pz) / (sqrt(p.px**2+p.py**2+p.pz**2) * sqrt(q.px**2+q.py**2+q.pz**2))))) END"
 
 
-@query(f"WITH {_PAIRS}, j AS (SELECT mesh_id, field, p.cluster_id AS cluster_a, q.cluster_id AS cluster_b, round(gap, 5) AS gap_rad, {_AXIS} AS ax FROM pairs WHERE gap <= {3.0 * PITCH}) SELECT mesh_id, field, cluster_a, cluster_b, gap_rad, round(ax, 3) AS axis_angle_deg, ax IS NULL OR ax <= 30 AS is_linked FROM j")
+@query(f"WITH {_PAIRS}, j AS (SELECT mesh_id, field, p.cluster_id AS cluster_a, q.cluster_id AS cluster_b, round(gap, 5) AS gap_rad, {_AXIS} AS ax FROM pairs WHERE gap <= {3.0 * PITCH}) SELECT mesh_id, field, cluster_a, cluster_b, gap_rad, round(ax, 3) AS axis_angle_deg, ax IS NULL OR ax <= 30 AS is_linked, CASE WHEN ax IS NULL OR ax <= 30 THEN 'linked' ELSE printf('axis angle %.2f deg exceeds tolerance 30.00 deg', ax) END AS reason FROM j")
 def bridge_links(s, d):
     links = spherical.bridge_links(_clusters(s, d), PITCH)
-    return links.select("mesh_id", "field", "cluster_a", "cluster_b", F.round("gap_rad", 5).alias("gap_rad"), F.round("axis_angle_deg", 3).alias("axis_angle_deg"), "is_linked")
+    return links.select("mesh_id", "field", "cluster_a", "cluster_b", F.round("gap_rad", 5).alias("gap_rad"), F.round("axis_angle_deg", 3).alias("axis_angle_deg"), "is_linked", "reason")
+
+
+@query(f"""WITH {_CL}, lg AS (SELECT p.mesh_id, p.field, p.cluster_id AS cluster_a, q.cluster_id AS cluster_b, acos(greatest(-1.0, least(1.0, p.ux*q.ux+p.uy*q.uy+p.uz*q.uz))) AS ang, coalesce(p.morphology = 'string' OR q.morphology = 'string', false) AS ok FROM cl p JOIN cl q ON p.mesh_id = q.mesh_id AND p.field = q.field AND p.cluster_id < q.cluster_id)
+    SELECT mesh_id, field, cluster_a, cluster_b, round(ang, 5) AS gap_rad, ok AS is_linked, CASE WHEN ok THEN 'linked' ELSE 'legacy rule: not linked' END AS reason FROM lg WHERE ang <= {6.0 * PITCH}""")
+def bridge_links_legacy(s, d):
+    """Links by the older rule: centres within the gap, here six pitches, one of the two a string."""
+    links = spherical.bridge_links(_clusters(s, d), PITCH, 6.0, bridge_all=False)
+    return links.select("mesh_id", "field", "cluster_a", "cluster_b", F.round("gap_rad", 5).alias("gap_rad"), "is_linked", "reason")
 
 
 _TB, _TA = [f"(q.u{n} - dt * p.u{n})" for n in "xyz"], [f"(p.p{n} - (p.px*p.ux+p.py*p.uy+p.pz*p.uz) * p.u{n})" for n in "xyz"]

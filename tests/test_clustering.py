@@ -129,3 +129,30 @@ def test_classified_by_barrier_and_span(spark):
         (r,) = catastrophe.classified(star, frame(value), frame(value), spans, 0.02).collect()
         assert (r.kind, r.classification, r.net_euler_index) == ("E-MSAD", kind, -2)
         assert r.span_deg == pytest.approx(math.degrees(apart(places[1][1], places[2][1]))) and r.relative_barrier == pytest.approx(value)
+
+
+def test_ring_search_finds_the_radius_of_the_expected_fold(spark):
+    n = 3000
+    places = [(i, at(math.acos(1 - 2 * (i + 0.5) / n), i * math.pi * (3 - math.sqrt(5)))) for i in range(n)]
+    vertices = spark.createDataFrame([("m", i, *p) for i, p in places], "mesh_id string, vertex_id long, x double, y double, z double")
+
+    def field(fold, inner):
+        def value(p):
+            theta, phi = math.acos(p[2]), math.atan2(p[1], p[0])
+            return theta * math.cos((fold if theta > inner else 5) * phi)
+
+        return value
+
+    fields = {"three": field(3, 0.0), "later": field(3, 0.35), "flat": lambda p: 1.0}
+    rows = spark.createDataFrame([("m", f, i, v(p)) for f, v in fields.items() for i, p in places], "mesh_id string, field string, vertex_id long, value double")
+    centres = spark.createDataFrame(
+        [("m", "three", "a", *at(0.0), 3, 0.2), ("m", "three", "b", *at(0.0), 2, 0.2), ("m", "three", "c", *at(0.0), 1, 0.2), ("m", "later", "d", *at(0.0), 3, 0.25), ("m", "flat", "e", *at(0.0), 2, 0.2)],
+        "mesh_id string, field string, entity_id string, ux double, uy double, uz double, expected int, a0 double",
+    )
+    outcomes, branches = catastrophe.ring_search(centres, vertices, rows, 0.05, 32)
+    got = {r.entity_id: r for r in outcomes.collect()}
+    assert (got["a"].status, got["a"].fold, got["a"].radius, got["a"].n_tried) == ("converged_at_a0", 3, 0.2, 1)
+    assert (got["b"].status, got["b"].fold) == ("k_mismatch", 3) and got["c"].status == "no_ring" and got["e"].status == "unbalanced"
+    assert (got["d"].status, got["d"].fold) == ("expanded", 3) and 0.3 < got["d"].radius < 0.5
+    ports = [r for r in branches.collect() if r.entity_id == "a"]
+    assert sorted(r.kind for r in ports) == ["ridge"] * 3 + ["valley"] * 3
