@@ -61,6 +61,7 @@ def near_pairs(clusters: DataFrame, gap: float) -> DataFrame:
         joined = joined.where(F.col(f"cell.{n}") == F.greatest(F.col(f"a_lo{axis}"), F.col(f"b_lo{axis}")))
     ua, ub = V.vec("a_u"), V.vec("b_u")
     near = joined.withColumn("centroid_rad", V.angle(ua, ub)).where(F.col("centroid_rad") <= F.col("a_reach") + F.col("b_reach"))
+    near = cut_lineage(near)  # few are left; in one stage with what follows the generated code would grow too long
     reach_a = V.support_radius(ua, V.vec("a_p"), F.col("a_semi_major_rad"), F.col("a_semi_minor_rad"), ub)
     reach_b = V.support_radius(ub, V.vec("b_p"), F.col("b_semi_major_rad"), F.col("b_semi_minor_rad"), ua)
     measured = near.withColumn("gap_rad", F.col("centroid_rad") - reach_a - reach_b).where(F.col("gap_rad") <= gap)
@@ -124,7 +125,7 @@ def clearance_histogram(clusters: DataFrame, pitch: float, width: float = 0.5, m
     """
     n_bins = -(-int(most * 1000) // int(width * 1000))
     clusters = cut_lineage(clusters.drop("members", "ring"))  # read twice
-    inside = clearances(clusters, pitch, n_bins * width)
+    inside = cut_lineage(near_pairs(clusters, n_bins * width * pitch).select(*KEY, (F.col("gap_rad") / pitch).alias("gap_dtheta"))).where(F.col("gap_dtheta") < n_bins * width)
     counted = inside.groupBy(*KEY, F.when(F.col("gap_dtheta") < 0, -1).otherwise(F.floor(F.col("gap_dtheta") / width)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     groups = clusters.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     frame = groups.withColumn("bin", F.explode(F.sequence(F.lit(-1), F.lit(n_bins))))

@@ -275,10 +275,10 @@ def ring_idw(s, d):
     near AS (SELECT c.field, entity_id, value, acos(greatest(-1.0, least(1.0, cx*x+cy*y+cz*z))) AS th FROM ctr c JOIN vertices v ON cx*x+cy*y+cz*z >= cos(0.46) JOIN fields f ON f.vertex_id = v.vertex_id AND f.field = c.field),
     ok AS (SELECT *, th BETWEEN 0.1 AND 0.30000000000000004 AS ring FROM near WHERE th <= 0.45000000000000007), e AS (SELECT field, entity_id, count(*) FILTER (ring) >= 3 AS narrow FROM ok GROUP BY 1, 2), us AS (SELECT ok.* FROM ok JOIN e USING (field, entity_id) WHERE ring OR NOT narrow),
     md AS (SELECT field, entity_id, quantile_cont(th, 0.5) AS m FROM us GROUP BY 1, 2), g AS (SELECT field, entity_id, count(*) AS n, CASE WHEN var_pop(th) < 1e-12 THEN 0.0 ELSE covar_samp(value, th) / var_pop(th) END AS sl, avg(value) FILTER (th > m + 1e-9) - avg(value) FILTER (th <= m + 1e-9) AS df FROM us JOIN md USING (field, entity_id) GROUP BY 1, 2)
-    SELECT 'part' AS mesh_id, field, entity_id, n, round(sl, 2) AS slope, CASE WHEN df IS NULL THEN 0.8 WHEN abs(sl) < 1e-9 THEN 0.5 WHEN (df > 0 AND sl > 0) OR (df < 0 AND sl < 0) THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM g""")
+    SELECT 'part' AS mesh_id, field, entity_id, n, round(sl, 1) AS slope, CASE WHEN df IS NULL THEN 0.8 WHEN abs(sl) < 1e-9 THEN 0.5 WHEN (df > 0 AND sl > 0) OR (df < 0 AND sl < 0) THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM g""")
 def radial_slopes(s, d):
     centres = _centres(s, d).select("mesh_id", "field", F.col("ring_id").alias("entity_id"), "ux", "uy", "uz", F.lit(0.1).alias("radius"))
-    return rounded(spherical.radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1), 2)
+    return spherical.radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1).withColumn("slope", F.round("slope", 1) + 0.0)
 
 
 def _clusters(s, d) -> DataFrame:
