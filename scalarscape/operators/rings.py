@@ -76,8 +76,8 @@ def nearest_vertices(samples: DataFrame, vertices: DataFrame, k: int) -> DataFra
 
     Vertices lie in cells whose side comes from their mesh's density, so that a cell holds
     a few whatever the mesh's size, and each sample looks into its own cell and those
-    beside it. It is settled once its k-th vertex lies no farther than a cell's side; the
-    others look again among cells three times as wide, at last the whole sphere.
+    beside it. It is settled once k vertices lie no farther than a cell's side; the others
+    look again among cells twice as wide, at last the whole sphere.
     """
     u = V.unit(V.vec(""))
     key = [c for c in ("mesh_id", "field", "ring_id", "k") if c in samples.columns]
@@ -94,18 +94,18 @@ def nearest_vertices(samples: DataFrame, vertices: DataFrame, k: int) -> DataFra
         cells = v.select("mesh_id", "vertex_id", "vx", "vy", "vz", *[c.alias(n) for c, n in zip(at("v"), "ijl", strict=True)])
         looked = s.select(*key, "ux", "uy", "uz", "side", F.inline(beside))
         looked = looked.select(*key, "ux", "uy", "uz", "side", *[(c + F.col(f"d{n}")).alias(n) for c, n in zip(at("u"), "ijl", strict=True)])
-        near = looked.join(cells, ["mesh_id", "i", "j", "l"])
-        theta = V.angle(V.vec("u"), V.vec("v"))
+        last = side >= 2.0  # the cells beside hold the whole sphere
+        near = looked.join(cells, ["mesh_id", "i", "j", "l"]).withColumn("theta", V.angle(V.vec("u"), V.vec("v")))
+        near = near.where(last | (F.col("theta") <= 2 * F.asin(F.least(F.lit(1.0), side / 2))))  # beyond it the cells beside may lack some
         best = near.groupBy(*key).agg(
-            F.slice(F.array_sort(F.collect_list(F.struct(F.round(theta, 9).alias("at"), "vertex_id", theta.alias("theta")))), 1, k).alias("best"), F.first("side").alias("side")
+            F.slice(F.array_sort(F.collect_list(F.struct(F.round("theta", 9).alias("at"), "vertex_id", "theta"))), 1, k).alias("best"), F.first("side").alias("side")
         )
-        last = side >= 2.0  # the cells beside hold the whole sphere
-        settled = cut_lineage(best.where(last | ((F.size("best") == k) & (F.element_at("best", -1)["theta"] <= 2 * F.asin(F.least(F.lit(1.0), side / 2))))).select(*key, "best"))
+        settled = cut_lineage(best.where(last | (F.size("best") == k)).select(*key, "best"))
         found.append(settled)
         s = cut_lineage(s.where(~last).join(settled, key, "left_anti"))
         if s.isEmpty():
             break
-        wide *= 3
+        wide *= 2
     ranked = reduce(DataFrame.unionByName, found).select(*key, F.posexplode("best").alias("rank", "b"))
     return ranked.select(*key, "b.vertex_id", "b.theta", (F.col("rank") + 1).alias("rank"))
 

@@ -146,7 +146,7 @@ def metric_diff(saved: DataFrame, computed: DataFrame, key: str) -> DataFrame:
 
 def drift_against_previous(snapshots: DataFrame) -> DataFrame:
     """metric_diff of each snapshot against the one received before it in its dataset; (snapshot_id, path, saved, computed, matches)."""
-    at = snapshots.select("snapshot_id", "dataset", F.struct("received_at", "snapshot_id").alias("_at"), F.date_trunc("day", "received_at").alias("_day"))
+    at = snapshots.select("snapshot_id", "dataset", F.struct("received_at", "snapshot_id").alias("_at"), F.date_trunc("day", F.col("received_at").cast("timestamp")).alias("_day"))
     pairs = carry_forward(at, ["dataset"], "_at", F.col("_day"), {"previous": F.col("snapshot_id")}).select("snapshot_id", "previous").where("previous is not null")
     leaves = metric_leaves(snapshots)
     earlier = pairs.join(leaves.withColumnRenamed("snapshot_id", "previous"), "previous").select("snapshot_id", "path", "value")

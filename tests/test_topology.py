@@ -273,7 +273,13 @@ def test_names(spark):
     names = ["Laplacian (condensed)", "ρ Laplacian", "W", "W #7", " Rho  Charge (raw)"]
     df = spark.createDataFrame([(n,) for n in names], "field string")
     got = [tuple(r) for r in df.select(naming.normalised(F.col("field")), naming.slug(F.col("field"))).collect()]
-    assert got[0] == ("laplacian", "laplacian_condensed") and got[1][0] == "laplacian" and got[4][0] == "charge"
+    assert got[0] == ("laplacian", "laplacian_condensed") and got[1] == ("laplacian", "laplacian") and got[4] == ("charge (raw)", "rho_charge_raw")
+    titles = ["ρ", "Rho mean curvature (3D)", "kinetic energy density", "ELF of Î± (sca)", None, "mean curvature sign change"]
+    shown = spark.createDataFrame([(t,) for t in titles], "field string").select(naming.display_title(F.col("field"))).collect()
+    assert [r[0] for r in shown] == ["Electron Density (ρ)", "Mean Curvature (H)", "Kinetic Energy Density (τ)", "ELF Of α", "", "Mean Curvature Sign Change"]
+    sliders = spark.createDataFrame([("Shape Index", -5.0, 5.0), (" v ", 0.0, 9.0), ("vorticity", -500.0, 20.0), ("flat", 1.0, 1.0)], "f string, lo double, hi double")
+    ranges = [tuple(r.s) for r in sliders.select(naming.slider(F.col("f"), F.col("lo"), F.col("hi")).alias("s")).collect()]
+    assert ranges == [(0.0, 1.0, 0.7, 0.01), (0.0, 1.0, 0.5, 0.01), (-100.0, 20.0, -88.0, 1.2), (0.0, 1.0, 0.5, 0.01)]
     pair = spark.range(1).select(naming.matches(F.lit(names[0]), F.lit(names[1])), naming.matches(F.lit("a"), F.lit("b"))).first()
     assert tuple(pair) == (True, False)
     assert {(r.field, r.pattern_no) for r in naming.select_fields(df, ["w", "lap"]).collect()} == {("W", 0), (names[0], 1), (names[1], 1)}
