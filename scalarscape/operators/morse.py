@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarscape.operators.mesh import corners, unique_edges
+from scalarscape.operators.mesh import unique_edges, values_by_vertex
 from scalarscape.operators.windows import running_number
 
 KEY = ["mesh_id", "field"]
@@ -34,38 +34,39 @@ def critical_points(triangles: DataFrame, fields: DataFrame, tie: str = "rank")
     side they are its vertices less its edges, or one where the side is the whole link.
     Minimum: 0 below, 1 above; maximum the reverse; a saddle of multiplicity n - 1 has
     n >= 2 below; all others are regular. Link edges count once however often they
-    occur, degenerate triangles and triangles with a null value are left out. One
-    shuffle join and three aggregations serve all meshes and fields.
+    occur, degenerate triangles and triangles with a null value are left out. Links are
+    gathered once for all fields; each vertex sends its values of all fields to its
+    neighbours, so a corner of a triangle is shuffled twice however many fields there are.
     """
-    tri = corners(triangles, fields.where("value is not null"))
-    p = [F.col("p")[k] for k in range(3)]
-    turns = F.array(*[F.struct(p[i].alias("v"), p[j].alias("u"), p[k].alias("w")) for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))])
-    link = tri.select(*KEY, F.inline(turns)).where("v.vertex <> u.vertex and u.vertex <> w.vertex and v.vertex <> w.vertex")
-    flip = F.col("u.vertex") > F.col("w.vertex")
-    link = link.select(
-        *KEY,
-        F.col("v.vertex").alias("vertex_id"),
-        F.col("v.value").alias("value"),
-        F.when(flip, F.col("w")).otherwise(F.col("u")).alias("u"),
-        F.when(flip, F.col("u")).otherwise(F.col("w")).alias("w"),
-    ).groupBy(*KEY, "vertex_id", F.col("u.vertex").alias("ui"), F.col("w.vertex").alias("wi")).agg(
-        F.first("value").alias("value"), F.first("u.value").alias("uf"), F.first("w.value").alias("wf")
-    )
+    at = ["mesh_id", "vertex_id"]
+    turns = F.array(*[F.struct(F.col(v).alias("vertex_id"), F.least(u, w).alias("u"), F.greatest(u, w).alias("w")) for v, u, w in ("abc", "bca", "cab")])
+    whole = triangles.where("a <> b and b <> c and c <> a").select("mesh_id", F.inline(turns))
+    links = whole.groupBy(*at).agg(F.collect_set(F.struct("u", "w")).alias("link"))
+    own = values_by_vertex(fields)
+    beside = F.array_distinct(F.flatten(F.transform("link", lambda e: F.array(e["u"], e["w"]))))
+    sent = links.join(own.hint("merge"), at).select("mesh_id", F.col("vertex_id").alias("n"), "own", F.explode(beside).alias("vertex_id"))
+    around = sent.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("n", "own"))).alias("around"))
+    known = links.join(own.hint("merge"), at).join(around.hint("merge"), at)
+    each = known.select(*at, "own", "around", F.inline("link")).select(*at, F.explode("own").alias("field", "value"), "u", "w", F.col("around")[F.col("u")].alias("_u"), F.col("around")[F.col("w")].alias("_w"))
+    link = each.select(*KEY, "vertex_id", "value", F.col("u").alias("ui"), F.col("_u")[F.col("field")].alias("uf"), F.col("w").alias("wi"), F.col("_w")[F.col("field")].alias("wf")).where("uf is not null and wf is not null")
     span = None
     if tie == "literal":
         spans = fields.groupBy(*KEY).agg((F.max("value") - F.min("value")).alias("_span"))
-        link, span = link.join(spans, KEY), F.col("_span")
+        link, span = link.join(F.broadcast(spans), KEY), F.col("_span")  # a row for each field
     v, f = F.col("vertex_id"), F.col("value")
     low = {n: _below(tie, F.col(f"{n}f"), F.col(f"{n}i"), f, v, span) for n in "uw"}
     high = {n: _below(tie, f, v, F.col(f"{n}f"), F.col(f"{n}i"), span) for n in "uw"}
-    edges = link.groupBy(*KEY, "vertex_id", "value").agg(
-        F.count_if(low["u"] & low["w"]).alias("el"), F.count_if(high["u"] & high["w"]).alias("eh")
-    )
-    ends = F.array(*[F.struct(F.col(f"{n}i").alias("n"), low[n].alias("lo"), high[n].alias("hi")) for n in "uw"])
-    around = link.select(*KEY, "vertex_id", F.inline(ends)).distinct()
-    nodes = around.groupBy(*KEY, "vertex_id").agg(F.count_if("lo").alias("vl"), F.count_if("hi").alias("vh"))
+    ends = [F.struct(F.col(f"{n}i").alias("n"), low[n].alias("lo"), high[n].alias("hi")) for n in "uw"]
+    arc = F.struct(F.lit(None).cast("bigint").alias("n"), (low["u"] & low["w"]).alias("lo"), (high["u"] & high["w"]).alias("hi"))
+    who = [*KEY, "vertex_id", "value"]
+    seen = link.select(*who, F.inline(F.array(*ends, arc))).groupBy(*who, "n").agg(F.count_if("lo").alias("lo"), F.count_if("hi").alias("hi"))
+    node = F.col("n").isNotNull()
+    counted = seen.groupBy(*who).agg(
+        F.count_if(node & (F.col("lo") > 0)).alias("vl"), F.count_if(node & (F.col("hi") > 0)).alias("vh"),
+        F.coalesce(F.sum(F.when(~node, F.col("lo"))), F.lit(0)).alias("el"), F.coalesce(F.sum(F.when(~node, F.col("hi"))), F.lit(0)).alias("eh"),
+    )
     parts = lambda n, e: F.when((F.col(n) > 0) & (F.col(n) == F.col(e)), 1).otherwise(F.col(n) - F.col(e))
-    sides = edges.join(nodes, [*KEY, "vertex_id"]).select(*KEY, "vertex_id", "value", parts("vl", "el").alias("lower"), parts("vh", "eh").alias("upper"))
+    sides = counted.select(*KEY, "vertex_id", "value", parts("vl", "el").alias("lower"), parts("vh", "eh").alias("upper"))
     kind = (
         F.when((F.col("lower") == 0) & (F.col("upper") == 1), "minimum")
         .when((F.col("upper") == 0) & (F.col("lower") == 1), "maximum")
