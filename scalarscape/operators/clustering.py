@@ -7,8 +7,9 @@ fields at once; a vertex that a field has twice counts once.
 
 from __future__ import annotations
 
-from math import pi, sin
+from math import acos, pi, sin, sqrt
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,35 +18,77 @@ from scalarscape.operators import spherical
 from scalarscape.operators.graph import connected_groups
 from scalarscape.operators.rings import named
 from scalarscape.operators.windows import running_total
-from scalarscape.session import cut_lineage
+from scalarscape.session import cut_lineage, written
 
 KEY = ["mesh_id", "field"]
 FLAT = 1e-16  # variance below which a direction has no extent
 MOST_ASPECT = 999.0  # aspect of groups without extent across their axis
 
 
-def near_points(points: DataFrame, reach: float) -> DataFrame:
-    """(mesh_id, field, a, b): pairs of vertices at most ``reach`` radians apart, a < b, each once.
+def placed_points(points: DataFrame, side: float) -> DataFrame:
+    """(mesh_id, field, vertex_id, ux, uy, uz, i, j, l): unit directions and their cells of ``side`` in space; points without a direction are left out."""
+    units = points.select(*KEY, "vertex_id", *named(V.unit(V.vec("")), "u")).where("ux is not null")
+    return units.select("*", *[F.floor(F.col(f"u{m}") / side).alias(n) for m, n in zip("xyz", "ijl", strict=True)])
 
-    Points lie in cells of the reach's side; each looks into its own cell and those
-    beside it, so distant pairs are never formed. On a mesh the reach is a few pitches, so
-    a point has few neighbours.
+
+def linked_cells(placed: DataFrame, reach: float) -> DataFrame:
+    """(a, b): the least vertices (mesh_id, field, vertex_id) of each two cells that hold points at most ``reach`` radians apart, a cell of one vertex or more with itself too.
+
+    ``placed`` as from placed_points with cells so small that all their points are linked.
+    Cells up to two apart are compared: by their extreme points first, and where none of
+    those are near enough by all.
     """
-    side = max(2 * sin(min(reach, pi) / 2), 1e-9) * (1 + 1e-9)
-    units = points.select(*KEY, "vertex_id", *named(V.unit(V.vec("")), "u"))
-    placed = units.select(*KEY, F.col("vertex_id").alias("b"), *[F.col(f"u{m}").alias(f"v{m}") for m in "xyz"], *[F.floor(F.col(f"u{m}") / side).alias(n) for m, n in zip("xyz", "ijl", strict=True)])
-    beside = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(k).alias("dl")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    looks = units.select(*KEY, F.col("vertex_id").alias("a"), "ux", "uy", "uz", F.inline(beside))
-    looks = looks.select(*KEY, "a", "ux", "uy", "uz", *[(F.floor(F.col(f"u{m}") / side) + F.col(f"d{n}")).alias(n) for m, n in zip("xyz", "ijl", strict=True)])
-    met = looks.join(placed, [*KEY, "i", "j", "l"]).where("a < b")
-    return met.where(V.angle(V.vec("u"), V.vec("v")) <= reach).select(*KEY, "a", "b")
+    cell = [*KEY, "i", "j", "l"]
+    limit = 2 * sin(min(reach, pi) / 2) * (1 + 1e-9)
+    point = F.struct("ux", "uy", "uz")
+    held = written(placed.groupBy(*cell).agg(
+        F.min("vertex_id").alias("at"), *[f(f"u{m}").alias(f"{n}{m}") for f, n in ((F.min, "lo"), (F.max, "hi")) for m in "xyz"],
+        F.array_distinct(F.array(*[f(point, f"u{m}") for f in (F.min_by, F.max_by) for m in "xyz"])).alias("ends"), *[F.collect_list(f"u{m}").alias(f"all{m}") for m in "xyz"],
+    ))
+    span = range(-2, 3)
+    beside = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(k).alias("dl")) for i in span for j in span for k in span if (i, j, k) > (0, 0, 0)])
+    looks = held.select(*KEY, F.col("at").alias("a"), "i", "j", "l", F.inline(beside)).select(*KEY, "a", *[(F.col(n) + F.col(f"d{n}")).alias(n) for n in "ijl"])
+    met = looks.join(held.select(*cell, F.col("at").alias("b")).hint("merge"), cell).select(*KEY, "a", "b")
+    what = ["ends", *[f"{n}{m}" for n in ("lo", "hi") for m in "xyz"]]
+    side = lambda p, names: held.select(*KEY, F.col("at").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in names]).hint("merge")
+    near = met.join(side("a", what), [*KEY, "a"]).join(side("b", what), [*KEY, "b"])
+    apart = [F.greatest(F.col(f"a_lo{m}") - F.col(f"b_hi{m}"), F.col(f"b_lo{m}") - F.col(f"a_hi{m}"), F.lit(0.0)) for m in "xyz"]
+    near = near.where(V.norm(apart) <= limit)
+    part = lambda p: tuple(p[f"u{m}"] for m in "xyz")
+    quick = F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: V.angle(part(p), part(q)) <= reach))
+    judged = written(near.select(*KEY, "a", "b", quick.alias("quick")))
+    every = [f"all{m}" for m in "xyz"]
+    open_ = judged.where("not quick").join(side("a", every), [*KEY, "a"]).join(side("b", every), [*KEY, "b"])
+
+    @F.pandas_udf("boolean")
+    def linked(ax: pd.Series, ay: pd.Series, az: pd.Series, bx: pd.Series, by: pd.Series, bz: pd.Series) -> pd.Series:
+        return pd.Series([nearest_angle(*r) <= reach for r in zip(ax, ay, az, bx, by, bz, strict=True)])
+
+    late = open_.where(linked(*[F.col(f"{p}_{c}") for p in "ab" for c in every]))
+    node = lambda c: F.struct(*KEY, F.col(c).alias("vertex_id")).alias(c)
+    return judged.where("quick").select(node("a"), node("b")).unionByName(late.select(node("a"), node("b")))
+
+
+def nearest_angle(ax, ay, az, bx, by, bz) -> float:
+    """The least angle between a direction of one set and one of another, in pieces of bounded size."""
+    step = max(1, (1 << 20) // len(bx))
+    most = max(float((ax[k : k + step, None] * bx + ay[k : k + step, None] * by + az[k : k + step, None] * bz).max()) for k in range(0, len(ax), step))
+    return acos(max(-1.0, min(1.0, most)))
 
 
 def memberships(points: DataFrame, reach: float) -> DataFrame:
-    """(mesh_id, field, vertex_id, root): each point and the smallest vertex of its cluster, points linked by steps of at most ``reach`` radians."""
-    node = lambda c: F.struct(*KEY, F.col(c).alias("vertex_id")).alias(c)
-    groups = connected_groups(near_points(points, reach).select(node("a"), node("b")))
-    grouped = groups.select("node.mesh_id", "node.field", "node.vertex_id", F.col("root.vertex_id").alias("root"))
+    """(mesh_id, field, vertex_id, root): each point and the smallest vertex of its cluster, points linked by steps of at most ``reach`` radians.
+
+    Points lie in cells whose diagonal is the reach, so all of a cell are linked and only
+    cells are nodes of the graph: its size does not grow with the points that lie close.
+    """
+    side = max(2 * sin(min(reach, pi) / 2), 1e-9) / sqrt(3) * (1 - 1e-9)
+    placed = written(placed_points(points, side))
+    groups = connected_groups(linked_cells(placed, reach))
+    cell = [*KEY, "i", "j", "l"]
+    firsts = placed.groupBy(*cell).agg(F.min("vertex_id").alias("at"))
+    roots = firsts.join(groups.select("node.mesh_id", "node.field", F.col("node.vertex_id").alias("at"), F.col("root.vertex_id").alias("root")), [*KEY, "at"], "left")
+    grouped = placed.join(roots.select(*cell, F.coalesce("root", "at").alias("root")), cell).groupBy(*KEY, "vertex_id").agg(F.min("root").alias("root"))
     own = points.select(*KEY, "vertex_id").distinct()
     return own.join(grouped, [*KEY, "vertex_id"], "left").select(*KEY, "vertex_id", F.coalesce("root", "vertex_id").alias("root"))
 
