@@ -76,7 +76,7 @@ _MICRO = f"""{_morse_sql('rank').replace('vertices AS (', 'vertices AS MATERIALI
 
 
 def _points(s, d) -> DataFrame:
-    return cut_lineage(_cps(s, d).join(C.part_vertices(s, d), ["mesh_id", "vertex_id"]))
+    return cut_lineage(_cps(s, d).join(C.part_vertices(s, d).hint("merge"), ["mesh_id", "vertex_id"]))
 
 
 def _micro(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -156,3 +156,36 @@ def test_ring_search_finds_the_radius_of_the_expected_fold(spark):
     assert (got["d"].status, got["d"].fold) == ("expanded", 3) and 0.3 < got["d"].radius < 0.5
     ports = [r for r in branches.collect() if r.entity_id == "a"]
     assert sorted(r.kind for r in ports) == ["ridge"] * 3 + ["valley"] * 3
+
+
+@pytest.mark.parametrize("reach", [0.02, 0.3, 1.5, 4.0])
+def test_linked_cells_join_what_near_points_join(spark, reach):
+    rng = random.Random(int(reach * 100))
+    points = [tuple(rng.gauss(0, 1) for _ in range(3)) for _ in range(60)]
+    points += [(1.0, 0.01 * rng.random(), 0.01 * rng.random()) for _ in range(200)] + [(0.0, 0.0, 0.0)]
+    unit = [tuple(c / math.sqrt(sum(x * x for x in p)) for c in p) for p in points[:-1]]
+    root = list(range(len(points)))
+    for a in range(len(unit)):
+        for b in range(a):
+            if math.acos(max(-1.0, min(1.0, sum(x * y for x, y in zip(unit[a], unit[b]))))) <= reach and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([("m", "f", i, *map(float, p)) for i, p in enumerate(points)], "mesh_id string, field string, vertex_id long, x double, y double, z double")
+    assert {r.vertex_id: r.root for r in clustering.memberships(df, reach).collect()} == dict(enumerate(root))
+    side = 2 * math.sin(min(reach, math.pi) / 2) / math.sqrt(3)
+    links = clustering.linked_cells(clustering.placed_points(df, side * (1 - 1e-9)), reach)
+    assert links.count() < 2000  # the 200 points that lie close have 19,900 near pairs
+
+
+def test_a_part_sphere_s_points_are_not_sent_through_the_driver(spark, tmp_path):
+    from scalarscape.plans import clusters as plans
+
+    spark.createDataFrame([(i, float(i * 7 % 11)) for i in range(400)], "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i, 1.0, float(i * 5 % 13)) for i in range(400)], "l_partkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    whole, plans.cut_lineage = plans.cut_lineage, lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    try:
+        plans._points(spark, str(tmp_path))
+    finally:
+        plans.cut_lineage = whole
+    assert "strategy=merge" in seen[0].splitlines()[1] + seen[0].splitlines()[0]
