@@ -59,16 +59,14 @@ def ring_samples(centres: DataFrame, n: int, legacy: bool = False) -> DataFrame:
 
 
 def ring_frame(ring: DataFrame) -> DataFrame:
-    """(mesh_id and field where given, ring_id, n, cx, cy, cz, angular_radius) of rings of four samples or more: normalised mean direction and mean angle to it."""
+    """(mesh_id and field where given, ring_id, n, cx, cy, cz, angular_radius) of rings of four samples or more: normalised mean direction and mean angle to it. A ring's samples are added up where they are made."""
     u = V.unit(V.vec(""))
     key = [c for c in ("mesh_id", "field", "ring_id") if c in ring.columns]
     units = ring.select(*key, *[x.alias(f"u{m}") for x, m in zip(u, "xyz", strict=True)])
     mean = units.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"u{m}").alias(f"m{m}") for m in "xyz"]).where("n >= 4")
     c = V.unit(V.vec("m"))
-    centre = mean.select(*key, "n", *[x.alias(f"c{m}") for x, m in zip(c, "xyz", strict=True)])
-    cosine = F.avg(V.dot(V.vec("u"), V.vec("c")))
-    got = units.join(centre, key).groupBy(*key, "n", "cx", "cy", "cz").agg(cosine.alias("_c"))
-    return got.select(*key, "n", "cx", "cy", "cz", F.acos(V.clipped(F.col("_c"))).alias("angular_radius"))
+    cosine = V.dot(V.vec("m"), c)  # the mean of the products with the centre is the mean's own
+    return mean.select(*key, "n", *named(c, "c"), F.acos(V.clipped(cosine)).alias("angular_radius"))
 
 
 def nearest_vertices(samples: DataFrame, vertices: DataFrame, k: int) -> DataFrame:

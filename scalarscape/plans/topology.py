@@ -237,7 +237,7 @@ def ring_perfected_ports(s, d):
 
 
 def _centres(s, d) -> DataFrame:
-    cps = _cps(s, d).join(C.part_vertices(s, d), ["mesh_id", "vertex_id"])
+    cps = _cps(s, d).join(C.part_vertices(s, d).hint("merge"), ["mesh_id", "vertex_id"])
     return cps.select("mesh_id", "field", F.col("vertex_id").alias("ring_id"), *[F.col(n).alias(f"u{n}") for n in "xyz"], F.lit(0.3).alias("a"), F.lit(0.2).alias("b"), F.lit(1.0).alias("sphere_radius"))
 
 

@@ -57,6 +57,13 @@ def test_constant_null_and_empty_fields(spark):
     assert morse.critical_points(t.limit(0), field(spark, [1] * 6)).count() == 0
 
 
+def test_frames_need_no_second_look_at_the_samples(spark):
+    centres = spark.createDataFrame([("m", "f", i, *CENTRES, a, a, 2.0) for i, (CENTRES, a) in enumerate([((0.0, 0.6, 0.8), 0.3), ((1.0, 0.0, 0.0), 1.2)])], "mesh_id string, field string, ring_id long, ux double, uy double, uz double, a double, b double, sphere_radius double")
+    frames = rings.ring_frame(rings.ring_samples(centres, 16))
+    assert [(r.n, round(r.angular_radius, 9)) for r in frames.orderBy("ring_id").collect()] == [(16, 0.3), (16, 1.2)]
+    assert "Join" not in frames._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fields_of_one_mesh_are_gathered_once(spark, tmp_path):
     two = field(spark, [0.01, -0.01, 0.02, -0.02, 1, -1]).unionByName(field(spark, [1, 1.01, -1, -1.01, 0, 0.001], "g")).unionByName(field(spark, [1, 2, 3, 4, None, 5], "h"))
     for name, df in (("t", triangles(spark, FACES)), ("f", two)):
