@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import acos, degrees, pi
+from math import acos, asin, degrees, pi, sin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scalarscape.functions import vector as V
 from scalarscape.operators import rings
 from scalarscape.operators.graph import greedy_matching
-from scalarscape.operators.spherical import covered_cells
+from scalarscape.operators.spherical import CELL, covered_cells
 from scalarscape.session import discard, written
 
 KEY = ["mesh_id", "field"]
@@ -34,29 +34,54 @@ def saddle_pair_candidates(points: DataFrame, spans: DataFrame, pitch_deg: float
     """
     limit = max(PAIR_PITCHES * pitch_deg, PAIR_FLOOR_DEG)
     reach = limit * pi / 180
-    saddles = points.where("cp_type = 'saddle'")
-    cells = _cells(saddles.select(*KEY, "vertex_id", "value", "ux", "uy", "uz"), reach / 2 + 1e-9)
-    side = lambda p: cells.select(*KEY, "cell", *[F.col(c).alias(f"{p}_{c}") for c in ("vertex_id", "value", "ux", "uy", "uz")])
-    met = side("a").join(side("b"), [*KEY, "cell"]).where("a_vertex_id < b_vertex_id")
-    met = met.withColumn("separation_deg", V.separation_deg(V.vec("a_u"), V.vec("b_u"))).where(F.col("separation_deg").between(1e-9, limit))
-    met = met.drop("cell").dropDuplicates([*KEY, "a_vertex_id", "b_vertex_id"]).join(spans, KEY)
-    barrier = F.abs(F.col("a_value") - F.col("b_value")) / F.greatest(F.col("span"), F.lit(1e-12))
-    near = met.withColumn("barrier", barrier).where(F.col("barrier") <= barrier_tolerance)
-    middle = V.unit(V.plus(V.vec("a_u"), V.vec("b_u")))
-    near = near.select("*", *rings.named(middle, "m"))
-    wide = max(CORE_RATIO * reach, reach / 2 + MIDPOINT_MARGIN_DEG * pi / 180)
     extrema = points.where("cp_type <> 'saddle'").select(*KEY, F.col("ux").alias("ex"), F.col("uy").alias("ey"), F.col("uz").alias("ez"))
-    extrema = extrema.withColumn("cell", F.struct(*[F.floor(F.col(f"e{n}") / 0.25).alias(k) for n, k in zip("xyz", "ijk", strict=True)]))
-    spread = near.select(*KEY, "a_vertex_id", "b_vertex_id", "separation_deg", *[f"{p}{n}" for p in ("a_u", "b_u", "m") for n in "xyz"])
-    spread = spread.select("*", F.col("mx").alias("ux"), F.col("my").alias("uy"), F.col("mz").alias("uz"))
-    beside = _cells(spread, wide + reach / 2).join(extrema, [*KEY, "cell"])
-    between = V.separation_deg(V.vec("m"), V.vec("e")) < F.col("separation_deg") / 2 + MIDPOINT_MARGIN_DEG
-    core = F.least(V.separation_deg(V.vec("a_u"), V.vec("e")), V.separation_deg(V.vec("b_u"), V.vec("e"))) < CORE_RATIO * F.col("separation_deg")
-    blocked = beside.where(between | core).select(*KEY, "a_vertex_id", "b_vertex_id").distinct()
-    free = near.join(blocked, [*KEY, "a_vertex_id", "b_vertex_id"], "left_anti")
+    saddles = points.where("cp_type = 'saddle'").select(*KEY, "vertex_id", "value", "ux", "uy", "uz")
+    nearest = nearest_extremum(saddles, extrema, CORE_RATIO * limit).hint("merge")
+    saddles = saddles.join(nearest, [*KEY, "vertex_id"], "left").join(spans.select(*KEY, "span"), KEY)
+    most = F.least(F.lit(limit), F.coalesce(F.col("nearest") / CORE_RATIO, F.lit(limit)) + 1e-6)  # degrees to the farthest saddle that it may be paired with
+    half, wide = F.radians(most) / 2 + 1e-9, 2 * reach  # most saddles lie in one or two such cells
+    lows = [F.floor((F.col(f"u{n}") - half) / wide).alias(f"lo{n}") for n in "xyz"]
+    cells = saddles.select(*KEY, "vertex_id", "value", "span", "nearest", "ux", "uy", "uz", *lows, F.explode(covered_cells(half, wide)).alias("cell"))
+    side = lambda p: cells.select(*KEY, "cell", *[F.col(c).alias(f"{p}_{c}") for c in ("vertex_id", "value", "span", "nearest", "ux", "uy", "uz", "lox", "loy", "loz")])
+    met = side("a").join(side("b").hint("merge"), [*KEY, "cell"]).where("a_vertex_id < b_vertex_id")
+    for axis, n in zip("xyz", "ijk", strict=True):  # of the cells that two saddles share, they meet in the first
+        met = met.where(F.col(f"cell.{n}") == F.greatest(F.col(f"a_lo{axis}"), F.col(f"b_lo{axis}")))
+    barrier = F.abs(F.col("a_value") - F.col("b_value")) / F.greatest("a_span", "b_span", F.lit(1e-12))
+    met = met.withColumn("barrier", barrier).where(F.col("barrier") <= barrier_tolerance)
+    met = met.withColumn("separation_deg", V.separation_deg(V.vec("a_u"), V.vec("b_u"))).where(F.col("separation_deg").between(1e-9, limit))
+    near = met.where(~F.coalesce(F.least("a_nearest", "b_nearest") < CORE_RATIO * F.col("separation_deg"), F.lit(False)))
+    near = written(near.select(*KEY, "a_vertex_id", "b_vertex_id", "separation_deg", "barrier", *[f"{p}_u{n}" for p in "ab" for n in "xyz"]))
+    # an extremum that is 1.8 separations from both lies between them only where the margin is the greater part
+    close = near.where(F.col("separation_deg") <= MIDPOINT_MARGIN_DEG / (CORE_RATIO - 1) + 1e-6)
+    close = close.select(*KEY, "a_vertex_id", "b_vertex_id", "separation_deg", *rings.named(V.unit(V.plus(V.vec("a_u"), V.vec("b_u"))), "u"))
+    wide = (MIDPOINT_MARGIN_DEG / (CORE_RATIO - 1) / 2 + MIDPOINT_MARGIN_DEG) * pi / 180 + 1e-6
+    at = extrema.withColumn("cell", F.struct(*[F.floor(F.col(f"e{n}") / CELL).alias(k) for n, k in zip("xyz", "ijk", strict=True)]))
+    between = V.separation_deg(V.vec("u"), V.vec("e")) < F.col("separation_deg") / 2 + MIDPOINT_MARGIN_DEG
+    blocked = _cells(close, wide).join(at.hint("merge"), [*KEY, "cell"]).where(between).select(*KEY, "a_vertex_id", "b_vertex_id").distinct()
+    free = near.join(blocked, [*KEY, "a_vertex_id", "b_vertex_id"], "left_anti").dropDuplicates([*KEY, "a_vertex_id", "b_vertex_id"])
     return free.select(*KEY, F.col("a_vertex_id").alias("a"), F.col("b_vertex_id").alias("b"), "separation_deg", "barrier")
 
 
+def nearest_extremum(saddles: DataFrame, extrema: DataFrame, limit_deg: float) -> DataFrame:
+    """(mesh_id, field, vertex_id, nearest): degrees from each saddle to the nearest extremum of its mesh and field; saddles without one within ``limit_deg`` have no row.
+
+    Saddles look nearby first and only those that find none look as far as the limit, so
+    a dense mesh is not measured against all its extrema.
+    """
+    left = saddles.select(*KEY, "vertex_id", "ux", "uy", "uz")
+    furthest = 2 * sin(min(limit_deg * pi / 180, pi) / 2) * (1 + 1e-9)
+    found = []
+    for radius in (furthest / 32, furthest):
+        side = 8 * radius  # most of the balls lie in one cell
+        at = extrema.select("*", F.struct(*[F.floor(F.col(f"e{n}") / side).alias(k) for n, k in zip("xyz", "ijk", strict=True)]).alias("cell"))
+        met = left.withColumn("cell", F.explode(covered_cells(F.lit(radius), side))).join(at.hint("merge"), [*KEY, "cell"])
+        reached = 2 * degrees(asin(min(1.0, radius / 2)))
+        got = written(met.groupBy(*KEY, "vertex_id").agg(F.min(V.separation_deg(V.vec("u"), V.vec("e"))).alias("nearest")).where(F.col("nearest") <= reached))
+        found.append(got)
+        left = left.join(got.hint("merge"), [*KEY, "vertex_id"], "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
 def saddle_pairs(candidates: DataFrame) -> DataFrame:
     """(mesh_id, field, a, b, separation_deg): candidates taken tightest first, each saddle once."""
     node = lambda c: F.struct("mesh_id", "field", F.col(c).alias("v")).alias(c)
@@ -188,7 +213,7 @@ def flanking_saddles(cores: DataFrame, saddles: DataFrame, least: float, most: f
     c = _cells(c, most)
     s = saddles.select(*KEY, F.col("id").alias("saddle_id"), "value", *[F.col(f"u{n}").alias(f"s{n}") for n in "xyz"])
     s = s.withColumn("cell", F.struct(*[F.floor(F.col(f"s{n}") / 0.25).alias(k) for n, k in zip("xyz", "ijk", strict=True)]))
-    near = c.join(s, [*KEY, "cell"]).withColumn("theta", V.angle(V.vec("u"), V.vec("s"))).where(F.col("theta").between(least, most))
+    near = c.join(s.hint("merge"), [*KEY, "cell"]).withColumn("theta", V.angle(V.vec("u"), V.vec("s"))).where(F.col("theta").between(least, most))
     t1, _ = V.tangent_basis(V.vec("u"))
     near = near.select("*", *rings.named(t1, "t"))
     near = near.select("*", *rings.named(V.cross(V.vec("u"), V.vec("t")), "w"))
@@ -217,9 +242,9 @@ def star_metrics(flanks: DataFrame, spans: DataFrame, fold: int) -> DataFrame:
         F.greatest(F.max("value"), F.first("core_value")).alias("hi"), F.least(F.min("value"), F.first("core_value")).alias("lo"),
     ).where(F.col("n") == fold)
     side = lambda p: near.select(*who, F.col("rank").alias(f"{p}rank"), *[F.col(f"s{n}").alias(f"{p}{n}") for n in "xyz"])
-    between = side("a").join(side("b"), who).where("arank < brank")  # at most fold (fold - 1) / 2 pairs of a core
+    between = side("a").join(side("b").hint("merge"), who).where("arank < brank")  # at most fold (fold - 1) / 2 pairs of a core
     widest = between.groupBy(*who).agg(F.max(V.angle(V.vec("a"), V.vec("b"))).alias("widest"))
-    got = arms.join(widest, who, "left").join(spans, KEY)
+    got = arms.join(widest.hint("merge"), who, "left").join(spans, KEY)
     barrier = F.col("hi") - F.col("lo")
     return got.select(
         *who, F.degrees(F.greatest("reach", F.coalesce("widest", F.lit(0.0)))).alias("span_deg"), barrier.alias("barrier"),

@@ -189,3 +189,27 @@ def test_a_part_sphere_s_points_are_not_sent_through_the_driver(spark, tmp_path)
     finally:
         plans.cut_lineage = whole
     assert "strategy=merge" in seen[0].splitlines()[1] + seen[0].splitlines()[0]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_saddle_pairs_meet_extrema_without_a_wide_search(spark, monkeypatch, offset):
+    rng = random.Random(3)
+    place = lambda spread: tuple(c / math.sqrt(sum(x * x for x in p)) for p in [(1.0, rng.gauss(0, spread), rng.gauss(0, spread))] for c in p)
+    pts = [(i, "saddle" if i % 4 else "maximum", offset + rng.random(), *place(0.02 if i < 60 else 0.4)) for i in range(150)]
+    reaches = []
+    cells = catastrophe._cells
+    monkeypatch.setattr(catastrophe, "_cells", lambda df, reach: reaches.append(reach) or cells(df, reach))
+    points = spark.createDataFrame([("m", "f", *p) for p in pts], "mesh_id string, field string, vertex_id long, cp_type string, value double, ux double, uy double, uz double")
+    spans = spark.createDataFrame([("m", "f", 1.0)], "mesh_id string, field string, span double")
+    got = {(r.a, r.b) for r in catastrophe.saddle_pair_candidates(points, spans, 1.0, 0.2).collect()}
+    deg = lambda p, q: math.degrees(apart(p, q))
+    want = set()
+    for p, q in combinations([p for p in pts if p[1] == "saddle"], 2):
+        sep = deg(p[3:], q[3:])
+        mid = [x + y for x, y in zip(p[3:], q[3:])]
+        mid = tuple(x / math.sqrt(sum(y * y for y in mid)) for x in mid)
+        free = all(min(deg(p[3:], e[3:]), deg(q[3:], e[3:])) >= 1.8 * sep and deg(mid, e[3:]) >= sep / 2 + 1.5 for e in pts if e[1] != "saddle")
+        if 1e-9 <= sep <= 16 and abs(p[2] - q[2]) <= 0.2 and free:
+            want.add((p[0], q[0]))
+    assert got == want and want
+    assert max(reaches) < 0.2  # radians: no pair is put into the hundreds of cells about it
