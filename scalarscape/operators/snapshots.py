@@ -139,8 +139,8 @@ def metric_diff(saved: DataFrame, computed: DataFrame, key: str) -> DataFrame:
     """
     section = F.substring_index("path", ".", 1)
     have = computed.select(key, section.alias("section")).distinct()
-    left = saved.withColumn("section", section).join(have, [key, "section"], "left_semi").select(key, "path", F.col("value").alias("saved"))
-    both = left.join(computed.select(key, "path", F.col("value").alias("computed")), [key, "path"], "left")
+    left = saved.withColumn("section", section).join(have.hint("merge"), [key, "section"], "left_semi").select(key, "path", F.col("value").alias("saved"))
+    both = left.join(computed.select(key, "path", F.col("value").alias("computed")).hint("merge"), [key, "path"], "left")
     return both.withColumn("matches", leaf_matches(F.col("saved"), F.col("computed")))
 
 
@@ -149,7 +149,7 @@ def drift_against_previous(snapshots: DataFrame) -> DataFrame:
     at = snapshots.select("snapshot_id", "dataset", F.struct("received_at", "snapshot_id").alias("_at"), F.date_trunc("day", F.col("received_at").cast("timestamp")).alias("_day"))
     pairs = carry_forward(at, ["dataset"], "_at", F.col("_day"), {"previous": F.col("snapshot_id")}).select("snapshot_id", "previous").where("previous is not null")
     leaves = metric_leaves(snapshots)
-    earlier = pairs.join(leaves.withColumnRenamed("snapshot_id", "previous"), "previous").select("snapshot_id", "path", "value")
+    earlier = pairs.join(leaves.withColumnRenamed("snapshot_id", "previous").hint("merge"), "previous").select("snapshot_id", "path", "value")
     return metric_diff(earlier, leaves, "snapshot_id")
 
 

@@ -46,7 +46,7 @@ def carry_forward(
         *[F.last(f"_tail_{name}", ignorenulls=True).over(outer).alias(f"_carry_{name}") for name in states],
     )
     condition = [F.col(f"w.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_blk"]]
-    joined = within.alias("w").join(carried.alias("c"), condition, "left")
+    joined = within.alias("w").join(carried.alias("c").hint("merge"), condition, "left")
     return joined.select(
         *[F.col(f"w.{c}") for c in df.columns],
         *[F.coalesce(F.col(f"w._in_{name}"), F.col(f"c._carry_{name}")).alias(name) for name in states],

@@ -117,3 +117,11 @@ def test_centres_of_every_field(spark, name):
     got = [(r.field, r.ring_id if name == "ring_frames" else int(str(r.entity_id).removeprefix("SAD_"))) for r in df.collect()]
     assert {f for f, _ in got} >= FIELDS - {"price"}  # the smallest price field has no saddle
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_leaves_are_not_sent_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, "d", i, '{"g": {"c": 1, "x": 2}}') for i in range(3)], "snapshot_id long, dataset string, received_at int, derived_metrics string").write.parquet(str(tmp_path / "s"))
+    leaves = snapshots.metric_leaves(spark.read.parquet(str(tmp_path / "s")))
+    diff = snapshots.metric_diff(leaves, leaves.withColumnRenamed("value", "v").withColumnRenamed("v", "value"), "snapshot_id")
+    assert "Broadcast" not in diff._jdf.queryExecution().executedPlan().toString()  # a file's size says little about its leaves
+    assert diff.count() == 6 and diff.where("not matches").count() == 0
