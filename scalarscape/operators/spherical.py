@@ -240,8 +240,8 @@ def radial_slope(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pit
     unit = V.unit(V.vec(""))
     points = vertices.select("mesh_id", "vertex_id", *[u.alias(f"v{n}") for u, n in zip(unit, "xyz", strict=True)])
     points = points.withColumn("cell", F.struct(*[F.floor(F.col(f"v{n}") / cell).alias(k) for n, k in zip("xyz", "ijk", strict=True)]))
-    near = spread.join(points, ["mesh_id", "cell"]).withColumn("theta", V.angle(V.vec("u"), V.vec("v"))).where("theta <= broad")
-    valued = near.join(fields, ["mesh_id", "field", "vertex_id"]).withColumn("ring", F.col("theta").between(F.col("inner"), F.col("outer")))
+    near = spread.join(points.hint("merge"), ["mesh_id", "cell"]).withColumn("theta", V.angle(V.vec("u"), V.vec("v"))).where("theta <= broad")
+    valued = near.join(fields.hint("merge"), ["mesh_id", "field", "vertex_id"]).withColumn("ring", F.col("theta").between(F.col("inner"), F.col("outer")))
     who = ["mesh_id", "field", "entity_id"]
     enough = valued.groupBy(*who).agg((F.count_if("ring") >= 3).alias("narrow"))
     used = valued.join(enough, who).where("ring or not narrow")
