@@ -236,9 +236,10 @@ def excision_branches(s, d):
     SELECT * FROM raw UNION ALL SELECT mesh_id, field, 'E-SAD_' || cluster_id, round(ux, 4) + 0.0, round(uy, 4) + 0.0, round(uz, 4) + 0.0, (1 - local_euler_index)::INT, round(angular_radius_rad, 4) FROM de WHERE decision = 'E-SAD'""")
 def launch_requests(s, d):
     """Saddles that are shown after the reduction of clusters, effective ones included."""
-    groups, units, reduced = _reduced(s, d)
+    points, groups, units = _micro(s, d)
+    reduced = clustering.reduced_units(units, _polarity(s, d, units, "cluster_id"), "cluster_id")
     hidden = cut_lineage(clustering.hidden_vertices(groups, units, reduced))
-    saddles = _points(s, d).where("cp_type = 'saddle'").select("mesh_id", "field", "vertex_id", "multiplicity", *[F.col(n).alias(f"u{n}") for n in "xyz"])
+    saddles = points.where("cp_type = 'saddle'").select("mesh_id", "field", "vertex_id", "multiplicity", *[F.col(n).alias(f"u{n}") for n in "xyz"])
     whole = reduced.where("decision = 'E-SAD'").join(units, ["mesh_id", "field", "cluster_id"]).withColumnRenamed("cluster_id", "unit_id")
     return rounded(catastrophe.launch_requests(saddles, hidden, whole, PITCH), 4)
 

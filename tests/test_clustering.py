@@ -213,3 +213,14 @@ def test_saddle_pairs_meet_extrema_without_a_wide_search(spark, monkeypatch, off
             want.add((p[0], q[0]))
     assert got == want and want
     assert max(reaches) < 0.2  # radians: no pair is put into the hundreds of cells about it
+
+
+def test_launch_requests_find_the_points_once(spark, tmp_path, monkeypatch):
+    from scalarscape.plans import clusters as plans
+
+    spark.createDataFrame([(i, float(i * 7 % 11)) for i in range(100)], "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i, 1.0, float(i * 5 % 13)) for i in range(100)], "l_partkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    calls, points = [], plans._points
+    monkeypatch.setattr(plans, "_points", lambda s, d: calls.append(d) or points(s, d))
+    assert plans.launch_requests(spark, str(tmp_path)).count() > 0
+    assert len(calls) == 1
