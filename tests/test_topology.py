@@ -64,15 +64,16 @@ def test_frames_need_no_second_look_at_the_samples(spark):
     assert "Join" not in frames._jdf.queryExecution().executedPlan().toString()
 
 
-def test_fields_of_one_mesh_are_gathered_once(spark, tmp_path):
+@pytest.mark.parametrize("tie", ["rank", "none"])
+def test_fields_of_one_mesh_are_gathered_once(spark, tmp_path, tie):
     two = field(spark, [0.01, -0.01, 0.02, -0.02, 1, -1]).unionByName(field(spark, [1, 1.01, -1, -1.01, 0, 0.001], "g")).unionByName(field(spark, [1, 2, 3, 4, None, 5], "h"))
     for name, df in (("t", triangles(spark, FACES)), ("f", two)):
         df.write.parquet(str(tmp_path / name))
     t, two = spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "f"))
-    cps = morse.critical_points(t, two)
+    cps = morse.critical_points(t, two, tie)
     plan = cps._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan  # corners are many times their file's size: none go through the driver, however small that is
-    apart = [morse.critical_points(t, two.where(two.field == n)) for n in "fgh"]
+    apart = [morse.critical_points(t, two.where(two.field == n), tie) for n in "fgh"]
     assert sorted(map(tuple, cps.collect())) == sorted(tuple(r) for df in apart for r in df.collect())
 
 
