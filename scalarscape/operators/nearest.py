@@ -200,7 +200,7 @@ def _sought(samples: DataFrame, points: DataFrame, key: list[str], k: int, boxes
     held = points.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
     pieces = samples.groupBy(*at).agg(F.count(F.lit(1)).alias("asked")).join(held.hint("merge"), at).select(*at, F.ceil(F.col("asked") / (PIECE + F.col("n") / 2)).cast("int").alias("pieces"))
     group, n = [*at, "piece"], partitions_for(spark)
-    s = samples.join(pieces.hint("merge"), at).withColumn("piece", F.pmod(F.xxhash64(*key), F.col("pieces")).cast("int")).drop("pieces")
+    s = samples.join(pieces.hint("merge"), at).withColumn("piece", F.pmod(F.xxhash64(*[c for c in key if c != "k"]), F.col("pieces")).cast("int")).drop("pieces")
     p = points.join(pieces.hint("merge"), at).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
     p = p.select(*group, "vertex_id", *[F.col(f"u{m}").alias(f"v{m}") for m in "xyz"], *[c for c in points.columns if c == "own"])
     valued = "own" in p.columns
@@ -243,16 +243,22 @@ def _sought(samples: DataFrame, points: DataFrame, key: list[str], k: int, boxes
     return s.repartition(n, *group).groupBy(*group).cogroup(p.repartition(n, *group).groupBy(*group)).applyInArrow(seek, out)
 
 
-def _values(own: pa.MapArray, fields: pa.ChunkedArray, row: np.ndarray, found: np.ndarray) -> pa.Array:
-    """The values of each row's field at the vertices found, null where ``own`` lacks them."""
+def field_values(own: pa.MapArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The fields of a column of maps; by field and row whether a map has it, and its value. One more field, the last, is in no map."""
     flat = lambda x: x.to_numpy(zero_copy_only=False)
     starts, keys = flat(own.offsets), own.keys.dictionary_encode()
     names, entries = keys.dictionary.to_pylist(), slice(starts[0], starts[-1])
-    code, vertex = flat(keys.indices)[entries], np.repeat(np.arange(len(own)), np.diff(starts))
+    code, row = flat(keys.indices)[entries], np.repeat(np.arange(len(own)), np.diff(starts))
     held, value = np.zeros((len(names) + 1, len(own)), dtype=bool), np.zeros((len(names) + 1, len(own)))
-    held[code, vertex] = True
-    value[code, vertex] = flat(own.items.cast(pa.float64()))[entries]
+    held[code, row] = True
+    value[code, row] = flat(own.items.cast(pa.float64()))[entries]
+    return names, held, value
+
+
+def _values(own: pa.MapArray, fields: pa.ChunkedArray, row: np.ndarray, found: np.ndarray) -> pa.Array:
+    """The values of each row's field at the vertices found, null where ``own`` lacks them."""
+    names, held, value = field_values(own)
     asked = fields.combine_chunks().dictionary_encode()
     to = np.array([names.index(f) if f in names else len(names) for f in asked.dictionary.to_pylist()] + [len(names)])
-    at = to[flat(asked.indices.fill_null(len(to) - 1))][row]
+    at = to[asked.indices.fill_null(len(to) - 1).to_numpy(zero_copy_only=False)][row]
     return pa.array(value[at, found], mask=~held[at, found])

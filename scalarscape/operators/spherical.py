@@ -233,9 +233,7 @@ def radial_slope(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pit
     mean less the inner half's agrees in sign, 0.5 if the slope is nil, else 0.7; 0.8 if
     a half is empty; fewer than two vertices give (0, 0). Vertices meet centres by cells.
     """
-    inner = F.greatest(F.col("radius"), F.lit(pitch))
-    placed = centres.withColumn("inner", inner).withColumn("outer", F.col("inner") + 2 * pitch)
-    placed = placed.withColumn("broad", F.greatest(F.col("outer") * 1.5, F.col("inner") + 0.05))
+    placed = annulus(centres, pitch)
     spread = placed.withColumn("cell", F.explode(covered_cells(F.col("broad") + 1e-9, cell)))
     unit = V.unit(V.vec(""))
     points = vertices.select("mesh_id", "vertex_id", *[u.alias(f"v{n}") for u, n in zip(unit, "xyz", strict=True)])
@@ -253,6 +251,17 @@ def radial_slope(centres: DataFrame, vertices: DataFrame, fields: DataFrame, pit
         F.avg(F.when(F.col("theta") <= F.col("middle") + 1e-9, F.col("value"))).alias("a"),
         F.avg(F.when(F.col("theta") > F.col("middle") + 1e-9, F.col("value"))).alias("b"),
     )
+    return slope_columns(got, who)
+
+
+def annulus(centres: DataFrame, pitch: float) -> DataFrame:
+    """``centres`` with the radii between which their slope is taken, and the broad one where there are too few vertices."""
+    placed = centres.withColumn("inner", F.greatest(F.col("radius"), F.lit(pitch))).withColumn("outer", F.col("inner") + 2 * pitch)
+    return placed.withColumn("broad", F.greatest(F.col("outer") * 1.5, F.col("inner") + 0.05))
+
+
+def slope_columns(got: DataFrame, who: list[str]) -> DataFrame:
+    """(who, n, slope, confidence) of n, the sample covariance, the population variance and the means of the inner and the outer half."""
     slope = F.when(F.col("n") < 2, 0.0).when(F.col("var") < 1e-12, 0.0).otherwise(F.col("cov") / F.col("var"))
     diff = F.col("b") - F.col("a")
     confidence = (

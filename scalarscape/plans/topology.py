@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalarscape.operators import mesh, morse, rings, spherical
+from scalarscape.operators import mesh, morse, rings, slopes, spherical
 from scalarscape.plans import carriers as C
 from scalarscape.session import table
 
@@ -278,7 +278,7 @@ def ring_idw(s, d):
     SELECT 'part' AS mesh_id, field, entity_id, n, round(sl, 1) AS slope, CASE WHEN df IS NULL THEN 0.8 WHEN abs(sl) < 1e-9 THEN 0.5 WHEN (df > 0 AND sl > 0) OR (df < 0 AND sl < 0) THEN 0.95 ELSE 0.7 END::DOUBLE AS confidence FROM g""")
 def radial_slopes(s, d):
     centres = _centres(s, d).select("mesh_id", "field", F.col("ring_id").alias("entity_id"), "ux", "uy", "uz", F.lit(0.1).alias("radius"))
-    return spherical.radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1).withColumn("slope", F.round("slope", 1) + 0.0)
+    return slopes.dense_radial_slope(centres, C.part_vertices(s, d), C.part_fields(s, d), 0.1).withColumn("slope", F.round("slope", 1) + 0.0)
 
 
 def _clusters(s, d) -> DataFrame:

@@ -4,7 +4,7 @@ from math import acos
 
 import pytest
 
-from scalarscape.operators import nearest, rings
+from scalarscape.operators import catastrophe, nearest, rings, slopes, spherical
 
 
 def sphere(spark, n, mesh="part"):
@@ -40,3 +40,25 @@ def test_pairs_of_samples_and_vertices_are_no_rows(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Generate explode(cells" not in plan
     assert got.count() == 90 and got.where("abs(value - 1) > 1e-12").count() == 0
+
+
+def test_dense_slopes_are_the_slopes_of_every_pair(spark):
+    points = sphere(spark, 400)
+    fields = points.selectExpr("mesh_id", "explode(array('f', 'g')) field", "vertex_id", "if(vertex_id % 7 = 0, null, sin(vertex_id)) value").where("value is not null")
+    centres = points.selectExpr("mesh_id", "if(vertex_id % 2 = 0, 'f', 'g') field", "vertex_id entity_id", "x / 2 ux", "y / 2 uy", "z / 2 uz", "0.1D + vertex_id % 3 * 0.05D radius")
+    rows = lambda df: {r.entity_id: tuple(r) for r in df.collect()}
+    want, got = (rows(f(centres, points, fields, 0.1)) for f in (spherical.radial_slope, slopes.dense_radial_slope))
+    assert want.keys() == got.keys() and len(want) > 300
+    for key, r in want.items():
+        assert got[key][:4] == r[:4] and got[key][4] == pytest.approx(r[4], abs=1e-9, rel=1e-9) and got[key][5] == r[5]
+    plan = slopes.dense_radial_slope(centres, points, fields, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_nudged_centres_sum_bins_side_by_side(spark):
+    points = sphere(spark, 400)
+    fields = points.selectExpr("mesh_id", "'f' field", "vertex_id", "x * x - y * y + 0.3 * x value")
+    centres = spark.createDataFrame([("part", "f", 1, 0.6, 0.0, 0.8)], "mesh_id string, field string, entity_id long, ux double, uy double, uz double")
+    got = catastrophe.nudged(centres, points, fields, 0.2, 2, 0.1)
+    assert "explode(sequence(1, 8" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 1 and 0 <= got.first().energy <= 1
