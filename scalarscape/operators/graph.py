@@ -38,7 +38,7 @@ def flat_pointers(pointers: DataFrame) -> DataFrame:
     now = written(pointers.select("node", F.col("up").alias("root")))
     while True:
         step = lambda c, n: now.select(F.col("node").alias(c), F.col("root").alias(n))
-        nxt = now.join(step("root", "second"), "root", "left").join(step("second", "third"), "second", "left")
+        nxt = now.join(step("root", "second").hint("merge"), "root", "left").join(step("second", "third").hint("merge"), "second", "left")
         moved = F.col("second").isNotNull() & (F.col("second") != F.col("root"))
         nxt = written(nxt.select("node", F.coalesce("third", "second", "root").alias("root"), moved.alias("_moved")))
         now = nxt.select("node", "root")

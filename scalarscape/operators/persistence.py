@@ -23,13 +23,13 @@ def _minima_pairs(triangles: DataFrame, fields: DataFrame) -> DataFrame:
     edges = unique_edges(triangles).select("mesh_id", "u", "v")
     both = edges.unionByName(edges.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v")))
     height = fields.where("value is not null").select(*KEY, "vertex_id", F.struct(F.col("value").alias("f"), F.col("vertex_id").alias("i")).alias("h"))
-    near = both.join(height.withColumnRenamed("vertex_id", "u").withColumnRenamed("h", "hu"), ["mesh_id", "u"])
-    near = written(near.join(height.withColumnRenamed("vertex_id", "v").withColumnRenamed("h", "hv"), [*KEY, "v"]))
+    near = both.join(height.withColumnRenamed("vertex_id", "u").withColumnRenamed("h", "hu").hint("merge"), ["mesh_id", "u"])
+    near = written(near.join(height.withColumnRenamed("vertex_id", "v").withColumnRenamed("h", "hv").hint("merge"), [*KEY, "v"]))
     node = lambda c: F.struct("mesh_id", "field", c.alias("h"))
     down = near.groupBy(*KEY, "hu").agg(F.min("hv").alias("hv")).select(node(F.col("hu")).alias("node"), node(F.least("hu", "hv")).alias("up"))
     basin = flat_pointers(down)
     at = lambda c: basin.select(F.col("node.mesh_id"), F.col("node.field"), F.col("node.h").alias(f"h{c}"), F.col("root.h").alias(f"m{c}"))
-    passes = near.where("hu < hv").join(at("u"), [*KEY, "hu"]).join(at("v"), [*KEY, "hv"]).where("mu <> mv")
+    passes = near.where("hu < hv").join(at("u").hint("merge"), [*KEY, "hu"]).join(at("v").hint("merge"), [*KEY, "hv"]).where("mu <> mv")
     graph = passes.select(*KEY, F.least("mu", "mv").alias("a"), F.greatest("mu", "mv").alias("b"), F.col("hv").alias("w"))
     graph = written(graph.groupBy(*KEY, "a", "b").agg(F.min("w").alias("w")))
     minima = written(basin.select("root.mesh_id", "root.field", F.col("root.h").alias("m")).distinct())
@@ -43,10 +43,10 @@ def _minima_pairs(triangles: DataFrame, fields: DataFrame) -> DataFrame:
         dead = written(dead.unionByName(die.select(*KEY, "m", "w")))
         into = flat_pointers(die.select(node(F.col("m")).alias("node"), node(F.col("o")).alias("up")))
         heir = lambda c: into.select("node.mesh_id", "node.field", F.col("node.h").alias(c), F.col("root.h").alias(f"n{c}"))
-        moved = graph.join(heir("a"), [*KEY, "a"], "left").join(heir("b"), [*KEY, "b"], "left")
+        moved = graph.join(heir("a").hint("merge"), [*KEY, "a"], "left").join(heir("b").hint("merge"), [*KEY, "b"], "left")
         moved = moved.select(*KEY, F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "w").where("a <> b")
         graph = written(moved.groupBy(*KEY, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")))
-    return minima.join(dead, [*KEY, "m"], "left").select(*KEY, "m", "w")
+    return minima.join(dead.hint("merge"), [*KEY, "m"], "left").select(*KEY, "m", "w")
 
 
 def persistence_pairs(triangles: DataFrame, fields: DataFrame) -> DataFrame:

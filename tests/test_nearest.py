@@ -4,7 +4,7 @@ from math import acos
 
 import pytest
 
-from scalarscape.operators import catastrophe, nearest, rings, slopes, spherical
+from scalarscape.operators import catastrophe, graph, nearest, persistence, rings, slopes, spherical
 
 
 def sphere(spark, n, mesh="part"):
@@ -62,3 +62,19 @@ def test_nudged_centres_sum_bins_side_by_side(spark):
     got = catastrophe.nudged(centres, points, fields, 0.2, 2, 0.1)
     assert "explode(sequence(1, 8" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 1 and 0 <= got.first().energy <= 1
+
+
+def test_pointers_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, write = [], graph.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(graph, "written", seen)
+    monkeypatch.setattr(persistence, "written", seen)
+    faces = [(4, 0, 2), (4, 2, 1), (4, 1, 3), (4, 3, 0), (5, 2, 0), (5, 1, 2), (5, 3, 1), (5, 0, 3)]
+    triangles = spark.createDataFrame([("m", i, *f) for i, f in enumerate(faces)], "mesh_id string, tri_id long, a long, b long, c long")
+    fields = spark.createDataFrame([("m", "f", i, float(v)) for i, v in enumerate([3, 3, 0, 1, 2, 2])], "mesh_id string, field string, vertex_id long, value double")
+    assert persistence.persistence_pairs(triangles, fields).count() == 4
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
