@@ -86,5 +86,5 @@ def persistence_filter(cps: DataFrame, pairs: DataFrame, percent: float) -> Data
     saddles = pairs.where("saddle_id is not null").groupBy(*KEY, F.col("saddle_id").alias("vertex_id")).agg(F.max("persistence").alias("persistence"))
     spans = pairs.groupBy(*KEY).agg(F.max("persistence").alias("span"))
     known = own.unionByName(saddles.withColumn("cp_type", F.lit("saddle")))
-    joined = cps.join(known, [*KEY, "cp_type", "vertex_id"], "left").join(spans, KEY)
+    joined = cps.join(known.hint("merge"), [*KEY, "cp_type", "vertex_id"], "left").join(spans, KEY)
     return joined.where((F.coalesce("persistence", F.lit(0.0)) >= percent / 100 * F.col("span")) | F.lit(percent == 0)).drop("span")
