@@ -237,7 +237,7 @@ def star_metrics(flanks: DataFrame, spans: DataFrame, fold: int) -> DataFrame:
     order = Window.partitionBy(*who).orderBy("phi", "saddle_id")
     first = F.first("phi").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     gap = F.degrees(F.coalesce(F.lead("phi").over(order), first + 2 * pi) - F.col("phi"))
-    near = near.withColumn("deviation", F.abs(gap - 360.0 / fold))
+    near = written(near.withColumn("deviation", F.abs(gap - 360.0 / fold)))  # read three times
     arms = near.groupBy(*who).agg(
         F.count(F.lit(1)).alias("n"), F.avg("deviation").alias("gap_deviation_deg"), F.max("theta").alias("reach"),
         F.greatest(F.max("value"), F.first("core_value")).alias("hi"), F.least(F.min("value"), F.first("core_value")).alias("lo"),

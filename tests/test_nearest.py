@@ -78,3 +78,13 @@ def test_pointers_are_not_sent_through_the_driver(spark, monkeypatch):
     fields = spark.createDataFrame([("m", "f", i, float(v)) for i, v in enumerate([3, 3, 0, 1, 2, 2])], "mesh_id string, field string, vertex_id long, value double")
     assert persistence.persistence_pairs(triangles, fields).count() == 4
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_stars_find_their_nearest_flanks_once(spark, monkeypatch):
+    tables, write = [], catastrophe.written
+    monkeypatch.setattr(catastrophe, "written", lambda df: tables.append(write(df)) or tables[-1])
+    flanks = spark.createDataFrame([("m", "f", "c", f"s{i}", 0.1, 2.0 * i, 5.0, 4.0 + i, 0.1 * i, 0.0, 1.0) for i in range(3)], "mesh_id string, field string, core_id string, saddle_id string, theta double, phi double, core_value double, value double, sx double, sy double, sz double")
+    spans = spark.createDataFrame([("m", "f", 10.0)], "mesh_id string, field string, span double")
+    got = catastrophe.star_metrics(flanks, spans, 3)
+    assert len(tables) == 1 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.core_id, r.barrier) for r in got.collect()] == [("c", 2.0)]
