@@ -88,3 +88,14 @@ def test_stars_find_their_nearest_flanks_once(spark, monkeypatch):
     got = catastrophe.star_metrics(flanks, spans, 3)
     assert len(tables) == 1 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert [(r.core_id, r.barrier) for r in got.collect()] == [("c", 2.0)]
+
+
+def test_constellations_meet_their_members_by_merge(spark, tmp_path):
+    star = spark.createDataFrame([("m", "f", "c", 3, ["x", "y", "z"])], "mesh_id string, field string, core_id string, fold int, members array<string>")
+    rows = [("m", "f", n, float(i), 0.1 * i, 0.0, 1.0, -1) for i, n in enumerate("cxyz")]
+    spark.createDataFrame(rows, "mesh_id string, field string, id string, value double, ux double, uy double, uz double, local_euler_index int").write.parquet(str(tmp_path / "p"))
+    points = spark.read.parquet(str(tmp_path / "p"))
+    spans = spark.createDataFrame([("m", "f", 10.0)], "mesh_id string, field string, field_span double")
+    got = catastrophe.classified(star, points, points, spans, 0.02)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()  # a file's size says little about its rows
+    assert [(r.star_id, r.barrier) for r in got.collect()] == [("c", 3.0)]
