@@ -211,12 +211,16 @@ def string_units(points: DataFrame, groups: DataFrame, clusters: DataFrame, pitc
     placed = clusters.select(*KEY, "root", "cluster_id", "morphology", name.alias("node")).join(parts.withColumnRenamed("root", "corridor"), "node", "left")
     placed = cut_lineage(placed.select(*KEY, "root", "cluster_id", "morphology", F.coalesce("corridor", "node").alias("corridor")))
     sizes = placed.groupBy("corridor").agg(F.count(F.lit(1)).alias("n_clusters"), F.bool_and(F.col("morphology") == "string").alias("_strings"))
-    of_point = points.join(groups, [*KEY, "vertex_id"]).join(placed.select(*KEY, "root", "corridor"), [*KEY, "root"])
-    shapes = pooled_geometry(of_point, [*KEY, "corridor"]).join(sizes, "corridor")
-    several = (F.col("n_clusters") > 1) & (F.col("n_members") >= 3) & (F.col("aspect_ratio") >= least_aspect)
-    strings = cut_lineage(shapes.where(several | ((F.col("n_clusters") == 1) & F.col("_strings"))))
+    sizes = cut_lineage(sizes.where("n_clusters > 1 or _strings"))
+    in_corridor = placed.select(*KEY, "root", "corridor").join(sizes, "corridor")
+    shaped = pooled_columns(clusters)
+    lone = in_corridor.where("n_clusters = 1").join(clusters.select(*KEY, "root", *shaped), [*KEY, "root"])  # pooled alone a cluster is what it was
+    bridged = cut_lineage(in_corridor.where("n_clusters > 1").select(*KEY, "root", "corridor"))
+    of_point = points.join(groups.join(bridged, [*KEY, "root"]), [*KEY, "vertex_id"])
+    shapes = pooled_geometry(of_point, [*KEY, "corridor"]).join(sizes, "corridor").where((F.col("n_members") >= 3) & (F.col("aspect_ratio") >= least_aspect))
+    columns = [*KEY, "corridor", "n_clusters", *shaped]
+    strings = cut_lineage(shapes.select(*columns).unionByName(lone.select(*columns)))
     margin = margin_deg * pi / 180
-    shaped = [c for c in pooled_columns(strings) if c not in KEY]
     as_string = strings.select(
         *KEY, F.concat(F.lit("MS:"), "corridor").alias("unit_id"), F.lit("string").alias("kind"), "n_clusters", *shaped,
         F.greatest(F.col("max_major") + margin, F.lit(pitch)).alias("angular_radius_rad"),

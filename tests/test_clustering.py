@@ -224,3 +224,18 @@ def test_launch_requests_find_the_points_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(plans, "_points", lambda s, d: calls.append(d) or points(s, d))
     assert plans.launch_requests(spark, str(tmp_path)).count() > 0
     assert len(calls) == 1
+
+
+def test_only_bridged_clusters_are_pooled_again(spark, monkeypatch):
+    chain = [("f", 10 * c + i, "saddle" if i else "maximum", i, at(0.05 * i + 0.35 * c, 0.0)) for c in range(2) for i in range(4)]
+    lone = [("f", 100 + i, "saddle", i, at(2.0 + 0.05 * i, 2.0)) for i in range(5)]
+    df = points(spark, chain + lone)
+    groups = clustering.memberships(df, 0.1)
+    clusters = clustering.micro_clusters(df, 0.05, groups=groups)
+    pooled, whole = [], clustering.pooled_geometry
+    monkeypatch.setattr(clustering, "pooled_geometry", lambda members, group: pooled.append({r.vertex_id for r in members.collect()}) or whole(members, group))
+    units = {u.n_members: u for u in clustering.string_units(df, groups, clusters, 0.05).collect()}
+    assert pooled == [{v for _, v, *_ in chain}]
+    assert (units[8].kind, units[8].n_clusters, units[5].kind, units[5].n_clusters) == ("string", 2, "string", 1)
+    alone = next(c for c in clusters.collect() if c.n_members == 5)
+    assert (units[5].aspect_ratio, units[5].max_theta, units[5].local_euler_index) == (alone.aspect_ratio, alone.max_theta, -5)
