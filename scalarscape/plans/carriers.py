@@ -59,7 +59,7 @@ def part_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("vertex_id")).agg(
         F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_extendedprice"), 6).alias("line_price")
     )
-    wide = prices.join(lines, "vertex_id", "left")
+    wide = prices.join(lines.hint("merge"), "vertex_id", "left")
     names = ("price", "quantity", "line_price")
     rows = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in names])
     return wide.select(F.lit("part").alias("mesh_id"), "vertex_id", F.inline(rows)).where("value is not null")

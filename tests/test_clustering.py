@@ -226,6 +226,12 @@ def test_launch_requests_find_the_points_once(spark, tmp_path, monkeypatch):
     assert len(calls) == 1
 
 
+def part_tables(spark, folder, n):
+    spark.createDataFrame([(i, float(i * 7 % 11)) for i in range(n)], "p_partkey long, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(i, 1.0, float(i * 5 % 13)) for i in range(n)], "l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
 def test_only_bridged_clusters_are_pooled_again(spark, monkeypatch):
     chain = [("f", 10 * c + i, "saddle" if i else "maximum", i, at(0.05 * i + 0.35 * c, 0.0)) for c in range(2) for i in range(4)]
     lone = [("f", 100 + i, "saddle", i, at(2.0 + 0.05 * i, 2.0)) for i in range(5)]
@@ -239,3 +245,10 @@ def test_only_bridged_clusters_are_pooled_again(spark, monkeypatch):
     assert (units[8].kind, units[8].n_clusters, units[5].kind, units[5].n_clusters) == ("string", 2, "string", 1)
     alone = next(c for c in clusters.collect() if c.n_members == 5)
     assert (units[5].aspect_ratio, units[5].max_theta, units[5].local_euler_index) == (alone.aspect_ratio, alone.max_theta, -5)
+
+
+def test_untied_points_are_not_sent_through_the_driver(spark, tmp_path):
+    from scalarscape.plans import topology
+
+    plan = topology.morse_critical_points_untied(spark, part_tables(spark, tmp_path, 100))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # neither corners nor the sums of the lines, however small their files are
