@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scalarscape.functions import vector as V
-from scalarscape.session import cut_lineage
+from scalarscape.session import cut_lineage, written
 
 CELL = 0.25  # side of the cells that block near pairs, on the unit sphere
 KEY = ["mesh_id", "field"]
@@ -48,9 +48,11 @@ def near_pairs(clusters: DataFrame, gap: float) -> DataFrame:
     Each cluster is put into the cells its boundary, widened by half the gap, touches;
     two boundaries within the gap share a cell. So near pairs meet by an equi-join and
     the distant ones, nearly all of a mesh, are never formed. a_cluster_id < b_cluster_id.
+    The index and the compositions are given where ``clusters`` have the columns.
     """
     counts = ["n_maxima", "n_saddles", "n_minima", "total_saddle_index"]
-    keep = ["cluster_id", "ux", "uy", "uz", "px", "py", "pz", "semi_major_rad", "semi_minor_rad", "morphology", "local_euler_index", *counts]
+    keep = ["cluster_id", "ux", "uy", "uz", "px", "py", "pz", "semi_major_rad", "semi_minor_rad", "morphology"]
+    keep += [c for c in ("local_euler_index", *counts) if c in clusters.columns]
     reach = F.greatest("semi_major_rad", "semi_minor_rad", F.lit(0.0)) + gap / 2 + 1e-9
     one = clusters.select(*KEY, *keep, reach.alias("reach"))
     one = one.select("*", *[F.floor((F.col(f"u{m}") - F.col("reach")) / CELL).alias(f"lo{m}") for m in "xyz"])
@@ -61,11 +63,12 @@ def near_pairs(clusters: DataFrame, gap: float) -> DataFrame:
         joined = joined.where(F.col(f"cell.{n}") == F.greatest(F.col(f"a_lo{axis}"), F.col(f"b_lo{axis}")))
     ua, ub = V.vec("a_u"), V.vec("b_u")
     near = joined.withColumn("centroid_rad", V.angle(ua, ub)).where(F.col("centroid_rad") <= F.col("a_reach") + F.col("b_reach"))
-    near = cut_lineage(near)  # few are left; in one stage with what follows the generated code would grow too long
+    near = written(near)  # in one stage with what follows the generated code would grow too long; a cluster's columns repeat in its pairs, so the files are small
     reach_a = V.support_radius(ua, V.vec("a_p"), F.col("a_semi_major_rad"), F.col("a_semi_minor_rad"), ub)
     reach_b = V.support_radius(ub, V.vec("b_p"), F.col("b_semi_major_rad"), F.col("b_semi_minor_rad"), ua)
     measured = near.withColumn("gap_rad", F.col("centroid_rad") - reach_a - reach_b).where(F.col("gap_rad") <= gap)
-    named = [composition(*[F.col(f"{p}_{c}") for c in ("n_maxima", "n_saddles", "n_minima", "total_saddle_index")]).alias(f"{p}_composition") for p in "ab"]
+    whole = set(counts) <= set(keep)
+    named = [composition(*[F.col(f"{p}_{c}") for c in ("n_maxima", "n_saddles", "n_minima", "total_saddle_index")]).alias(f"{p}_composition") for p in "ab" if whole]
     return measured.select("*", *named).drop("cell", *[f"{p}_{c}" for p in "ab" for c in ("reach", "lox", "loy", "loz", *counts)])
 
 

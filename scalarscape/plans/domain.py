@@ -331,8 +331,9 @@ def macro_strings(s, d):
 
 @query()
 def corridor_colours(s, d):
-    links = spherical.bridge_links(_clusters(s, d), PITCH)
-    return graph.colours(links.select(F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b")))
+    told = table(s, d, "clusters").select("cluster_id", "mesh_id", "field", "ux", "uy", "uz", "px", "py", "pz", "semi_major_rad", "semi_minor_rad", "morphology", "recorded_at")
+    links = spherical.bridge_links(spherical.distinct_clusters(told), PITCH)
+    return graph.colours(links.select("mesh_id", "field", F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b")), apart=["mesh_id", "field"])
 
 
 def _member_points(s, d) -> DataFrame:

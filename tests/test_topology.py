@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +223,37 @@ def test_graph_operators(spark):
     assert graph.connected_groups(df.limit(0)).count() == 0
 
 
+def rounds_of_colours(edges, n_colours):
+    """The greedy colouring, node after node."""
+    beside = {}
+    for a, b in edges:
+        if a != b:
+            beside.setdefault(a, set()).add(b)
+            beside.setdefault(b, set()).add(a)
+    colour = {}
+    for n in sorted(beside, key=lambda n: (-len(beside[n]), n)):
+        taken = [colour[m] for m in beside[n] if m in colour]
+        colour[n] = min(range(n_colours), key=lambda c: (taken.count(c), c))
+    return colour
+
+
+@pytest.mark.parametrize("block", [1 << 22, 50])
+def test_colours_take_few_rounds_however_long_the_order_of_the_nodes(spark, monkeypatch, block):
+    rng = random.Random(5)
+    edges = [(f"m{i % 3}", f"{i % 3}n{rng.randrange(40)}", f"{i % 3}n{rng.randrange(40)}") for i in range(500)]
+    edges += [("path", f"p{i:03}", f"p{i + 1:03}") for i in range(120)] + [("m0", "0n1", None)]
+    df = spark.createDataFrame(edges, "mesh string, a string, b string")
+    monkeypatch.setattr(graph, "BLOCK", block)
+    tables, whole = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda t: tables.append(1) or whole(t))
+    want = rounds_of_colours([(a, b) for _, a, b in edges if b], 5)
+    assert {r.node: r.colour for r in graph.colours(df, 5, ["mesh"]).collect()} == want
+    assert len(tables) < 20  # the path alone has 119 nodes that wait for one another
+    if block > 50:
+        assert {r.node: r.colour for r in graph.colours(df, 5).collect()} == want
+        assert graph.colours(df.limit(0), 5, ["mesh"]).count() == 0
+
+
 def test_metadata(spark):
     zones = spark.createDataFrame(
         [("d", 0, "s", "FETRIANGLE", 5, 6, None, {"ZoneType": "AtomSphereData", "AtomNumber": "1", "AtomType": "H", "SphereRadius": "x"}),
