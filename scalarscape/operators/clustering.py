@@ -286,6 +286,12 @@ def stage_summary(units: DataFrame, reduced: DataFrame, unit: str = "unit_id") -
     )
 
 
+def hidden_counts(units: DataFrame, unit: str = "cluster_id") -> DataFrame:
+    """(mesh_id, field, unit, n_hidden) as in reduced_units. A polarity only tells which extremum replaces a unit of index 1, so none is needed."""
+    gone = (F.col("n_members") >= 2) & (F.col("local_euler_index") < 2)
+    return units.select(*KEY, unit, F.when(gone, F.col("n_members")).otherwise(0).alias("n_hidden"))
+
+
 def hidden_vertices(groups: DataFrame, clusters: DataFrame, reduced: DataFrame) -> DataFrame:
     """(mesh_id, field, vertex_id): the points of clusters that one effective point or none replaces."""
     gone = reduced.where("n_hidden > 0").select(*KEY, "cluster_id").join(clusters.select(*KEY, "cluster_id", "root"), [*KEY, "cluster_id"])

@@ -145,7 +145,8 @@ def micro_stage_reduction(s, d):
 @query(f"WITH RECURSIVE {_MICRO}, {_SLOPES}, {_DECIDED} SELECT src.mesh_id, src.field, src.vertex_id FROM src JOIN de USING (field, root) WHERE decision NOT IN ('SINGLE', 'IRREDUCIBLE')")
 def hidden_points(s, d):
     """Critical points that the reduction of their cluster hides."""
-    return clustering.hidden_vertices(*_reduced(s, d))
+    _, groups, units = _micro(s, d)
+    return clustering.hidden_vertices(groups, units, clustering.hidden_counts(units))
 
 
 # --- corridors of those clusters ----------------------------------------------------------------------------------------

@@ -247,6 +247,17 @@ def test_only_bridged_clusters_are_pooled_again(spark, monkeypatch):
     assert (units[5].aspect_ratio, units[5].max_theta, units[5].local_euler_index) == (alone.aspect_ratio, alone.max_theta, -5)
 
 
+def test_hidden_points_need_no_polarity(spark, tmp_path, monkeypatch):
+    from scalarscape.plans import clusters as plans
+
+    folder = part_tables(spark, tmp_path, 1500)
+    reduced = plans._reduced(spark, folder)
+    want = {tuple(r) for r in clustering.hidden_vertices(*reduced).collect()}
+    monkeypatch.setattr(plans, "_polarity", None)
+    assert {tuple(r) for r in plans.hidden_points(spark, folder).collect()} == want and want
+    assert sorted(clustering.hidden_counts(reduced[1]).collect()) == sorted(reduced[2].select("mesh_id", "field", "cluster_id", "n_hidden").collect())
+
+
 def test_untied_points_are_not_sent_through_the_driver(spark, tmp_path):
     from scalarscape.plans import topology
 
