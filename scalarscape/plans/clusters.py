@@ -183,7 +183,8 @@ _UNIT_SLOPES = _SLOPES.replace("cluster_id", "unit_id").replace("FROM mc", "FROM
 def stage_reduction(s, d):
     """The part sphere's fields after their corridors and clusters are reduced."""
     units = _units(s, d)
-    return clustering.stage_summary(units, clustering.reduced_units(units, _polarity(s, d, units, "unit_id")))
+    asked = units.where("local_euler_index = 1 and n_members >= 2")  # no other unit's polarity is asked
+    return clustering.stage_summary(units, clustering.reduced_units(units, _polarity(s, d, asked, "unit_id")))
 
 
 # --- the given clusters -------------------------------------------------------------------------------------------------

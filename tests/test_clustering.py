@@ -258,6 +258,19 @@ def test_hidden_points_need_no_polarity(spark, tmp_path, monkeypatch):
     assert sorted(clustering.hidden_counts(reduced[1]).collect()) == sorted(reduced[2].select("mesh_id", "field", "cluster_id", "n_hidden").collect())
 
 
+def test_stage_reduction_asks_for_the_polarity_that_decides(spark, tmp_path, monkeypatch):
+    from scalarscape.plans import clusters as plans
+
+    folder = part_tables(spark, tmp_path, 1500)
+    units = plans._units(spark, folder)
+    want = clustering.stage_summary(units, clustering.reduced_units(units, plans._polarity(spark, folder, units, "unit_id"))).collect()
+    asked, polarity = [], plans._polarity
+    monkeypatch.setattr(plans, "_polarity", lambda s, d, u, unit: asked.extend(u.collect()) or polarity(s, d, u, unit))
+    assert sorted(plans.stage_reduction(spark, folder).collect()) == sorted(want)
+    assert all(u.local_euler_index == 1 and u.n_members > 1 for u in asked)
+    assert len(asked) == units.where("local_euler_index = 1 and n_members > 1").count() < units.count()
+
+
 def test_untied_points_are_not_sent_through_the_driver(spark, tmp_path):
     from scalarscape.plans import topology
 
