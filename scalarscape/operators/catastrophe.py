@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
-from math import acos, asin, degrees, pi, sin
+from math import acos, asin, cos, degrees, pi, sin
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from scalarscape.operators.spherical import CELL, covered_cells
 from scalarscape.session import cut_lineage, discard, written
 
 KEY = ["mesh_id", "field"]
+AT_ONCE = 100_000  # cores of a mesh and field that one task works through
 PAIR_PITCHES, PAIR_FLOOR_DEG, CORE_RATIO, MIDPOINT_MARGIN_DEG = 5.0, 16.0, 1.8, 1.5
 
 
@@ -310,18 +313,34 @@ def tightest_ring(core: tuple[float, float, float], around: list[tuple[str, floa
     """Ids of the ``fold`` saddles that with the core span the least angle and that ``refuse`` does not turn down; ``around``: (id, degrees from the core, direction), nearest first.
 
     A ring's span is at least its farthest member's distance from the core, so saddles
-    farther than the best span found cannot be in a tighter ring and end the search.
+    farther than the best span found cannot be in a tighter ring and end the search, and
+    none of two members farther apart than that is looked at.
     """
-    best, chosen = None, None
-    for n in range(fold, len(around) + 1):
-        last = around[n - 1]
-        if best is not None and last[1] >= best:
+    best, chosen, known = None, None, {}
+
+    def far(i: int, j: int) -> float:
+        if (i, j) not in known:
+            known[i, j] = _apart(around[i][2], around[j][2])
+        return known[i, j]
+
+    def grow(ring: tuple[int, ...], start: int, span: float, last: int) -> None:
+        """Rings in the order of ``combinations``."""
+        nonlocal best, chosen
+        if len(ring) == fold - 1:
+            if not refuse([around[m][2] for m in (*ring, last)]):
+                best, chosen = span, [around[m][0] for m in (*ring, last)]
+            return
+        for i in range(start, last):
+            wide = max(span, around[i][1], far(i, last), *[far(m, i) for m in ring])
+            if best is None or wide < best:
+                grow((*ring, i), i + 1, wide, last)
+            if best is not None and best <= span:
+                return
+
+    for last in range(fold - 1, len(around)):
+        if best is not None and around[last][1] >= best:
             break
-        for others in combinations(around[: n - 1], fold - 1):
-            ring = [*others, last]
-            span = max([last[1], *[m[1] for m in others], *[_apart(a[2], b[2]) for a, b in combinations(ring, 2)]])
-            if (best is None or span < best) and not refuse([m[2] for m in ring]):
-                best, chosen = span, [m[0] for m in ring]
+        grow((), 0, around[last][1], last)
     return chosen
 
 
@@ -333,29 +352,95 @@ def constellations(cores: DataFrame, saddles: DataFrame, pairs: DataFrame, pitch
     claimed before. A core sees the free saddles from ``least_pitches`` to ``most_pitches``
     away. It takes the tightest four that bring its index to -3 and are not two pairs, else
     the tightest three that bring it to -2. Cores go in the order of the mean distance of
-    their three nearest saddles, ties by id. All cores that share no saddle with an
-    earlier undecided one decide in the same round.
+    their three nearest saddles, ties by id. Only cores of index 1 can take a ring. A mesh
+    and field of at most AT_ONCE of them is worked through by one task, core after core; of
+    larger ones all cores that share no saddle with an earlier undecided one decide in the
+    same round.
     """
     taken = pairs.select(*KEY, F.explode(F.array("a", "b")).alias("id"))
-    flanks = flanking_saddles(cores, saddles, least_pitches * pitch, most_pitches * pitch)
-    free = written(flanks.join(taken.withColumnRenamed("id", "core_id").hint("merge"), [*KEY, "core_id"], "left_anti"))
+    able = cut_lineage(cores.where("local_euler_index = 1").join(taken.hint("merge"), [*KEY, "id"], "left_anti"))
+    large = written(able.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > AT_ONCE).select(*KEY))
+    least, most, most_pair = least_pitches * pitch, most_pitches * pitch, max(PAIR_PITCHES * pitch * 180 / pi, PAIR_FLOOR_DEG)
+    found = [pairs.select(*KEY, F.lit(None).cast("string").alias("core_id"), F.lit(3).alias("fold"), F.array("a", "b").alias("members"))]
+    if large.isEmpty():
+        found.append(_stars_at_once(able, saddles, taken, least, most, most_pair, bimodal_ratio))
+    else:
+        few = F.broadcast(large)  # each stands for more than AT_ONCE cores
+        found.append(_stars_at_once(able.join(few, KEY, "left_anti"), saddles, taken, least, most, most_pair, bimodal_ratio))
+        found += _stars_in_rounds(able.join(few, KEY, "left_semi"), saddles, taken, least, most, most_pair, bimodal_ratio)
+    return reduce(DataFrame.unionByName, found)
+
+
+def star_of(chi: int, core: tuple[float, float, float], around: list[tuple[str, float, tuple[float, float, float]]], most_pair: float, ratio: float) -> tuple[int, list[str]] | None:
+    """The fold and the members that a core takes of the free saddles around it."""
+    for fold, target, refuse in ((4, -3, lambda ring: quad_is_two_pairs(ring, most_pair, ratio)), (3, -2, lambda ring: False)):
+        if chi - fold == target and (members := tightest_ring(core, around, fold, refuse)):
+            return fold, members
+    return None
+
+
+def _stars_at_once(cores: DataFrame, saddles: DataFrame, taken: DataFrame, least: float, most: float, most_pair: float, ratio: float) -> DataFrame:
+    """(mesh_id, field, core_id, fold, members) of the cores with a ring, by one task a mesh and field; pairs of cores and saddles are no rows."""
+    gone = taken.select(*KEY, "id", F.lit(True).alias("_gone")).distinct()
+    at = [*KEY, "id", "ux", "uy", "uz"]
+    seen = saddles.select(*at).join(gone.hint("merge"), [*KEY, "id"], "left").select(*at, F.lit(0).alias("chi"), F.coalesce("_gone", F.lit(False)).alias("gone"))
+    rows = cores.select(*at, F.col("local_euler_index").cast("int").alias("chi"), F.lit(False).alias("gone")).unionByName(seen)
+    whole = " and ".join(f"{c} is not null" for c in at)
+
+    def work(group: pa.Table) -> pa.Table:
+        chi, u = group.column("chi").to_numpy(), np.column_stack([group.column(f"u{n}").to_numpy() for n in "xyz"])
+        ids, gone = np.array(group.column("id").to_pylist(), dtype=object), group.column("gone").to_numpy()
+        own, other = np.flatnonzero(chi), np.flatnonzero(chi == 0)
+        got = list(_in_turn(ids[own], u[own], chi[own], ids[other], u[other], ~gone[other], least, most, most_pair, ratio))
+        key = [[group.column(c)[0].as_py()] * len(got) for c in KEY] if group.num_rows else [[], []]
+        columns = [*key, *([g[i] for g in got] for i in range(3))]
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, to, strict=True)], schema=to)
+
+    to = pa.schema([*[(c, pa.string()) for c in KEY], ("core_id", pa.string()), ("fold", pa.int32()), ("members", pa.list_(pa.string()))])
+    return rows.where(whole).groupBy(*KEY).applyInArrow(work, "mesh_id string, field string, core_id string, fold int, members array<string>")
+
+
+def _in_turn(cores: np.ndarray, at: np.ndarray, chi: np.ndarray, saddles: np.ndarray, where: np.ndarray, free: np.ndarray, least: float, most: float, most_pair: float, ratio: float) -> Iterator[tuple[str, int, list[str]]]:
+    """(core, fold, members) of the cores of one mesh and field that take a ring; changes ``free``."""
+
+    def flanks(i: int) -> tuple[np.ndarray, np.ndarray]:
+        near = np.flatnonzero(where @ at[i] >= cos(min(most, pi)) - 1e-9)
+        theta = np.arccos(np.clip(at[i, 0] * where[near, 0] + at[i, 1] * where[near, 1] + at[i, 2] * where[near, 2], -1.0, 1.0))
+        inside = (theta >= least) & (theta <= most)
+        return near[inside], theta[inside]
+
+    order = []
+    for i in range(len(cores)):
+        near, theta = flanks(i)
+        if free[near].sum() >= 3:
+            first = np.sort(theta)[:3].tolist()
+            order.append(((first[0] + first[1] + first[2]) / 3, cores[i], i))
+    for _, core, i in sorted(order):
+        near, theta = flanks(i)
+        near, theta = near[free[near]], theta[free[near]]
+        if len(near) < 3:
+            continue
+        ranked = sorted(zip(np.round(theta, 12).tolist(), saddles[near].tolist(), near.tolist(), theta.tolist(), strict=True))
+        around = [(k, degrees(t), tuple(where[k].tolist())) for _, _, k, t in ranked]
+        if star := star_of(int(chi[i]), tuple(at[i].tolist()), around, most_pair, ratio):
+            free[star[1]] = False
+            yield core, star[0], saddles[star[1]].tolist()
+
+
+def _stars_in_rounds(cores: DataFrame, saddles: DataFrame, taken: DataFrame, least: float, most: float, most_pair: float, ratio: float) -> list[DataFrame]:
+    """The same, a table for each round."""
+    free = written(flanking_saddles(cores, saddles, least, most))
     near = free.groupBy(*KEY, "core_id").agg(F.slice(F.array_sort(F.collect_list("theta")), 1, 3).alias("t"))
     order = near.select(*KEY, "core_id", F.struct((F.aggregate("t", F.lit(0.0), lambda a, x: a + x) / F.size("t")).alias("near"), "core_id").alias("_order"))
     index = cores.select(*KEY, F.col("id").alias("core_id"), "local_euler_index", F.col("ux").alias("cx"), F.col("uy").alias("cy"), F.col("uz").alias("cz"))
     waiting = written(free.join(order.hint("merge"), [*KEY, "core_id"]).join(index.hint("merge"), [*KEY, "core_id"]))
     gone = written(taken)
-    most_pair = max(PAIR_PITCHES * pitch * 180 / pi, PAIR_FLOOR_DEG)
 
     @F.udf("struct<fold: int, members: array<string>>")
     def ring(chi, cx, cy, cz, around):
-        seen = [(s["id"], degrees(s["theta"]), (s["ux"], s["uy"], s["uz"])) for s in around]
-        two = lambda ring: quad_is_two_pairs(ring, most_pair, bimodal_ratio)
-        for fold, target, refuse in ((4, -3, two), (3, -2, lambda ring: False)):
-            if chi - fold == target and (members := tightest_ring((cx, cy, cz), seen, fold, refuse)):
-                return fold, members
-        return None
+        return star_of(chi, (cx, cy, cz), [(s["id"], degrees(s["theta"]), (s["ux"], s["uy"], s["uz"])) for s in around], most_pair, ratio)
 
-    found = [pairs.select(*KEY, F.lit(None).cast("string").alias("core_id"), F.lit(3).alias("fold"), F.array("a", "b").alias("members"))]
+    found = []
     while not waiting.isEmpty():
         first = waiting.groupBy(*KEY, "saddle_id").agg(F.min("_order").alias("_first"))
         blocked = waiting.join(first.hint("merge"), [*KEY, "saddle_id"]).where(F.col("_order") > F.col("_first")).select(*KEY, "core_id").distinct()
@@ -370,7 +455,7 @@ def constellations(cores: DataFrame, saddles: DataFrame, pairs: DataFrame, pitch
         decided = ready.select(*KEY, "core_id").distinct()
         waiting, old = written(waiting.join(decided.hint("merge"), [*KEY, "core_id"], "left_anti").join(newly.withColumnRenamed("id", "saddle_id").hint("merge"), [*KEY, "saddle_id"], "left_anti")), waiting
         discard(before, old)
-    return reduce(DataFrame.unionByName, found)
+    return found
 
 
 def classified(stars: DataFrame, points: DataFrame, centres: DataFrame, spans: DataFrame, pitch: float, barrier_tolerance: float = 0.005, tolerance_pitches: float = 4.0) -> DataFrame:

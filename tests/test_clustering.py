@@ -276,3 +276,22 @@ def test_untied_points_are_not_sent_through_the_driver(spark, tmp_path):
 
     plan = topology.morse_critical_points_untied(spark, part_tables(spark, tmp_path, 100))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan  # neither corners nor the sums of the lines, however small their files are
+
+
+def test_chains_of_stars_are_settled_without_rounds(spark, monkeypatch):
+    import random
+
+    deal = random.Random(5)
+    place = lambda: at(0.9 * deal.random() ** 0.5, 2 * math.pi * deal.random())
+    cores, saddles = [(f"c{i}", place()) for i in range(40)], [(f"s{i}", place()) for i in range(60)]
+    tables, write = [], catastrophe.written
+    monkeypatch.setattr(catastrophe, "written", lambda df: tables.append(write(df)) or tables[-1])
+    at_once = stars(spark, cores, saddles, [("s0", "s1")])
+    assert len(tables) <= 2 and len(at_once) > 5  # it took three tables a round
+    monkeypatch.setattr(catastrophe, "AT_ONCE", 1)
+    assert stars(spark, cores, saddles, [("s0", "s1")]) == at_once
+    for m in range(3, 9):  # the same ring as by trying all in their order
+        around = sorted(((n, math.degrees(apart(at(0.0), p)), p) for n, p in saddles), key=lambda x: x[1])[: m + 3]
+        refuse = lambda ring: round(1000 * ring[0][0]) % 3 == 0
+        tried = [(max([x[1] for x in r] + [catastrophe._apart(a[2], b[2]) for a, b in combinations(r, 2)]), [x[0] for x in r]) for n in range(3, len(around)) for r in ((*o, around[n]) for o in combinations(around[:n], 3)) if not refuse([x[2] for x in r])]
+        assert catastrophe.tightest_ring(at(0.0), around, 4, refuse) == (min(tried, key=lambda x: x[0])[1] if tried else None)
