@@ -21,7 +21,7 @@ from scalarscape.session import cut_lineage, partitions_for, written
 
 KEY = ["mesh_id", "field"]
 PART = 50_000  # vertices of a part
-PIECE = 4_000_000  # samples that share the vertices around a part
+PIECE = 200_000  # samples that share a mesh's vertices, ten times as many those around a part
 MARGIN = 0.2  # radians beyond the samples' reach in which vertices are held at first; four times as far for centres that need more
 
 Values = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -66,7 +66,7 @@ def _settled(centres: DataFrame, points: DataFrame, boxes: dict[str, list], marg
     asked = centres.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.max("extent").alias("extent"), *[f(f"u{m}") for f in (F.min, F.max) for m in "xyz"])
     pieces, holds, beyond = [], [], {}
     for mesh, home, n, extent, *ends in asked.toLocalIterator():  # a row for each part
-        count = max(1, -(-n * per // PIECE))
+        count = max(1, -(-n * per // (PIECE * (10 if mesh in boxes else 1))))
         pieces.append((mesh, home, count))
         low, high = np.array(ends[:3]), np.array(ends[3:])
         reach = 2 * np.sin(min(extent + margin, np.pi) / 2)
